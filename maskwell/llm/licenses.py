@@ -12,6 +12,7 @@ input are not read. A document is scanned whole; memory follows the longest docu
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -94,7 +95,19 @@ def find_notices(normal: str, notices=NOTICES, chars_per_edit: int = CHARS_PER_E
                 x, y = x + (normal[x] == " "), y - (normal[y - 1] == " ")
                 found.append((i, x, y, sum(m.fuzzy_counts)))
                 a = done = m.end()
-    return found
+    return best_of_overlapping(found)
+
+
+def best_of_overlapping(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of spans that share characters the one with the fewest edits stays (then the longest, then the first notice)."""
+    kept: list[tuple[int, int, int, int]] = []
+    taken: list[tuple[int, int]] = []  # disjoint, ascending
+    for hit in sorted(found, key=lambda h: (h[3], h[1] - h[2], h[0], h[1])):
+        at = bisect.bisect(taken, (hit[1], hit[2]))
+        if (at == 0 or taken[at - 1][1] <= hit[1]) and (at == len(taken) or hit[2] <= taken[at][0]):
+            taken.insert(at, (hit[1], hit[2]))
+            kept.append(hit)
+    return sorted(kept, key=lambda h: (h[1], h[2], h[0]))
 
 
 def scan(text: str, phrases=PHRASES, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> tuple:
