@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier, trained in numpy.
 
-Words are hashed into buckets with embeddings; filters of several widths run over the sequence of words, each
-is max-pooled over the whole text, and a logistic layer scores the pooled values. Training: Adam on balanced
+Words have hashed embeddings: a table of the 32-bit hashes of words and word beginnings that occur in MIN_DOCS
+training texts or more; a word outside it takes its longest known beginning, else the zero vector, so that new
+words are neutral. Filters of several widths run over the sequence of words, each is max-pooled over the whole text, and a logistic layer scores the pooled values. Training: Adam on balanced
 minibatches of windows of the labelled texts. Scores are calibrated: a threshold is chosen for each language
 guess on a part of the training rows that was kept aside, and scores are moved so that 0.5 stands for it. The
 language guess is made from the text alone (the share of common words), never from the lang column.
@@ -18,7 +19,6 @@ scores. Extra columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +31,10 @@ from .common import WordHasher, column, small_batches, texts
 
 #: Labelled rows of either label that the model is fitted on, at most.
 MAX_TRAIN = 2000
-BUCKETS = 1 << 15
+MIN_DOCS = 4
 EMBEDDING = 12
+#: Lengths in bytes of the word beginnings, longest first.
+PREFIXES = (6, 5, 4)
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 #: Clean training texts are cut into samples of so many words; toxic ones stay whole, as only some words make them so.
@@ -48,7 +50,6 @@ COMMON = {
 }
 LANGS = (*COMMON, "")
 
-_SPLIT = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -57,24 +58,41 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-class Hasher(WordHasher):
-    """word -> bucket; bucket 0 is for the padding."""
+def hashes(word: bytes) -> tuple[int, ...]:
+    """Hashes of the word and of its beginnings, longest first; 0 for one that is too short."""
+    import xxhash
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    return (xxhash.xxh32_intdigest(word) or 1, *((xxhash.xxh32_intdigest(b"^" + word[:n]) or 1) if len(word) > n else 0 for n in PREFIXES))
+
+
+class Raw(dict):
+    """word -> hashes()"""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        h = self[word] = hashes(word)
+        return h
+
+
+class Rows(WordHasher):
+    """word -> row of the embedding table; 0 for unknown words."""
 
-        b = self[word] = 1 + xxhash.xxh3_64_intdigest(word) % (BUCKETS - 1)
-        return b
+    def __init__(self, known: np.ndarray):
+        self.known = dict(zip(known.tolist(), range(1, len(known) + 1)))
+
+    def __missing__(self, word: bytes) -> int:
+        row = self[word] = next((r for h in hashes(word) if (r := self.known.get(h))), 0)
+        return row
 
     def ids(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
 
 
-def common_buckets() -> np.ndarray:
-    """bucket -> language number + 1, 0 for other words."""
-    h, out = Hasher(), np.zeros(BUCKETS, np.int8)
+def common_rows(known: np.ndarray) -> np.ndarray:
+    """row -> language number + 1, 0 for other words."""
+    out, rows = np.zeros(len(known) + 1, np.int8), Rows(known).known
     for i, ws in enumerate(COMMON.values(), 1):
-        out[h.ids([w.encode() for w in ws])] = i
+        out[[rows.get(hashes(w.encode())[0], 0) for w in ws]] = i
+    out[0] = 0
     return out
 
 
@@ -86,7 +104,8 @@ def guess(ids: np.ndarray, common: np.ndarray) -> int:
 
 @dataclass
 class Model:
-    tables: list[np.ndarray]  # for each width: [width, BUCKETS, FILTERS], embedding times filter slice
+    known: np.ndarray  # hash of each row but the first
+    tables: list[np.ndarray]  # for each width: [width, rows, FILTERS], embedding times filter slice
     bias: list[np.ndarray]
     weight: np.ndarray
     offset: float
@@ -116,9 +135,27 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS) -> Model:
-    """samples: bucket ids of each text. One row in five is kept aside for calibration."""
+def backed_off(known: np.ndarray, raw: np.ndarray, skip_word: np.ndarray | None = None) -> np.ndarray:
+    """Rows for [words, 1 + PREFIXES] hashes: the first known one; skip_word: words that must take a beginning."""
+    out = np.zeros(len(raw), np.int32)
+    for j in reversed(range(raw.shape[1])):
+        at = np.searchsorted(known, raw[:, j])
+        hit = known[np.minimum(at, len(known) - 1)] == raw[:, j] if len(known) else np.zeros(len(raw), bool)
+        if j == 0 and skip_word is not None:
+            hit &= ~skip_word
+        out[hit] = at[hit] + 1
+    return out
+
+
+def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, min_docs: int = MIN_DOCS) -> Model:
+    """raw: hashes of the words of each text, [words, 1 + PREFIXES]. One row in five is kept aside for calibration;
+    a word in four is seen as its beginning, so that beginnings learn too."""
     rng = np.random.default_rng(seed)
+    each = [np.unique(r) for i, r in enumerate(raw) if i % 5 != 4]
+    known, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint32),) * 2
+    known = known[(n >= min_docs) & (known > 0)]
+    samples = [backed_off(known, r, rng.random(len(r)) < 0.25 if i % 5 != 4 else None) for i, r in enumerate(raw)]
+    BUCKETS = len(known) + 1
     labels = np.asarray(labels, np.float32)
     aside = np.arange(len(labels)) % 5 == 4
     train = np.flatnonzero(~aside)
@@ -129,10 +166,13 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
     params = {"E": E, "v": (rng.standard_normal(len(WIDTHS) * FILTERS) * 0.3).astype(np.float32), "c": np.zeros(1, np.float32)} | {f"C{k}": c for k, c in enumerate(C)} | {f"b{k}": np.zeros(FILTERS, np.float32) for k in range(len(WIDTHS))}
     # words that tell the labels apart start with a direction of their own, so that max pooling finds them
     seen = np.zeros((2, BUCKETS), np.float32)
-    for i in train:
-        seen[int(labels[i] > 0), np.unique(samples[i])] += 1
+    for i, found in zip(train, each):
+        at = np.searchsorted(known, found)
+        hit = at < len(known)
+        at, found = at[hit], found[hit]
+        seen[int(labels[i] > 0), at[known[at] == found] + 1] += 1
     rate = (seen + 0.5) / (np.array([[len(neg)], [len(pos)]], np.float32) + 1)
-    lift = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(seen.sum(0) / 5, 1)
+    lift = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(seen.sum(0) / (2 * min_docs), 1)
     lift[0] = 0
     E[:, 0] = lift
     for k, c in enumerate(C):
@@ -185,7 +225,7 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: in
                 m[k][x] = 0.9 * m[k][x] + 0.1 * g
                 s[k][x] = 0.999 * s[k][x] + 0.001 * g * g
                 p[x] -= lr * (m[k][x] / (1 - 0.9**step)) / (np.sqrt(s[k][x] / (1 - 0.999**step)) + 1e-7)
-    model = Model([np.stack([E @ c for c in params[f"C{k}"]]) for k in range(len(WIDTHS))], [params[f"b{k}"] for k in range(len(WIDTHS))], params["v"], float(params["c"][0]))
+    model = Model(known, [np.stack([E @ c for c in params[f"C{k}"]]) for k in range(len(WIDTHS))], [params[f"b{k}"] for k in range(len(WIDTHS))], params["v"], float(params["c"][0]))
     calibrate(model, [samples[i] for i in np.flatnonzero(aside)], labels[aside])
     return model
 
@@ -208,7 +248,7 @@ def calibrate(model: Model, samples: list[np.ndarray], labels: np.ndarray, least
     """A threshold for each language guess; languages with few rows of a label take that of all rows."""
     if not len(samples):
         return
-    common = common_buckets()
+    common = common_rows(model.known)
     z = np.array([model.logit(x) for x in samples])
     lang = np.array([guess(x, common) for x in samples])
     y = labels > 0
@@ -231,32 +271,33 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher()
+        h, wide = Raw(), 1 + len(PREFIXES)
         for b in batches:
-            ids = [h.ids(words(t)) for t in column(b, "text")]
+            ids = [np.array([h[w] for w in words(t)], np.uint32).reshape(-1, wide) for t in column(b, "text")]
             # a very long text is cut to blocks, each a sample of its own if the label is 0; a toxic one stays whole
             out = []
             for d, x, y in zip(column(b, "doc_id"), ids, column(b, "y")):
                 size = max(1, len(x)) if y else TRAIN_WORDS
                 out += [(d, y, x[a : a + size].tobytes()) for a in range(0, max(1, len(x)), size)]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([o[0] for o in out], pa.int64()), "y": pa.array([o[1] for o in out], pa.int32()), "ids": pa.array([o[2] for o in out], pa.binary())})
-            h.trim()
+            h.clear()
 
     got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInArrow(run, "doc_id long, y int, ids binary").orderBy(F.xxhash64("doc_id"), "doc_id", "ids").toPandas()
     if got["y"].nunique() < 2:
         return None
-    return fit([np.frombuffer(x, np.int32) for x in got["ids"]], got["y"].to_numpy(), seed)
+    return fit([np.frombuffer(x, np.uint32).reshape(-1, 1 + len(PREFIXES)) for x in got["ids"]], got["y"].to_numpy(), seed)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score. One narrow pass over whole texts; the model (a few MB, of fixed size) goes to each task."""
+    """doc_id, score. One narrow pass over whole texts; the model (a few MB, bounded by the sample) goes to each task."""
     small_batches(docs.sparkSession)
     if model is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.5 - 1e-9).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, common, model = Hasher(), common_buckets(), shared.value
+        model = shared.value
+        h, common = Rows(model.known), common_rows(model.known)
         for b in batches:
             s = [model.score(h.ids(words(t)), common) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
