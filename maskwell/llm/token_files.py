@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, shared_folder, small_batches, texts
+from .common import column, mix64, shared_folder, small_batches, texts
 
 MAGIC = b"S8B1"
 BLOCK = 1024
 #: (ids in a word, bits of each) by selector; selector 0 is the escape.
 SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-#: Chunks of text whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 120_000
+#: Words whose ids a Python worker remembers (about 40 bytes each).
+REMEMBERED = 600_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -150,23 +150,41 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, unpack(words, offsets, n)
 
 
-def chunks(text: str) -> list[str]:
-    """The text cut before single spaces between other characters, where a byte-level pre-tokenizer always cuts.
-    Pieces of white space at such a place stay with their neighbours."""
-    parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if p and not p[0].isspace() and (q := out[-1]) and not q[-1].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
+#: 0: of a word, 1: space, 2: line feed, 3: other white space or \\x00
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[32], _CLASS[10], _CLASS[[0, 9, 11, 12, 13, 28, 29, 30, 31]] = 1, 2, 3
+_RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15  # odd
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Longer words are not remembered, as a polynomial hash modulo 2**64 is weak for long ones.
+LONGEST = 128
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, _INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def _odd_space(b: np.ndarray) -> np.ndarray:
+    """Where a white-space character of more than one UTF-8 byte starts."""
+    lead = np.flatnonzero((b == 0xC2) | ((b >= 0xE1) & (b <= 0xE3)))
+    lead = lead[lead + 1 < len(b)]
+    x, y, z = b[lead], b[lead + 1], b[np.minimum(lead + 2, len(b) - 1)]
+    two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
+    three = (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    e2 = (x == 0xE2) & ((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F))
+    return lead[two | three | e2]
 
 
 class Encoder:
-    """Little-endian u32 ids of texts by a tokenizer file of the tokenizers library; remembers the ids of chunks."""
+    """Ids of texts by a tokenizer file of the tokenizers library.
+
+    In a text whose white space is single spaces and line feeds between other characters, a byte-level
+    pre-tokenizer always cuts before a space and around a line feed. There the ids of words (with the space before
+    them) are remembered under a 64-bit hash and put together with vector operations; words that are new are
+    encoded in one call, a line feed between them. Other texts are encoded as they are."""
 
     def __init__(self, path: str):
         import os
@@ -176,24 +194,127 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def batch(self, many: list[str]) -> list[bytes]:
-        cut = [chunks(t) for t in many]
-        new, old = self.new, self.old
-        missing = set().union(*cut) - new.keys() if cut else set()
-        missing.discard("")
-        for c in missing & old.keys():
-            new[c] = old[c]
-        if ask := list(missing - old.keys()):
-            for c, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
-                new[c] = np.array(e.ids, "<u4").tobytes()
-        new[""] = b""
-        out = [b"".join(map(new.__getitem__, c)) for c in cut]
-        if len(new) > REMEMBERED:
-            self.new, self.old = {}, new
-        return out
+        self.feed = self.whole("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.at, self.n, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of each)"""
+        got = self.whole("\n".join(words))
+        cuts = np.flatnonzero(got == self.feed[0])
+        if len(self.feed) == 1 and len(cuts) == len(words) - 1:
+            edges = np.concatenate(([-1], cuts, [len(got)]))
+            return np.delete(got, cuts), np.diff(edges) - 1
+        each = [self.whole(w) for w in words]  # a tokenizer that cuts in another way
+        return np.concatenate(each), np.array([len(x) for x in each])
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes: ascending, none known"""
+        if len(self.hash) + len(hashes) > REMEMBERED:
+            kept = np.flatnonzero(self.hits >= min(2, np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2] + 1)) if len(self.hits) else []
+            kept = kept if len(kept) + len(hashes) <= REMEMBERED else kept[:0]
+            ids, _ = _gather(self.ids, self.at[kept], self.n[kept])
+            self.hash, self.n, self.ids, self.hits = self.hash[kept], self.n[kept], ids, np.zeros(len(kept), np.int64)
+            self.at = np.cumsum(self.n) - self.n
+        ids, n = self._encode_words(words)
+        at = np.searchsorted(self.hash, hashes)
+        self.at = np.insert(self.at, at, len(self.ids) + np.cumsum(n) - n)
+        self.hash, self.n, self.hits = np.insert(self.hash, at, hashes), np.insert(self.n, at, n), np.insert(self.hits, at, 0)
+        self.ids = np.concatenate((self.ids, ids))
+
+    def batch(self, many: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids), end_id after each text. Texts go in groups of a few MB."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        group: list[bytes] = []
+        size = 0
+        for t in many:
+            raw = t.encode("utf-8", "surrogatepass")
+            if group and size + len(raw) > 1 << 21:
+                out.append(self._group(group, end_id))
+                group, size = [], 0
+            group.append(raw)
+            size += len(raw)
+        if group:
+            out.append(self._group(group, end_id))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _group(self, raw: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        b = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+        size = np.array([len(x) for x in raw])
+        ends = np.cumsum(size + 1) - 1  # of the zero after each text
+        kind = _CLASS[b]
+        kind[ends] = 4
+        word = kind == 0
+        before = np.concatenate(([False], word[:-1]))
+        after = np.concatenate((word[1:], [False]))
+        # texts with other white space, or with white space that has no word on either side
+        odd = np.concatenate((np.flatnonzero((kind == 3) | ((kind == 1) | (kind == 2)) & ~(before & after)), _odd_space(b)))
+        slow = np.zeros(len(raw), bool)
+        slow[np.searchsorted(ends, odd)] = True
+        start = np.flatnonzero(word & ~before | (kind == 2))
+        stop = np.flatnonzero(word & ~after | (kind == 2)) + 1
+        long = stop - start > LONGEST
+        slow[np.searchsorted(ends, start[long])] = True
+        owner = np.searchsorted(ends, start)
+        fast = ~slow[owner]
+        start, stop, owner = start[fast], stop[fast], owner[fast]
+        up, down = _powers(1 << max(22, (len(b) + 1).bit_length()))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_RANDOM[b] * up[: len(b)], dtype=np.uint64)))
+        h = mix64((total[stop] - total[start]) * down[start])
+        spaced = (start > 0) & (b[np.maximum(start, 1) - 1] == 32)
+        h ^= np.where(spaced, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        unique, first, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.hash, unique)
+        new = np.ones(len(unique), bool)
+        if len(self.hash):
+            new = self.hash[np.minimum(at, len(self.hash) - 1)] != unique
+        if new.any():
+            which = first[new]
+            text = b.tobytes()
+            feeds = kind[start[which]] == 2
+            words = [text[s - lead : e].decode("utf-8", "surrogatepass") for s, e, lead in zip(start[which].tolist(), stop[which].tolist(), (spaced[which] & ~feeds).tolist())]
+            self._learn_mixed(unique[new], words, feeds)
+            at = np.searchsorted(self.hash, unique)
+        ids, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(unique):
+            self.hits[at] += times
+            ids, n = _gather(self.ids, self.at[at][inverse], self.n[at][inverse])
+        lengths = np.bincount(owner, weights=n, minlength=len(raw)).astype(np.int64)
+        parts = {i: self.whole(raw[i].decode("utf-8", "surrogatepass")) for i in np.flatnonzero(slow).tolist()}
+        for i, x in parts.items():
+            lengths[i] = len(x)
+        final = np.cumsum(lengths + 1)
+        out = np.zeros(int(final[-1]), np.uint32)
+        hole = np.zeros(len(out), bool)
+        out[final - 1], hole[final - 1] = end_id, True
+        for i, x in parts.items():
+            a = final[i] - 1 - len(x)
+            out[a : a + len(x)], hole[a : a + len(x)] = x, True
+        out[~hole] = ids
+        return lengths + 1, out
+
+    def _learn_mixed(self, hashes: np.ndarray, words: list[str], feeds: np.ndarray) -> None:
+        plain = np.flatnonzero(~feeds)
+        if len(plain):
+            self._learn(hashes[plain], [words[i] for i in plain.tolist()])
+        for i in np.flatnonzero(feeds).tolist():
+            at = np.searchsorted(self.hash, hashes[i : i + 1])
+            self.at, self.n = np.insert(self.at, at, len(self.ids)), np.insert(self.n, at, len(self.feed))
+            self.hash, self.hits = np.insert(self.hash, at, hashes[i]), np.insert(self.hits, at, 0)
+            self.ids = np.concatenate((self.ids, self.feed))
+
+
+def _gather(ids: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ids[at : at + n], one after the other, and n."""
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(n) else 0
+    return ids[np.repeat(at - (ends - n), n) + np.arange(total)], n
 
 
 @lru_cache(maxsize=2)
@@ -209,18 +330,16 @@ def write_token_files(docs: DataFrame, to: str, tokenizer: str, end_id: int = 2,
     """Encodes every whole text with the tokenizer file, appends end_id, and writes shards in ascending id order.
     One shuffle, of the texts by ranges of the id; a task holds one batch of rows."""
     spark = docs.sparkSession
-    small_batches(spark, 128)
+    small_batches(spark, 256)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seq, end = _encoder(tokenizer), 0, struct.pack("<I", end_id)
+        encoder, seq = _encoder(tokenizer), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = [x + end for x in encoder.batch(column(batch, "text"))]
-            lengths = np.array([len(x) // 4 for x in coded], np.uint32)
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            row = [batch.column(2)[0].as_py()], [seq], [len(coded)], [len(ids)], [batch.column(0).to_pylist()], [payload(lengths, ids)]
+            lengths, ids = encoder.batch(column(batch, "text"), end_id)
+            row = [batch.column(2)[0].as_py()], [seq], [len(lengths)], [len(ids)], [batch.column(0).to_pylist()], [payload(lengths, ids)]
             seq += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(row, _FILE)], schema=_FILE)
 
@@ -237,7 +356,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids (little-endian
     u32 bytes), decoded from the files. Without ids nothing but numbers is joined to the starts."""
     files = spark.read.parquet(path)
-    small_batches(spark, 128)
+    small_batches(spark, 256)
     # a few numbers for each payload: what stands before it
     totals = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("shard_start"))

@@ -27,13 +27,19 @@ def test_pack_is_dense():
     assert len(words) == 100
 
 
-def test_chunks_encode_as_the_whole(tokenizer):
+def test_words_encode_as_the_whole(tokenizer, monkeypatch):
     rng = random.Random(3)
-    enc = T.Encoder(tokenizer)
-    parts = [" ", "  ", "\n", "\t", "a", "the", "It's", "12", "é", "ß.", " ", "\x1c", "　", "'s", "!?", "日本", "<|endoftext|>", "\r\n", "😀"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)]
-    whole = [np.array(e.ids, "<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert enc.batch(texts) == whole
+    parts = [" ", " ", " ", "  ", "\n", "\t", "a", "the", "It's", "12", "é", "ß.", "\xa0", "\x1c", "\u3000", "\u2019", "\u2009", "'s", "!?", "日本", "<|endoftext|>", "\r\n", "😀", "\0", "x" * 200]
+    for weird in (len(parts), 3 + 4):
+        texts = ["".join(rng.choice(parts[: weird + 12]) + rng.choice(["", " "]) for _ in range(rng.randrange(40))).strip(" " * rng.randrange(2)) for _ in range(600)]
+        texts += [" ".join(rng.choice(["a", "the\nx", "It's", "é"]) for _ in range(30)) for _ in range(200)]
+        monkeypatch.setattr(T, "REMEMBERED", 60)
+        enc = T.Encoder(tokenizer)
+        want = [[*e.ids, 2] for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for a in range(0, len(texts), 50):
+            lengths, ids = enc.batch(texts[a : a + 50], 2)
+            ends = np.cumsum(lengths)
+            assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == want[a : a + 50]
 
 
 @pytest.fixture(scope="module")
