@@ -96,3 +96,25 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     for j in range(width):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : n - width + 1 + j])
     return out
+
+
+#: A-Z to lower case, other ASCII bytes than letters and digits to spaces; bytes of other characters stay.
+_PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def plain_words(text: str) -> list[bytes]:
+    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased, as UTF-8."""
+    return text.encode("utf-8", "surrogatepass").translate(_PLAIN).split()
+
+
+#: So many ids are broadcast (8 bytes each, 16 MB); beyond that the texts are joined by shuffling.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not in the one column of ids (null matches null)."""
+    name = "_drop_" + uuid.uuid4().hex[:8]
+    ids = settle(ids.toDF(name).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].eqNullSafe(ids[name]), "left_anti")
