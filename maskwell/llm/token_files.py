@@ -37,7 +37,7 @@ BLOCK = 1024
 #: (ids in a word, bits of each) by selector; selector 0 is the escape.
 SELECTORS = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 #: Words whose ids a Python worker remembers (about 40 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -50,16 +50,14 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     room = np.minimum(room, n - np.arange(n)).astype(np.int16)
     # the selector for a word that starts at each id: the first whose ids all fit; short ends are padded
     choice = np.zeros(n, np.uint8)
-    open_ = np.ones(n, bool)
-    for s, (count, bits) in enumerate(SELECTORS[1:], 1):
-        wide = ids >= np.uint64(1 << bits)
-        if wide.all():
-            continue
-        seen = np.concatenate(([0], np.cumsum(wide, dtype=np.int64)))
-        end = np.arange(n) + np.minimum(room, count)
-        fits = open_ & (seen[end] == seen[:-1])
-        choice[fits] = s
-        open_ &= ~fits
+    for s, (count, bits) in reversed(list(enumerate(SELECTORS))[1:]):
+        low = np.flatnonzero(ids < np.uint64(1 << bits))
+        if not len(low):
+            break
+        # ids that fit come in runs; the densest selector is set last and stays
+        last = np.append(np.flatnonzero(low[1:] - low[:-1] != 1), len(low) - 1)
+        run_end = np.repeat(low[last] + 1, np.diff(last, prepend=-1))
+        choice[low[run_end - low >= np.minimum(room[low], count)]] = s
     step = np.minimum(np.array([c for c, _ in SELECTORS], np.int16)[choice], room).astype(np.int64)
     # all blocks go forward together
     at = np.arange(0, n, block)

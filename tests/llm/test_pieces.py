@@ -64,16 +64,15 @@ def test_same_as_the_librarys_viterbi(path, model):
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
     proto.trainer_spec.model_type = 1
+    for p in proto.pieces:  # the library adds up in single precision, which these scores would drown
+        p.score = max(p.score, -40000)
     library = spm.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    model = P.Model(proto.SerializeToString())
     rng = random.Random(6)
     syllables = ["the", "ing", "on", "re", "ät", "ción", "que", "ß", "er", "wh", "12", ".", ","]
-    same = 0
     for _ in range(500):
         text = " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(1, 8)))
-        ids, want = model.encode(text), library.encode(text)
-        assert weight_of(model, ids) <= weight_of(model, want)  # the library's sums are of single precision
-        same += ids == want
-    assert same >= 450
+        assert model.encode(text) == library.encode(text)
 
 
 def test_operator(spark, path, model):
