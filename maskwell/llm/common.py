@@ -41,6 +41,25 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Workspace:
+    """Tables in the shared folder for the steps of a loop. Unlike a checkpoint, a table that is read again brings its
+    own statistics: those that a checkpoint takes along multiply from round to round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, shared_folder(spark), 0
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.folder}/{self.n}", self.n + 1
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Removes the tables."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(id_col: str, n: int) -> Column:
     """crc32 of the id as text modulo n; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % n, F.lit(0))
