@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, langid, near_dedup, pieces, pii, toxicity
+from . import decontamination, langid, lm, near_dedup, pieces, pii, spotsigs, toxicity
 from .common import fold, read_table
 from .licenses import license_scan
 from .token_files import token_files
@@ -23,6 +23,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold("doc_id", 7) == 2
+    scored = lm.score(read_table(spark, sf_dir, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
@@ -53,6 +59,19 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spotsigs.fingerprints(read_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("signatures", ",").alias("fingerprint"),
+        F.array_join("edited_signatures", ",").alias("edited_fingerprint"),
+        spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"),
+        spotsigs.likeness("signatures", "next_signatures").alias("near_next"),
+    )
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents"))
 
