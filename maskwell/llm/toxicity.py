@@ -304,3 +304,20 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             h.trim()
 
     return texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold. One narrow pass."""
+    small_batches(docs.sparkSession)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        h, common = Rows(model.known), common_rows(model.known)
+        for b in batches:
+            yield b.filter(pa.array([model.score(h.ids(words(t or "")), common) < threshold for t in column(b, text_col)], pa.bool_()))
+            h.trim()
+
+    return docs.mapInArrow(run, docs.schema)
