@@ -34,8 +34,9 @@ CHAIN = 2
 SPARSE = 9
 #: Hexadecimal digits of a signature.
 DIGITS = 12
-#: In the normal form each word stands between two spaces of its own, so neighbours don't share one.
-RUN = f"(?: (?:{'|'.join(dict.fromkeys(ANCHORS))}) )+"
+#: In the normal form each word stands between two spaces of its own, so neighbours don't share one. The possessive
+#: quantifier keeps Java's matcher from recursing once for each word of a long run.
+RUN = f"(?: (?:{'|'.join(dict.fromkeys(ANCHORS))}) )++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _FIRST = "^ [^ ]+ " + " [^ ]+ " * (CHAIN - 1)

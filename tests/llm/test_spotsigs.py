@@ -57,6 +57,8 @@ def test_repeats_single_null_ids_and_empty(spark):
     assert S.fingerprints(one.limit(0)).count() == 0
     two = spark.createDataFrame([(None, "abc the d"), (1, "x"), (1, "x"), (None, None)], "doc_id long, text string")
     assert S.fingerprints(two).count() == 4
+    long = spark.createDataFrame([(1, "the of " * 100_000 + "big house"), (2, "kata " * 100_000)], "doc_id long, text string")
+    assert [len(r.signatures) for r in S.fingerprints(long).orderBy("doc_id").collect()] == [1, 3]
 
 
 def test_search_same_as_brute_force(spark):
