@@ -65,8 +65,8 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.array_join("signatures", ",").alias("fingerprint"),
-        F.array_join("edited_signatures", ",").alias("edited_fingerprint"),
+        F.array_join(F.col("signatures").cast("array<string>"), ",").alias("fingerprint"),
+        F.array_join(F.col("edited_signatures").cast("array<string>"), ",").alias("edited_fingerprint"),
         spotsigs.likeness("signatures", "edited_signatures").alias("near_edited"),
         spotsigs.likeness("signatures", "next_signatures").alias("near_next"),
     )

@@ -1,7 +1,7 @@
 """Document fingerprints: SpotSigs, in DataFrame and SQL functions only.
 
 A spot is a run of common words (the anchor is its last one) with the CHAIN content words that follow it, common
-words left out. The signatures of a text are the distinct hashes of its spots, sorted; the likeness of two texts is
+words left out. The signatures of a text are the distinct 64-bit hashes of its spots, sorted; the likeness of two texts is
 the Jaccard similarity of their signatures. In a text with fewer runs of common words than one to SPARSE words (tables,
 lists) each word is an anchor.
 
@@ -32,8 +32,6 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 SPARSE = 9
-#: Hexadecimal digits of a signature.
-DIGITS = 12
 #: In the normal form each word stands between two spaces of its own, so neighbours don't share one. The possessive
 #: quantifier keeps Java's matcher from recursing once for each word of a long run.
 RUN = f"(?: (?:{'|'.join(dict.fromkeys(ANCHORS))}) )++"
@@ -52,14 +50,14 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     n, s, r, g = (f"_{name}_{x}" for x in ("normal", "segments", "runs", "spots"))
     # from the second on, a segment is what follows a run; each has a word but perhaps the last
     follows = f"concat({', '.join(f"coalesce(get({s}, i + {k}), '')" for k in range(1, CHAIN + 1))})"
-    spot = f"concat(substring_index(trim(x), ' ', -1), ':', regexp_extract({follows}, '{_FIRST}', 0))"
+    chain = f"regexp_extract({follows}, '{_FIRST}', 0)"
+    spot = f"transform(array({chain}), c -> case when c <> '' then xxhash64(substring_index(trim(x), ' ', -1), c) end)"
     df = df.withColumn(n, F.expr(normal(text))).withColumn(s, F.expr(f"split({n}, '{RUN}')")).withColumn(r, F.expr(f"regexp_extract_all({n}, '{RUN}', 0)"))
-    df = df.withColumn(g, F.expr(f"filter(transform({r}, (x, i) -> {spot}), x -> right(x, 1) <> ':')"))
-    words = f"split(trim({n}), '  ')"
-    every = f"transform({words}, (x, i) -> array_join(slice({words}, i + 1, {CHAIN + 1}), ' '))"
+    df = df.withColumn(g, F.expr(f"array_compact(flatten(transform({r}, (x, i) -> {spot})))"))
+    # the words are bound to a name once, as a lambda would split the text again for each of them
+    every = f"get(transform(array(split(trim({n}), '  ')), w -> transform(w, (x, i) -> xxhash64(array_join(slice(w, i + 1, {CHAIN + 1}), ' ')))), 0)"
     few = f"size({r}) * {2 * SPARSE} < length({n}) - length(replace({n}, ' ', ''))"
-    spots = f"case when {few} or size({g}) = 0 then {every} else {g} end"
-    df = df.withColumn(name, F.expr(f"array_sort(array_distinct(transform({spots}, x -> substring(md5(x), 1, {DIGITS}))))"))
+    df = df.withColumn(name, F.expr(f"array_sort(array_distinct(case when size({g}) = 0 or {few} then {every} else {g} end))"))
     return df.drop(n, s, r, g)
 
 

@@ -1,12 +1,19 @@
-import hashlib
 import random
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from maskwell.llm import spotsigs as S
 
 
+def spark_hash(parts):
+    h = 42
+    for x in parts:
+        h = xxhash.xxh64_intdigest(x.encode(), seed=h)
+    return h - (h >> 63 << 64)
+
+
 def signatures(text):
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
     common = set(S.ANCHORS)
@@ -17,10 +24,10 @@ def signatures(text):
             runs += 1
             after = [y for j, y in content if j > i][: S.CHAIN]
             if len(after) == S.CHAIN:
-                spots.append(x + ":" + " " + after[0] + "".join(f"  {y}" for y in after[1:]) + " ")
+                spots.append((x, " " + after[0] + "".join(f"  {y}" for y in after[1:]) + " "))
     if runs * S.SPARSE < len(w) or not spots:
-        spots = [" ".join(w[i : i + S.CHAIN + 1]) for i in range(len(w))] or [""]
-    return sorted({hashlib.md5(x.encode()).hexdigest()[: S.DIGITS] for x in spots})
+        spots = [(" ".join(w[i : i + S.CHAIN + 1]),) for i in range(len(w))] or [("",)]
+    return sorted({spark_hash(x) for x in spots})
 
 
 def jaccard(a, b):
@@ -58,7 +65,7 @@ def test_repeats_single_null_ids_and_empty(spark):
     two = spark.createDataFrame([(None, "abc the d"), (1, "x"), (1, "x"), (None, None)], "doc_id long, text string")
     assert S.fingerprints(two).count() == 4
     long = spark.createDataFrame([(1, "the of " * 100_000 + "big house"), (2, "kata " * 100_000)], "doc_id long, text string")
-    assert [len(r.signatures) for r in S.fingerprints(long).orderBy("doc_id").collect()] == [1, 3]
+    assert [len(r.signatures) for r in S.fingerprints(long).orderBy("doc_id").collect()] == [6, 3]
 
 
 def test_search_same_as_brute_force(spark):
