@@ -1,9 +1,508 @@
-"""The catalogue of queries and their SQL twins."""
+"""The catalogue of queries over the driver tables, and their twins in SQL.
 
+Texts have no image, so geometry runs on the virtual page (layout.py), and recognition on rules (detect.py). "Applied"
+detections are those of the rules after a fixed disturbance: none where doc_id % 7 = 0, labelled `other_pii` where
+doc_id % 5 = 0, and one line too low where doc_id % 3 = 0."""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import policy as P
+from ..functions import text as T
+from ..functions.geometry import PAD_AFTER, PAD_BEFORE, from_drag, padded_box, valid_box
+from ..operators import detect as D
+from ..operators import evaluate as E
+from ..operators import regions as R
+from ..operators import review as V
+from . import layout as L
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+# ---- pieces of SQL ----
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def sql_matches(source: str, key: str, text: str, pattern: str) -> str:
+    """SELECT of key, ord, token, start, end of all matches."""
+    p = lit(pattern)
+    return f"""SELECT {key}, ord, token, CAST(sum(g + n) OVER (PARTITION BY {key} ORDER BY ord) - n AS INTEGER) AS "start", CAST(sum(g + n) OVER (PARTITION BY {key} ORDER BY ord) AS INTEGER) AS "end"
+FROM (SELECT {key}, ord, toks[ord + 1] AS token, length(gaps[ord + 1]) AS g, length(toks[ord + 1]) AS n
+FROM (SELECT {key}, toks, gaps, unnest(range(0, len(toks))) AS ord FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS toks, string_split_regex({text}, {p}) AS gaps FROM {source} WHERE regexp_matches({text}, {p}))))"""
+
+
+def sql_candidates(source: str, key: str, text: str) -> str:
+    return " UNION ALL ".join(f"""SELECT {key}, "start", "end", {lit(label)} AS label, CAST({score} AS DOUBLE) AS score FROM ({sql_matches(source, key, text, pattern)})""" for label, pattern, score in D.RULES)
+
+
+CANDIDATES = f"cand AS ({sql_candidates('documents', 'doc_id', 'text')})"
+ENTITIES = CANDIDATES + """, ent AS (SELECT doc_id, "start", "end", label, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, "start", "end" ORDER BY score DESC, label) AS r FROM cand) WHERE r = 1)"""
+WORDS = f"words AS ({sql_matches('documents', 'doc_id', 'text', T.WORD)})"
+N_WORDS = f"len(regexp_extract_all(text, {lit(T.WORD)}))"
+
+
+def sql_lines(source: str, keep: str) -> str:
+    """SELECT of keep, line, x0, x1, y0, y1 of ranges (start, end)."""
+    c = T.COLUMNS
+    return f"""SELECT {keep}, CAST(line AS INTEGER) AS line, CAST({T.X0} + {T.STRIDE} * (greatest("start", line * {c}) - line * {c}) AS INTEGER) AS x0, CAST({T.X0} + {T.STRIDE} * (least("end", (line + 1) * {c}) - line * {c} - 1) + {T.CELL_W} AS INTEGER) AS x1, CAST({T.Y0} + {T.PITCH} * line AS INTEGER) AS y0, CAST({T.Y0} + {T.PITCH} * line + {T.CELL_H} AS INTEGER) AS y1
+FROM (SELECT *, unnest(range("start" // {c}, ("end" - 1) // {c} + 1)) AS line FROM {source} WHERE "start" < "end")"""
+
+
+INK = f"ink AS ({sql_lines('(' + sql_matches('documents', 'doc_id', 'text', L.INK) + ')', 'doc_id')})"
+WIDTH = T.X0 + T.STRIDE * (T.COLUMNS - 1) + T.CELL_W + L.MARGIN
+HEIGHT = f"({T.Y0 + L.MARGIN} + {T.PITCH} * (greatest(length(text) - 1, 0) // {T.COLUMNS} + 1))"
+
+
+# ---- words and windows ----
+
+
+@query(f'WITH {WORDS} SELECT doc_id, ord, token, "start", "end" FROM words')
+def words_with_offsets(spark, sf_dir):
+    return T.words(docs(spark, sf_dir))
+
+
+WINDOWS = f"""win AS (SELECT doc_id, n_words, CAST(w AS INTEGER) AS win, CAST(w * 54 AS INTEGER) AS first_word, CAST(least(w * 54 + 72, n_words) AS INTEGER) AS last_word
+FROM (SELECT doc_id, CAST(n AS INTEGER) AS n_words, unnest(range(0, greatest(0, CAST(ceil((n - 72) / 54.0) AS BIGINT)) + 1)) AS w FROM (SELECT doc_id, {N_WORDS} AS n FROM documents) WHERE n > 0))"""
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, n_words, win, first_word, last_word FROM win")
+def doc_windows(spark, sf_dir):
+    return T.windows(docs(spark, sf_dir))
+
+
+@query(f"WITH {WINDOWS} SELECT doc_id, count(*) AS n_windows, CAST(sum(last_word - first_word) AS BIGINT) AS n_seen, CAST(sum(last_word - first_word) - max(n_words) AS BIGINT) AS n_twice FROM win GROUP BY doc_id")
+def window_overlap_stats(spark, sf_dir):
+    seen = F.sum(F.col("last_word") - F.col("first_word"))
+    return T.windows(docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_windows"), seen.alias("n_seen"), (seen - F.max("n_words")).alias("n_twice"))
+
+
+MAP = f"(VALUES {P.sql_values(sorted(P.label_map().items()))}) AS m(prompt, label)"
+GROUPS = f"groups AS (SELECT prompt, label, CAST((row_number() OVER (ORDER BY prompt) - 1) // 24 AS BIGINT) AS grp FROM {MAP})"
+
+
+@query(f"WITH {GROUPS} SELECT prompt, label, grp FROM groups")
+def prompt_groups(spark, sf_dir):
+    return P.prompt_groups(spark)
+
+
+@query(f"SELECT p.label, m.prompt FROM (VALUES {P.sql_values([(x,) for x in P.POLICY])}) AS p(label) LEFT JOIN {MAP} ON p.label = m.label")
+def label_alias_map(spark, sf_dir):
+    return P.policy(spark).join(F.broadcast(P.labels(spark)), "label", "left").select("label", "prompt")
+
+
+@query(f"WITH {WINDOWS}, {GROUPS} SELECT doc_id, win, grp, n_prompts FROM win CROSS JOIN (SELECT grp, count(*) AS n_prompts FROM groups GROUP BY grp)")
+def window_label_cross(spark, sf_dir):
+    # three groups, a fixed number: each window is expanded, not joined
+    sizes = {0: 24, 1: 24, 2: len(P.label_map()) - 48}
+    groups = F.array(*[F.struct(F.lit(g).cast("long").alias("grp"), F.lit(n).cast("long").alias("n_prompts")) for g, n in sizes.items()])
+    return T.windows(docs(spark, sf_dir)).select("doc_id", "win", F.inline(groups))
+
+
+# ---- candidates, entities, spans ----
+
+
+@query(f'WITH {CANDIDATES} SELECT doc_id, "start", "end", label, score FROM cand')
+def candidates(spark, sf_dir):
+    return D.rule_candidates(docs(spark, sf_dir))
+
+
+@query(f'SELECT page_id, "start", "end", label, score FROM ({sql_candidates("pages", "page_id", "html")})')
+def page_candidates(spark, sf_dir):
+    return D.rule_candidates(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+
+
+@query(f'WITH {ENTITIES} SELECT doc_id, "start", "end", label, score FROM ent')
+def identical_span_resolve(spark, sf_dir):
+    return D.entities(docs(spark, sf_dir))
+
+
+#: Words are runs between single spaces here, as in a document made of lines joined by a space.
+UNIT = r"[^\s\p{Z}]+"
+
+
+def units(spark, sf_dir, found: DataFrame) -> DataFrame:
+    """doc_id, line (number of the word), w_start, w_end: only of texts with entities."""
+    rows = docs(spark, sf_dir).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    w = T.with_starts(T.matches_with_offsets(rows, "text", UNIT, ["doc_id"]), ["doc_id"])
+    return w.select("doc_id", F.col("ord").alias("line"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+
+
+UNITS = f"""units AS (SELECT doc_id, ord AS line, "start" AS w_start, "end" AS w_end FROM ({sql_matches("(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ent))", "doc_id", "text", UNIT)}))"""
+SPANS = """spans AS (SELECT e.doc_id, e.label, e."start" AS e_start, e."end" AS e_end, CAST(u.line AS INTEGER) AS line, CAST(greatest(e."start", w_start) - w_start AS INTEGER) AS "start", CAST(least(e."end", w_end) - w_start AS INTEGER) AS "end", w_start, w_end FROM ent e JOIN units u ON e.doc_id = u.doc_id AND e."start" < w_end AND e."end" > w_start)"""
+
+
+@query(f'WITH {ENTITIES}, {UNITS}, {SPANS} SELECT doc_id, label, e_start, e_end, line, "start", "end" FROM spans')
+def span_to_words(spark, sf_dir):
+    found = D.entities(docs(spark, sf_dir))
+    text = docs(spark, sf_dir).select("doc_id", "text", F.length("text").alias("n"))
+    found = found.join(text, "doc_id").where(D.valid_entity(F.col("n")) & D.has_evidence(F.col("text"))).drop("text", "n")
+    return D.spans_on_words(found, units(spark, sf_dir, found))
+
+
+#: Labels as a model's prompts would name them; those that are no label of the policy are found by an anti-join.
+RENAME = "CASE WHEN label = 'ip_address' THEN 'ipv4' WHEN label = 'credit_debit_card' THEN 'credit_card_number' ELSE label END"
+
+
+def renamed(spark, sf_dir) -> DataFrame:
+    return D.entities(docs(spark, sf_dir)).withColumn("label", F.expr(RENAME)).select("doc_id", "start", "end", "label")
+
+
+IN_POLICY = f"(SELECT label FROM (VALUES {P.sql_values([(x,) for x in P.POLICY])}) AS p(label))"
+
+
+@query(f'WITH {ENTITIES}, r AS (SELECT doc_id, "start", "end", {RENAME} AS label FROM ent) SELECT * FROM r WHERE label IN {IN_POLICY}')
+def policy_semi(spark, sf_dir):
+    return D.in_policy(renamed(spark, sf_dir)).select("doc_id", "start", "end", "label")
+
+
+@query(f'WITH {ENTITIES}, r AS (SELECT doc_id, "start", "end", {RENAME} AS label FROM ent) SELECT * FROM r WHERE label NOT IN {IN_POLICY}')
+def policy_anti(spark, sf_dir):
+    return D.in_policy(renamed(spark, sf_dir), negate=True).select("doc_id", "start", "end", "label")
+
+
+LIMITS = f"""SELECT doc_id, n_chars, n_words, n_entities, CASE WHEN n_words = 0 OR n_chars > 6000 OR n_units > 512 OR n_entities > 128 THEN 'failed' WHEN n_entities > 0 THEN 'completed_unassessed' ELSE 'no_detections_unverified' END AS status,
+CASE WHEN n_words = 0 OR n_chars > 6000 OR n_units > 512 THEN 'ocr' WHEN n_entities > 128 THEN 'geometry' END AS stage
+FROM (SELECT d.doc_id, CAST(length(text) AS INTEGER) AS n_chars, CAST({N_WORDS} AS INTEGER) AS n_words, len(regexp_extract_all(text, {lit(UNIT)})) AS n_units, coalesce(n, 0) AS n_entities FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id) e ON d.doc_id = e.doc_id)"""
+
+
+@query(f"WITH {ENTITIES} {LIMITS}")
+def doc_limits(spark, sf_dir):
+    n = D.entities(docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_entities"))
+    units_ = F.expr("regexp_count(text, '[^\\\\s\\\\p{Z}]+')")
+    rows = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"), T.word_count("text").alias("n_words"), units_.alias("n_units"))
+    rows = rows.join(n, "doc_id", "left").withColumn("n_entities", F.coalesce("n_entities", F.lit(0)))
+    early = (F.col("n_words") == 0) | (F.col("n_chars") > D.MAX_CHARS) | (F.col("n_units") > D.MAX_WORDS)
+    many = F.col("n_entities") > D.MAX_ENTITIES
+    status = F.when(early | many, "failed").when(F.col("n_entities") > 0, "completed_unassessed").otherwise("no_detections_unverified")
+    return rows.select("doc_id", "n_chars", "n_words", "n_entities", status.alias("status"), F.when(early, "ocr").when(many, "geometry").alias("stage"))
+
+
+@query(f"WITH {ENTITIES}, {UNITS}, {SPANS} SELECT label, count(*) AS n FROM spans GROUP BY label")
+def label_counts(spark, sf_dir):
+    return span_to_words(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {ENTITIES} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ent GROUP BY GROUPING SETS ((label), ())")
+def label_counts_gsets(spark, sf_dir):
+    return D.entities(docs(spark, sf_dir)).rollup("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+RULE_SET = "|".join(f"(?:{p})" for p in dict.fromkeys(p for _, p, _ in D.RULES))
+
+
+@query(f"SELECT doc_id, sha256(regexp_replace(text, {lit(RULE_SET)}, '[REDACTED]', 'g')) AS redacted_sha256, CAST(length(regexp_replace(text, {lit(RULE_SET)}, '[REDACTED]', 'g')) AS INTEGER) AS n_chars FROM documents")
+def text_redaction(spark, sf_dir):
+    red = F.regexp_replace("text", RULE_SET, "[REDACTED]")
+    return docs(spark, sf_dir).select("doc_id", F.sha2(red, 256).alias("redacted_sha256"), F.length(red).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, r = regexp_replace(r, {lit(RULE_SET)}, '[REDACTED]', 'g') AS stable, r <> text AS changed FROM (SELECT doc_id, text, regexp_replace(text, {lit(RULE_SET)}, '[REDACTED]', 'g') AS r FROM documents)")
+def redaction_idempotent(spark, sf_dir):
+    rows = docs(spark, sf_dir).withColumn("r", F.regexp_replace("text", RULE_SET, "[REDACTED]"))
+    return rows.select("doc_id", (F.col("r") == F.regexp_replace("r", RULE_SET, "[REDACTED]")).alias("stable"), (F.col("r") != F.col("text")).alias("changed"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def doc_hash(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", T.sha256(F.col("text")).alias("sha256"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_by_hash(spark, sf_dir):
+    return doc_hash(spark, sf_dir).groupBy("sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+# ---- regions on the virtual page ----
+
+
+def boxes(spark, sf_dir) -> DataFrame:
+    """doc_id, label, det, line, x0, y0, x1, y1: padded boxes of the words that entities touch."""
+    found = D.entities(docs(spark, sf_dir))
+    spans = D.spans_on_words(found, units(spark, sf_dir, found)).select("doc_id", "label", "e_start", F.col("line").alias("word"))
+    w = units(spark, sf_dir, found).select("doc_id", F.col("line").alias("word"), F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+    cells = L.on_lines(spans.join(w, ["doc_id", "word"]), ["doc_id", "label", "e_start", "word"])
+    cells = cells.join(docs(spark, sf_dir).select("doc_id", L.page_height(F.length("text")).alias("h")), "doc_id")
+    box = padded_box(F.array("x0", F.col("x1") - 1), F.array("y0", F.col("y1") - 1), L.page_width(), F.col("h"))
+    return cells.select("doc_id", "label", "e_start", "word", "line", box.alias("b")).select("doc_id", "label", "e_start", "word", "line", "b.*")
+
+
+BOXES = f"""boxes AS (SELECT c.doc_id, label, e_start, word, line, CAST(greatest(0, x0 - {PAD_BEFORE}) AS INTEGER) AS x0, CAST(greatest(0, y0 - {PAD_BEFORE}) AS INTEGER) AS y0, CAST(least({WIDTH}, x1 - 1 + {PAD_AFTER}) AS INTEGER) AS x1, CAST(least({HEIGHT}, y1 - 1 + {PAD_AFTER}) AS INTEGER) AS y1
+FROM ({sql_lines('(SELECT doc_id, label, e_start, line AS word, w_start AS "start", w_end AS "end" FROM spans)', 'doc_id, label, e_start, word')}) c JOIN documents d ON c.doc_id = d.doc_id)"""
+GEOMETRY = f"{ENTITIES}, {UNITS}, {SPANS}, {BOXES}"
+
+
+@query(f"WITH {GEOMETRY} SELECT doc_id, label, e_start, word, line, x0, y0, x1, y1 FROM boxes")
+def layout_boxes(spark, sf_dir):
+    return boxes(spark, sf_dir)
+
+
+#: Union of intervals on each line in SQL; rows of a page's lines never meet, so a line's height is a factor.
+UNION = """SELECT doc_id, line, h, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, line ORDER BY x0, x1) AS island FROM (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY doc_id, line ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM (SELECT doc_id, line, y1 - y0 AS h, x0, x1 FROM boxes))) GROUP BY doc_id, line, h, island"""
+
+
+@query(f"WITH {GEOMETRY} SELECT doc_id, CAST(sum(h * (x1 - x0)) AS BIGINT) AS area FROM ({UNION}) GROUP BY doc_id")
+def mask_union_area(spark, sf_dir):
+    runs = R.runs_of_boxes(boxes(spark, sf_dir), ["doc_id"])
+    return R.area(R.union(runs, ["doc_id"]), ["doc_id"])
+
+
+@query(f"WITH {INK} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS INTEGER) AS band, y0, y1 FROM (SELECT DISTINCT doc_id, y0, y1 FROM ink)")
+def row_bands(spark, sf_dir):
+    lines = L.ink_runs(docs(spark, sf_dir)).select("doc_id", "y0", "y1").distinct()
+    scan = lines.select("doc_id", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
+    return R.bands(scan, ["doc_id"]).select("doc_id", F.col("band").cast("int").alias("band"), "y0", "y1")
+
+
+@query(f"WITH {INK} SELECT doc_id, y0, y1, CAST(row_number() OVER (PARTITION BY doc_id, y0 ORDER BY x0) - 1 AS INTEGER) AS word, x0, x1 FROM ink")
+def word_segments(spark, sf_dir):
+    # one scanline stands for the 19 equal ones of a line
+    ink = L.ink_runs(docs(spark, sf_dir))
+    bands = ink.select("doc_id", "y0", "y1").distinct().withColumn("band", F.col("y0"))
+    found = R.segments(ink.select("doc_id", F.col("y0").alias("y"), "x0", "x1"), bands, ["doc_id"], 0.45)
+    return found.select("doc_id", "y0", "y1", "word", "x0", "x1")
+
+
+@query(f"WITH {GEOMETRY} SELECT doc_id, label, e_start, count(*) AS n_boxes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY doc_id, label, e_start")
+def unit_overlap_boxes(spark, sf_dir):
+    return boxes(spark, sf_dir).groupBy("doc_id", "label", "e_start").agg(F.count("*").alias("n_boxes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def applied(spark, sf_dir) -> DataFrame:
+    """The disturbed detections: doc_id, det, label, line, x0, y0, x1, y1."""
+    low = F.when(F.col("doc_id") % 3 == 0, T.PITCH).otherwise(0)
+    rows = boxes(spark, sf_dir).where("doc_id % 7 <> 0").withColumn("label", F.when(F.col("doc_id") % 5 == 0, "other_pii").otherwise(F.col("label")))
+    return rows.select("doc_id", F.concat_ws("-", "e_start", "word").alias("det"), "label", (F.col("line") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("line"), "x0", (F.col("y0") + low).alias("y0"), "x1", (F.col("y1") + low).alias("y1"))
+
+
+def truth(spark, sf_dir) -> DataFrame:
+    """doc_id, id, label, line, x0, y0, x1, y1 of the entities' characters."""
+    found = D.entities(docs(spark, sf_dir)).withColumn("id", F.col("start"))
+    return L.on_lines(found, ["doc_id", "id", "label"])
+
+
+def ink_near(spark, sf_dir, *marks: DataFrame) -> DataFrame:
+    """Ink of the lines that a mark touches: only those matter, and they are few."""
+    lines = marks[0].select("doc_id", "line")
+    for m in marks[1:]:
+        lines = lines.unionByName(m.select("doc_id", "line"))
+    lines = lines.distinct()
+    rows = docs(spark, sf_dir).join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
+    return L.ink_runs(rows).join(lines, ["doc_id", "line"], "left_semi")
+
+
+def scan(df: DataFrame, keys: list[str]) -> DataFrame:
+    return R.runs_of_boxes(df, keys)
+
+
+def metrics(spark, sf_dir) -> DataFrame:
+    t, a = truth(spark, sf_dir), applied(spark, sf_dir)
+    ink = scan(ink_near(spark, sf_dir, t), ["doc_id"])
+    return E.entity_metrics(scan(t, ["doc_id", "id", "label"]), scan(a, ["doc_id", "label"]), ink)
+
+
+TRUTH = f"""truth AS ({sql_lines('(SELECT doc_id, "start" AS id, label, "start", "end" FROM ent)', 'doc_id, id, label')})"""
+APPLIED = f"""applied AS (SELECT doc_id, e_start || '-' || word AS det, CASE WHEN doc_id % 5 = 0 THEN 'other_pii' ELSE label END AS label, line + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS line, x0, x1 FROM boxes WHERE doc_id % 7 <> 0)"""
+# ink, truth and applied boxes share the 19 rows of their line, so areas are widths times 19
+TARGET = """target AS (SELECT t.doc_id, id, t.label, t.line, greatest(t.x0, i.x0) AS x0, least(t.x1, i.x1) AS x1 FROM truth t JOIN ink i ON t.doc_id = i.doc_id AND t.line = i.line AND t.x0 < i.x1 AND i.x0 < t.x1)"""
+
+
+def sql_covered(name: str, same_label: bool) -> str:
+    """Covered widths by a sweep: of a target run, the union of the applied runs on it."""
+    more = " AND a.label = t.label" if same_label else ""
+    return f"""{name} AS (SELECT doc_id, id, label, sum(w) AS w FROM (SELECT doc_id, id, label, island, max(x1) - min(x0) AS w FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id, label, line, t0 ORDER BY x0, x1) AS n, doc_id || '/' || id || '/' || label || '/' || line || '/' || t0 || '/' || sum(fresh) OVER (PARTITION BY doc_id, id, label, line, t0 ORDER BY x0, x1) AS island FROM (SELECT *, CASE WHEN x0 > max(x1) OVER (PARTITION BY doc_id, id, label, line, t0 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM (SELECT t.doc_id, t.id, t.label, t.line, t.x0 AS t0, greatest(t.x0, a.x0) AS x0, least(t.x1, a.x1) AS x1 FROM target t JOIN applied a ON t.doc_id = a.doc_id AND t.line = a.line AND t.x0 < a.x1 AND a.x0 < t.x1{more}))) GROUP BY doc_id, id, label, island) GROUP BY doc_id, id, label)"""
+
+
+METRICS = f"""{GEOMETRY}, {INK}, {TRUTH}, {APPLIED}, {TARGET}, {sql_covered('cov', False)}, {sql_covered('rgt', True)}, met AS (SELECT e.doc_id, e.id, e.label, CAST(coalesce(t.w, 0) * 19 AS BIGINT) AS ink_pixels, CAST(coalesce(c.w, 0) * 19 AS BIGINT) AS covered_pixels, CASE WHEN coalesce(t.w, 0) > 0 THEN coalesce(c.w, 0) / t.w ELSE 0.0 END AS coverage, coalesce(t.w, 0) > 0 AND coalesce(c.w, 0) = t.w AS fully_covered, coalesce(t.w, 0) > 0 AND coalesce(r.w, 0) = t.w AS correct_label_fully_covered
+FROM (SELECT DISTINCT doc_id, id, label FROM truth) e LEFT JOIN (SELECT doc_id, id, label, sum(x1 - x0) AS w FROM target GROUP BY ALL) t ON e.doc_id = t.doc_id AND e.id = t.id AND e.label = t.label LEFT JOIN cov c ON e.doc_id = c.doc_id AND e.id = c.id AND e.label = c.label LEFT JOIN rgt r ON e.doc_id = r.doc_id AND e.id = r.id AND e.label = r.label)"""
+
+
+@query(f"WITH {METRICS} SELECT doc_id, id, label, ink_pixels, covered_pixels, round(coverage, 6) AS coverage, fully_covered, correct_label_fully_covered FROM met")
+def entity_coverage(spark, sf_dir):
+    return metrics(spark, sf_dir).withColumn("coverage", F.round("coverage", 6))
+
+
+@query(f"WITH {METRICS} SELECT label, count(*) AS n, count_if(fully_covered) AS \"full\", count_if(correct_label_fully_covered) AS correct FROM met GROUP BY label")
+def label_coverage(spark, sf_dir):
+    return E.per_label(metrics(spark, sf_dir))
+
+
+FALSE = """fp AS (SELECT DISTINCT a.doc_id, a.det FROM applied a WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.doc_id = a.doc_id AND t.line = a.line AND t.x0 < a.x1 AND a.x0 < t.x1))"""
+
+
+@query(f"WITH {GEOMETRY}, {INK}, {TRUTH}, {APPLIED}, {TARGET}, {FALSE} SELECT doc_id, det FROM fp")
+def false_positive_detections(spark, sf_dir):
+    t, a = truth(spark, sf_dir), applied(spark, sf_dir)
+    ink = scan(ink_near(spark, sf_dir, t), ["doc_id"])
+    return E.false_positives(scan(a, ["doc_id", "det"]), scan(t, ["doc_id"]), ink)
+
+
+@query(f"""WITH {METRICS}, {FALSE} SELECT m.doc_id, count(*) AS n_entities, count_if(fully_covered) AS n_full, coalesce(string_agg(CASE WHEN NOT fully_covered THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS missed_ids, coalesce(string_agg(DISTINCT CASE WHEN NOT fully_covered THEN label END, ',' ORDER BY CASE WHEN NOT fully_covered THEN label END), '') AS missed_labels, max(coalesce(n, 0)) AS false_positives, CASE WHEN bool_and(fully_covered) THEN 'single_image_all_entities_covered' ELSE 'single_image_incomplete' END AS result
+FROM met m LEFT JOIN (SELECT doc_id, count(*) AS n FROM fp GROUP BY doc_id) f ON m.doc_id = f.doc_id GROUP BY m.doc_id""")
+def image_metrics(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    fp = false_positive_detections(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("false_positives"))
+    missed = F.when(~F.col("fully_covered"), F.col("id"))
+    rows = m.groupBy("doc_id").agg(
+        F.count("*").alias("n_entities"),
+        F.count_if("fully_covered").alias("n_full"),
+        F.array_join(F.array_sort(F.collect_list(missed)).cast("array<string>"), ",").alias("missed_ids"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("fully_covered"), F.col("label")))), ",").alias("missed_labels"),
+        F.when(F.bool_and("fully_covered"), "single_image_all_entities_covered").otherwise("single_image_incomplete").alias("result"),
+    )
+    return rows.join(fp, "doc_id", "left").withColumn("false_positives", F.coalesce("false_positives", F.lit(0)))
+
+
+# ---- cohorts ----
+
+#: One fact row for each document: a page over the length limit failed, coverage follows the disturbance above.
+FACTS = f"""facts AS (SELECT d.doc_id, lang, coalesce(n, 0) AS n_entities, CASE WHEN d.doc_id % 7 = 0 OR length(text) > 6000 THEN 0 ELSE coalesce(n, 0) END AS n_full, CASE WHEN d.doc_id % 7 = 0 OR d.doc_id % 5 = 0 OR length(text) > 6000 THEN 0 ELSE coalesce(n, 0) END AS n_correct, CASE WHEN length(text) > 6000 THEN 0.0 ELSE (d.doc_id % 11) / 100.0 END AS fraction, length(text) > 6000 AS failed FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id) e ON d.doc_id = e.doc_id)"""
+
+
+def facts(spark, sf_dir) -> DataFrame:
+    n = D.entities(docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.length("text") > D.MAX_CHARS).alias("failed")).join(n, "doc_id", "left")
+    n, lost = F.coalesce("n", F.lit(0)), F.col("failed") | (F.col("doc_id") % 7 == 0)
+    return rows.select("doc_id", "lang", n.alias("n_entities"), F.when(lost, 0).otherwise(n).cast("long").alias("n_full"), F.when(lost | (F.col("doc_id") % 5 == 0), 0).otherwise(n).cast("long").alias("n_correct"), F.when(F.col("failed"), 0.0).otherwise((F.col("doc_id") % 11) / F.lit(100.0)).alias("fraction"), "failed")
+
+
+@query(f"""WITH {METRICS} SELECT t.doc_id, t.id, t.label, length(d.text) <= 6000 AND t.doc_id % 4 <> 3 AND m.fully_covered AS fully_covered, length(d.text) <= 6000 AND t.doc_id % 4 <> 3 AND m.correct_label_fully_covered AS correct_label_fully_covered, length(d.text) > 6000 OR t.doc_id % 4 = 3 AS failed
+FROM (SELECT DISTINCT doc_id, id, label FROM truth) t JOIN documents d ON t.doc_id = d.doc_id JOIN met m ON t.doc_id = m.doc_id AND t.id = m.id AND t.label = m.label""")
+def failed_run_substitution(spark, sf_dir):
+    # runs of every fourth document are missing, those of long ones have failed
+    status = F.when(F.col("n") > D.MAX_CHARS, "failed").otherwise("completed_unassessed")
+    runs = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n")).where("doc_id % 4 <> 3").select("doc_id", status.alias("status"))
+    return E.with_failures(metrics(spark, sf_dir), truth(spark, sf_dir).select("doc_id", "id", "label").distinct(), runs)
+
+
+SUMMARY = """count(*) AS n, CAST(coalesce(sum(n_entities), 0) AS BIGINT) AS entity_count, round(coalesce(sum(n_full) / nullif(sum(n_entities), 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) / nullif(sum(n_entities), 0), 0.0), 6) AS correct_label, round(coalesce(count_if(n_entities > 0 AND n_full = n_entities) / nullif(count(*), 0), 0.0), 6) AS zero_missed_images, coalesce(max(fraction), 1.0) AS max_nonpii_ink_mask, count_if(failed) AS n_failed"""
+ROUNDED = ("overall", "correct_label", "zero_missed_images")
+
+
+@query(f"WITH {ENTITIES}, {FACTS} SELECT {SUMMARY} FROM facts")
+def cohort_summary(spark, sf_dir):
+    return E.summary(facts(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ROUNDED}).drop("gate_passed", "gate_version")
+
+
+@query(f"WITH {ENTITIES}, {FACTS}, s AS (SELECT lang, count(*) AS n, sum(n_entities) AS e, sum(n_full) / nullif(sum(n_entities), 0) AS o, sum(n_correct) / nullif(sum(n_entities), 0) AS c, count_if(failed) AS f FROM facts GROUP BY lang) SELECT lang, n, CAST(e AS BIGINT) AS entity_count, n >= 10 AND e > 0 AND f = 0 AND coalesce(o, 0) > 0.5 AND coalesce(c, 0) > 0.5 AS gate_passed, n >= 10 AND e > 0 AND coalesce(o, 0) > 0.5 AS coverage_passed FROM s")
+def quality_gate(spark, sf_dir):
+    # the gate for each language's cohort, at thresholds of one half
+    gate = E.Gate(overall_min=0.5, correct_min=0.5)
+    sums = facts(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_entities").cast("long").alias("entity_count"), F.coalesce(F.try_divide(F.sum("n_full"), F.sum("n_entities")), F.lit(0.0)).alias("overall"), F.coalesce(F.try_divide(F.sum("n_correct"), F.sum("n_entities")), F.lit(0.0)).alias("correct_label"), F.count_if("failed").alias("n_failed"))
+    coverage = (F.col("n") >= gate.minimum_records) & (F.col("entity_count") > 0) & (F.col("overall") > gate.overall_min)
+    return sums.select("lang", "n", "entity_count", E.passed(gate).alias("gate_passed"), coverage.alias("coverage_passed"))
+
+
+OVER = "OVER (PARTITION BY lang, doc_id % 16 ORDER BY doc_id)"
+
+
+@query(f"""WITH {ENTITIES}, {FACTS} SELECT lang, doc_id, count(*) {OVER} AS n, CAST(sum(n_entities) {OVER} AS BIGINT) AS entity_count, round(coalesce(sum(n_full) {OVER} / nullif(sum(n_entities) {OVER}, 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) {OVER} / nullif(sum(n_entities) {OVER}, 0), 0.0), 6) AS correct_label, max(fraction) {OVER} AS max_nonpii_ink_mask, CAST(sum(CAST(failed AS INTEGER)) {OVER} AS BIGINT) AS n_failed FROM facts""")
+def prefix_metrics(spark, sf_dir):
+    # cohorts: documents of one language and one remainder of the id, in the order of the id
+    rows = facts(spark, sf_dir).withColumn("cohort", F.col("doc_id") % 16)
+    found = E.prefix_summaries(rows, "doc_id", ["lang", "cohort"]).withColumns({c: F.round(c, 6) for c in ROUNDED})
+    return found.select("lang", "doc_id", "n", "entity_count", "overall", "correct_label", "max_nonpii_ink_mask", "n_failed")
+
+
+@query(f"""WITH {ENTITIES}, {FACTS}, f AS (SELECT *, min(CASE WHEN failed THEN doc_id END) OVER (PARTITION BY lang, doc_id % 16) AS first FROM facts) SELECT lang, doc_id % 16 AS cohort, count(*) AS total, count_if(first IS NULL OR doc_id <= first) AS run, count_if((first IS NULL OR doc_id <= first) AND NOT failed) AS completed, count_if((first IS NULL OR doc_id <= first) AND failed) AS failed FROM f GROUP BY 1, 2""")
+def stop_on_first_failure(spark, sf_dir):
+    rows = facts(spark, sf_dir).withColumn("cohort", F.col("doc_id") % 16)
+    done = E.until_first_failure(rows, "doc_id", ["lang", "cohort"]).groupBy("lang", "cohort").agg(F.count("*").alias("run"), F.count_if(~F.col("failed")).alias("completed"), F.count_if("failed").alias("failed"))
+    return rows.groupBy("lang", "cohort").agg(F.count("*").alias("total")).join(done, ["lang", "cohort"])
+
+
+@query("""SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN l.doc_id % 9 = 0 THEN 'hash' WHEN l.doc_id % 10 = 0 THEN 'uid' WHEN l.doc_id % 11 = 0 THEN 'revision' ELSE 'ok' END AS check_result FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id""")
+def manifest_integrity(spark, sf_dir):
+    # the manifest: the labelled documents with their hashes, some of them spoiled
+    have = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.concat(F.lit("u"), "doc_id").alias("uid"), F.lit("r1").alias("revision"))
+    listed = table(spark, sf_dir, "labels").select("doc_id").join(have.select("doc_id", "sha256"), "doc_id", "left")
+    listed = listed.select("doc_id", F.when(F.col("doc_id") % 9 == 0, "0").otherwise(F.col("sha256")).alias("m_sha256"), F.when(F.col("doc_id") % 10 == 0, "x").otherwise(F.concat(F.lit("u"), "doc_id")).alias("m_uid"), F.when(F.col("doc_id") % 11 == 0, "r0").otherwise("r1").alias("m_revision"))
+    return V.manifest_checks(listed, have)
+
+
+@query("""WITH RECURSIVE v AS (SELECT doc_id, doc_id // 2 AS parent FROM documents), c AS (SELECT doc_id, CAST(0 AS BIGINT) AS depth FROM v WHERE doc_id = 0 UNION ALL SELECT v.doc_id, c.depth + 1 FROM v JOIN c ON v.parent = c.doc_id WHERE v.doc_id > 0) SELECT doc_id, depth, sha256(CAST(doc_id AS VARCHAR)) AS version_sha256 FROM c""")
+def version_lineage(spark, sf_dir):
+    # each document as a version of the one with half its id
+    runs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("run"), F.when(F.col("doc_id") > 0, F.expr("doc_id div 2")).alias("parent_run"))
+    return V.lineage(runs).select(F.col("run").alias("doc_id"), "depth", F.sha2(F.col("run").cast("string"), 256).alias("version_sha256"))
+
+
+@query(f"""WITH {GEOMETRY}, allb AS (SELECT doc_id, label, x0, y0, x1, y1 FROM boxes UNION ALL SELECT doc_id, 'manual', least(xa, xb), least(ya, yb), greatest(xa, xb), greatest(ya, yb) FROM (SELECT doc_id, doc_id % 900 AS xa, 16 AS ya, (doc_id * 7) % 900 AS xb, 16 + doc_id % 40 AS yb, text FROM documents) WHERE greatest(xa, xb) > least(xa, xb) AND yb > ya AND greatest(xa, xb) <= {WIDTH} AND yb <= {HEIGHT}) SELECT doc_id, count(*) AS n_detections, count_if(label = 'manual') AS n_manual, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS box_area FROM allb GROUP BY doc_id""")
+def manual_append(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumns({"w": L.page_width(), "h": L.page_height(F.length("text"))})
+    box = from_drag((F.col("doc_id") % 900).cast("int"), F.lit(16), ((F.col("doc_id") * 7) % 900).cast("int"), (16 + F.col("doc_id") % 40).cast("int"))
+    drawn = d.withColumn("b", box).where(valid_box(F.col("b"), F.col("w"), F.col("h"))).select("doc_id", "b.*")
+    every = V.append_manual(boxes(spark, sf_dir).select("doc_id", "label", "x0", "y0", "x1", "y1"), drawn)
+    return every.groupBy("doc_id").agg(F.count("*").alias("n_detections"), F.count_if(F.col("label") == "manual").alias("n_manual"), F.sum(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("long")).alias("box_area"))
+
+
+@query(f"WITH {ENTITIES}, {FACTS} SELECT f.lang, quality, count(*) AS n, count_if(n_entities > 0) AS n_with_entities, CAST(sum(n_full) AS BIGINT) AS n_full FROM facts f JOIN labels l ON f.doc_id = l.doc_id GROUP BY 1, 2")
+def quality_by_lang(spark, sf_dir):
+    rows = facts(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return rows.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if(F.col("n_entities") > 0).alias("n_with_entities"), F.sum("n_full").alias("n_full"))
+
+
+# ---- without a twin: pixels, character alignment, streams ----
+
+
+@query()
+def align_geometry(spark, sf_dir):
+    from ..operators.align import align_geometry as align
+
+    # two readings of the words of documents within the limits; of some, the second one lacks last characters
+    w = T.words(docs(spark, sf_dir).where(F.length("text") <= D.MAX_CHARS))
+    lines = w.groupBy("doc_id", F.floor(F.col("ord") / 8).cast("int").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), " ").alias("text"))
+    other = w.select("doc_id", F.col("ord").alias("word"), F.when(F.col("doc_id") % 97 == 0, F.expr("substring(token, 1, greatest(1, length(token) - 1))")).otherwise(F.col("token")).alias("text"))
+    return align(lines, other)
+
+
+@query()
+def png_redact_roundtrip(spark, sf_dir):
+    from ..operators.redact import redact_images
+    from ..sources.images import render_pages
+
+    pages = render_pages(docs(spark, sf_dir).where(F.length("text").between(1, D.MAX_CHARS)))
+    marks = boxes(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+    return redact_images(pages.join(marks, "doc_id", "left")).select("doc_id", "status", "width", "height", "n_black", "output_sha256")
+
+
+@query()
+def stream_prefix_metrics(spark, sf_dir):
+    from ..streaming.jobs import stream_summaries
+
+    return stream_summaries(spark, sf_dir)
