@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Runs of letters, digits and underscores with inner joints, or one other visible character.
@@ -12,25 +13,26 @@ WINDOW_WORDS, OVERLAP = 72, 18
 COLUMNS, X0, Y0, STRIDE, PITCH, CELL_W, CELL_H = 72, 40, 44, 16, 48, 17, 19
 
 
-def matches_with_offsets(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
-    """keep..., ord, start, token: all matches of the pattern with their code-point offsets.
-
-    Matches and the gaps between them come from two passes of the regular expression; starts are a running sum inside
-    the row, so nothing is shuffled. Null texts give no rows."""
+def matches(text: str, pattern: str) -> tuple[Column, Column]:
+    """_tok and _gap: the matches of the pattern and what stands before, between and after them."""
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    tokens, gaps = F.expr(f"regexp_extract_all(`{text}`, {p}, 0)"), F.expr(f"split(`{text}`, {p}, -1)")
-    rows = df.where(F.col(text).isNotNull()).select(*keep, tokens.alias("_tok"), gaps.alias("_gap"))
+    return F.expr(f"regexp_extract_all(`{text}`, {p}, 0)").alias("_tok"), F.expr(f"split(`{text}`, {p}, -1)").alias("_gap")
+
+
+def exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., ord, token, _g, _n: one row for each match of rows with _tok and _gap, with the lengths of its gap and its own."""
     steps = F.expr("transform(_tok, (t, i) -> struct(length(_gap[i]) AS g, length(t) AS n))")
-    rows = rows.where(F.size("_tok") > 0).select(*keep, "_tok", steps.alias("_steps"))
-    pairs = F.arrays_zip(F.col("_tok").alias("token"), F.col("_steps").alias("step"))
-    rows = rows.select(*keep, F.posexplode(pairs).alias("ord", "_x")).select(*keep, "ord", F.col("_x.token").alias("token"), F.col("_x.step.g").alias("_g"), F.col("_x.step.n").alias("_n"))
-    return rows
+    pairs = F.arrays_zip(F.col("_tok").alias("token"), steps.alias("step"))
+    return rows.select(*keep, F.posexplode(pairs).alias("ord", "_x")).select(*keep, "ord", "_x.token", F.col("_x.step.g").alias("_g"), F.col("_x.step.n").alias("_n"))
 
 
-def with_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds the start of each token: the running sum of gaps and earlier tokens of its text."""
-    from pyspark.sql import Window as W
+def matches_with_offsets(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
+    """keep..., ord, token, _g, _n of all matches of the pattern; with_starts() gives the offsets. Null texts give no rows."""
+    return exploded(df.where(F.col(text).isNotNull()).select(*keep, *matches(text, pattern)), keep)
 
+
+def with_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds start and end of each token in code points: the running sum of gaps and tokens of its text."""
     w = W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
     start = F.sum(F.col("_g") + F.col("_n")).over(w) - F.col("_n")
     return rows.withColumn("start", start.cast("int")).withColumn("end", (F.col("start") + F.col("_n")).cast("int")).drop("_g", "_n")

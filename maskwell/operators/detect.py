@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.policy import POLICY, policy
-from ..functions.text import blank, matches_with_offsets, with_starts
+from ..functions.text import blank, exploded, matches, with_starts
 
 #: A detector takes rows (key, text) and gives key, start, end, label, score in code points of the text.
 Detector = Callable[[DataFrame, str, str], DataFrame]
@@ -28,14 +28,14 @@ MIN_SCORE, MAX_ENTITIES, MAX_CHARS, MAX_WORDS = 0.3, 128, 6000, 512
 
 
 def rule_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """key, start, end, label, score: all matches of each rule. Only texts that hold a match are taken apart."""
-    out = None
-    for label, pattern, score in rules:
-        hit = df.where(F.col(text).rlike(pattern))
-        found = with_starts(matches_with_offsets(hit, text, pattern, [key]), [key])
-        found = found.select(key, "start", "end", F.lit(label).alias("label"), F.lit(score).alias("score"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    """key, start, end, label, score: all matches of each rule, in one scan. Only texts that hold a match are taken apart,
+    and only matches are shuffled."""
+    patterns = dict.fromkeys(p for _, p, _ in rules)
+    hits = df.where(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns)))
+    found = [F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"), *matches(text, pattern)) for label, pattern, score in rules]
+    rows = hits.select(key, F.explode(F.array(*found)).alias("_m")).where(F.size("_m._tok") > 0)
+    rows = exploded(rows.select(key, "_m.*"), [key, "label", "score"])
+    return with_starts(rows, [key, "label"]).select(key, "start", "end", "label", "score")
 
 
 def resolve_identical(candidates: DataFrame, key: str = "doc_id") -> DataFrame:

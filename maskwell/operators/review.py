@@ -68,8 +68,8 @@ def check_boxes(drawn: DataFrame, key: str = "run", cap: int = MAX_BOXES) -> Dat
 def revise(current: DataFrame, saves: DataFrame) -> DataFrame:
     """New run rows: saves (run, new_run, output_sha256) on the current version; stale ones (not a leaf) are left out.
     A revision is not approved, waits for review, and carries its parent's run and record hash."""
-    parents = current.select("parent_run").where("parent_run is not null")
-    leaves = current.join(parents, current.run == parents.parent_run, "left_anti")
+    parents = current.where("parent_run is not null").select(F.col("parent_run").alias("run")).distinct()
+    leaves = current.join(parents, "run", "left_anti")
     record = F.sha2(F.to_json(F.struct(*sorted(current.columns))), 256)
     rows = leaves.withColumn("_record", record).join(saves.select("run", "new_run", F.col("output_sha256").alias("_output")), "run")
     changed = {"parent_run": F.col("run"), "parent_audit_sha256": F.col("_record"), "output_sha256": F.col("_output"), "status": F.lit("pending_human_review"), "approved": F.lit(False)}

@@ -92,7 +92,7 @@ HEIGHT = f"({T.Y0 + L.MARGIN} + {T.PITCH} * (greatest(length(text) - 1, 0) // {T
 # ---- words and windows ----
 
 
-@query(f'WITH {WORDS} SELECT doc_id, ord, token, "start", "end" FROM words')
+@query(f'WITH {WORDS} SELECT doc_id, CAST(ord AS INTEGER) AS ord, token, "start", "end" FROM words')
 def words_with_offsets(spark, sf_dir):
     return T.words(docs(spark, sf_dir))
 
@@ -357,7 +357,7 @@ def entity_coverage(spark, sf_dir):
     return metrics(spark, sf_dir).withColumn("coverage", F.round("coverage", 6))
 
 
-@query(f"WITH {METRICS} SELECT label, count(*) AS n, count_if(fully_covered) AS \"full\", count_if(correct_label_fully_covered) AS correct FROM met GROUP BY label")
+@query(f"WITH {METRICS} SELECT label, count(*) AS n, count(*) FILTER (WHERE fully_covered) AS \"full\", count(*) FILTER (WHERE correct_label_fully_covered) AS correct FROM met GROUP BY label")
 def label_coverage(spark, sf_dir):
     return E.per_label(metrics(spark, sf_dir))
 
@@ -372,7 +372,7 @@ def false_positive_detections(spark, sf_dir):
     return E.false_positives(scan(a, ["doc_id", "det"]), scan(t, ["doc_id"]), ink)
 
 
-@query(f"""WITH {METRICS}, {FALSE} SELECT m.doc_id, count(*) AS n_entities, count_if(fully_covered) AS n_full, coalesce(string_agg(CASE WHEN NOT fully_covered THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS missed_ids, coalesce(string_agg(DISTINCT CASE WHEN NOT fully_covered THEN label END, ',' ORDER BY CASE WHEN NOT fully_covered THEN label END), '') AS missed_labels, max(coalesce(n, 0)) AS false_positives, CASE WHEN bool_and(fully_covered) THEN 'single_image_all_entities_covered' ELSE 'single_image_incomplete' END AS result
+@query(f"""WITH {METRICS}, {FALSE} SELECT m.doc_id, count(*) AS n_entities, count(*) FILTER (WHERE fully_covered) AS n_full, coalesce(string_agg(CASE WHEN NOT fully_covered THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS missed_ids, coalesce(string_agg(DISTINCT CASE WHEN NOT fully_covered THEN label END, ',' ORDER BY CASE WHEN NOT fully_covered THEN label END), '') AS missed_labels, max(coalesce(n, 0)) AS false_positives, CASE WHEN bool_and(fully_covered) THEN 'single_image_all_entities_covered' ELSE 'single_image_incomplete' END AS result
 FROM met m LEFT JOIN (SELECT doc_id, count(*) AS n FROM fp GROUP BY doc_id) f ON m.doc_id = f.doc_id GROUP BY m.doc_id""")
 def image_metrics(spark, sf_dir):
     m = metrics(spark, sf_dir)
@@ -410,7 +410,7 @@ def failed_run_substitution(spark, sf_dir):
     return E.with_failures(metrics(spark, sf_dir), truth(spark, sf_dir).select("doc_id", "id", "label").distinct(), runs)
 
 
-SUMMARY = """count(*) AS n, CAST(coalesce(sum(n_entities), 0) AS BIGINT) AS entity_count, round(coalesce(sum(n_full) / nullif(sum(n_entities), 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) / nullif(sum(n_entities), 0), 0.0), 6) AS correct_label, round(coalesce(count_if(n_entities > 0 AND n_full = n_entities) / nullif(count(*), 0), 0.0), 6) AS zero_missed_images, coalesce(max(fraction), 1.0) AS max_nonpii_ink_mask, count_if(failed) AS n_failed"""
+SUMMARY = """count(*) AS n, CAST(coalesce(sum(n_entities), 0) AS BIGINT) AS entity_count, round(coalesce(sum(n_full) / nullif(sum(n_entities), 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) / nullif(sum(n_entities), 0), 0.0), 6) AS correct_label, round(coalesce(count(*) FILTER (WHERE n_entities > 0 AND n_full = n_entities) / nullif(count(*), 0), 0.0), 6) AS zero_missed_images, coalesce(max(fraction), 1.0) AS max_nonpii_ink_mask, count(*) FILTER (WHERE failed) AS n_failed"""
 ROUNDED = ("overall", "correct_label", "zero_missed_images")
 
 
@@ -419,7 +419,7 @@ def cohort_summary(spark, sf_dir):
     return E.summary(facts(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ROUNDED}).drop("gate_passed", "gate_version")
 
 
-@query(f"WITH {ENTITIES}, {FACTS}, s AS (SELECT lang, count(*) AS n, sum(n_entities) AS e, sum(n_full) / nullif(sum(n_entities), 0) AS o, sum(n_correct) / nullif(sum(n_entities), 0) AS c, count_if(failed) AS f FROM facts GROUP BY lang) SELECT lang, n, CAST(e AS BIGINT) AS entity_count, n >= 10 AND e > 0 AND f = 0 AND coalesce(o, 0) > 0.5 AND coalesce(c, 0) > 0.5 AS gate_passed, n >= 10 AND e > 0 AND coalesce(o, 0) > 0.5 AS coverage_passed FROM s")
+@query(f"WITH {ENTITIES}, {FACTS}, s AS (SELECT lang, count(*) AS n, sum(n_entities) AS e, sum(n_full) / nullif(sum(n_entities), 0) AS o, sum(n_correct) / nullif(sum(n_entities), 0) AS c, count(*) FILTER (WHERE failed) AS f FROM facts GROUP BY lang) SELECT lang, n, CAST(e AS BIGINT) AS entity_count, n >= 10 AND e > 0 AND f = 0 AND coalesce(o, 0) > 0.5 AND coalesce(c, 0) > 0.5 AS gate_passed, n >= 10 AND e > 0 AND coalesce(o, 0) > 0.5 AS coverage_passed FROM s")
 def quality_gate(spark, sf_dir):
     # the gate for each language's cohort, at thresholds of one half
     gate = E.Gate(overall_min=0.5, correct_min=0.5)
@@ -439,7 +439,7 @@ def prefix_metrics(spark, sf_dir):
     return found.select("lang", "doc_id", "n", "entity_count", "overall", "correct_label", "max_nonpii_ink_mask", "n_failed")
 
 
-@query(f"""WITH {ENTITIES}, {FACTS}, f AS (SELECT *, min(CASE WHEN failed THEN doc_id END) OVER (PARTITION BY lang, doc_id % 16) AS first FROM facts) SELECT lang, doc_id % 16 AS cohort, count(*) AS total, count_if(first IS NULL OR doc_id <= first) AS run, count_if((first IS NULL OR doc_id <= first) AND NOT failed) AS completed, count_if((first IS NULL OR doc_id <= first) AND failed) AS failed FROM f GROUP BY 1, 2""")
+@query(f"""WITH {ENTITIES}, {FACTS}, f AS (SELECT *, min(CASE WHEN failed THEN doc_id END) OVER (PARTITION BY lang, doc_id % 16) AS first FROM facts) SELECT lang, doc_id % 16 AS cohort, count(*) AS total, count(*) FILTER (WHERE first IS NULL OR doc_id <= first) AS run, count(*) FILTER (WHERE (first IS NULL OR doc_id <= first) AND NOT failed) AS completed, count(*) FILTER (WHERE (first IS NULL OR doc_id <= first) AND failed) AS failed FROM f GROUP BY 1, 2""")
 def stop_on_first_failure(spark, sf_dir):
     rows = facts(spark, sf_dir).withColumn("cohort", F.col("doc_id") % 16)
     done = E.until_first_failure(rows, "doc_id", ["lang", "cohort"]).groupBy("lang", "cohort").agg(F.count("*").alias("run"), F.count_if(~F.col("failed")).alias("completed"), F.count_if("failed").alias("failed"))
@@ -462,7 +462,7 @@ def version_lineage(spark, sf_dir):
     return V.lineage(runs).select(F.col("run").alias("doc_id"), "depth", F.sha2(F.col("run").cast("string"), 256).alias("version_sha256"))
 
 
-@query(f"""WITH {GEOMETRY}, allb AS (SELECT doc_id, label, x0, y0, x1, y1 FROM boxes UNION ALL SELECT doc_id, 'manual', least(xa, xb), least(ya, yb), greatest(xa, xb), greatest(ya, yb) FROM (SELECT doc_id, doc_id % 900 AS xa, 16 AS ya, (doc_id * 7) % 900 AS xb, 16 + doc_id % 40 AS yb, text FROM documents) WHERE greatest(xa, xb) > least(xa, xb) AND yb > ya AND greatest(xa, xb) <= {WIDTH} AND yb <= {HEIGHT}) SELECT doc_id, count(*) AS n_detections, count_if(label = 'manual') AS n_manual, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS box_area FROM allb GROUP BY doc_id""")
+@query(f"""WITH {GEOMETRY}, allb AS (SELECT doc_id, label, x0, y0, x1, y1 FROM boxes UNION ALL SELECT doc_id, 'manual', least(xa, xb), least(ya, yb), greatest(xa, xb), greatest(ya, yb) FROM (SELECT doc_id, doc_id % 900 AS xa, 16 AS ya, (doc_id * 7) % 900 AS xb, 16 + doc_id % 40 AS yb, text FROM documents) WHERE greatest(xa, xb) > least(xa, xb) AND yb > ya AND greatest(xa, xb) <= {WIDTH} AND yb <= {HEIGHT}) SELECT doc_id, count(*) AS n_detections, count(*) FILTER (WHERE label = 'manual') AS n_manual, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS box_area FROM allb GROUP BY doc_id""")
 def manual_append(spark, sf_dir):
     d = docs(spark, sf_dir).withColumns({"w": L.page_width(), "h": L.page_height(F.length("text"))})
     box = from_drag((F.col("doc_id") % 900).cast("int"), F.lit(16), ((F.col("doc_id") * 7) % 900).cast("int"), (16 + F.col("doc_id") % 40).cast("int"))
@@ -471,7 +471,7 @@ def manual_append(spark, sf_dir):
     return every.groupBy("doc_id").agg(F.count("*").alias("n_detections"), F.count_if(F.col("label") == "manual").alias("n_manual"), F.sum(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("long")).alias("box_area"))
 
 
-@query(f"WITH {ENTITIES}, {FACTS} SELECT f.lang, quality, count(*) AS n, count_if(n_entities > 0) AS n_with_entities, CAST(sum(n_full) AS BIGINT) AS n_full FROM facts f JOIN labels l ON f.doc_id = l.doc_id GROUP BY 1, 2")
+@query(f"WITH {ENTITIES}, {FACTS} SELECT f.lang, quality, count(*) AS n, count(*) FILTER (WHERE n_entities > 0) AS n_with_entities, CAST(sum(n_full) AS BIGINT) AS n_full FROM facts f JOIN labels l ON f.doc_id = l.doc_id GROUP BY 1, 2")
 def quality_by_lang(spark, sf_dir):
     rows = facts(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return rows.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if(F.col("n_entities") > 0).alias("n_with_entities"), F.sum("n_full").alias("n_full"))
