@@ -19,6 +19,8 @@ columns are not read. Texts are read whole.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -67,6 +69,18 @@ def likeness(a: str, b: str):
     return both / (F.size(a) + F.size(b) - both)
 
 
+def range_of(bounds: list[int], id_col: str) -> str:
+    """SQL for the number of ascending bounds below the id: groups of bounds first, then those of one group, so that an
+    id is compared with twice the square root of their number."""
+    if not bounds:
+        return "0"
+    g = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[i : i + g] for i in range(0, len(bounds), g)] + [[]]
+    array = lambda xs: f"array({', '.join(f'{x}L' for x in xs)})" if xs else "cast(array() AS array<bigint>)"
+    full = f"size(filter({array([x[-1] for x in groups if len(x) == g])}, b -> b < `{id_col}`))"
+    return f"get(transform(array({full}), k -> k * {g} + size(filter(get(array({', '.join(map(array, groups))}), k), b -> b < `{id_col}`))), 0)"
+
+
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, W]:
     """The rows with _bucket (a range of ids) and _guest: the first row of each range stands at the end of the range
     before as a guest too, so that the next row of each row is in its own range. With the window of that order.
@@ -75,7 +89,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFra
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
     bounds = sorted(set(bounds or []))
-    bucket = F.coalesce(F.expr(f"size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b < `{id_col}`))") if bounds else F.lit(0), F.lit(-1))
+    bucket = F.expr(range_of(bounds, id_col))
     bucket = F.when(F.col(id_col).isNull(), -1).otherwise(bucket)
     firsts = {r[0]: r[1] for r in docs.select(F.col(id_col).alias("id"), bucket.alias("b")).groupBy("b").agg(F.min("id")).collect()}
     order = sorted(firsts)
@@ -103,13 +117,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def length_partition(size: str, threshold: float):
     """The number of the length partition of a set of this size."""
-    return F.floor(F.log(F.col(size).cast("double")) / F.lit(-_log(threshold))).cast("int")
-
-
-def _log(x: float) -> float:
-    import math
-
-    return math.log(x)
+    return F.floor(F.log(F.col(size).cast("double")) / F.lit(-math.log(threshold))).cast("int")
 
 
 def search(queries: DataFrame, docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -83,3 +83,11 @@ def test_search_same_as_brute_force(spark):
     sig = {i: signatures(t) for i, t in rows}
     want = {(i, j): jaccard(sig[i], sig[j]) for i in sig if i % 5 == 0 for j in sig if jaccard(sig[i], sig[j]) >= 0.8}
     assert got == want and len(got) > len([i for i in sig if i % 5 == 0])
+
+
+def test_ranges(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 2, 5, 9, 37):
+        bounds = sorted(rng.sample(range(100), n))
+        got = [r[0] for r in spark.range(100).select(F.expr(S.range_of(bounds, "id"))).collect()]
+        assert got == [sum(b < i for b in bounds) for i in range(100)]
