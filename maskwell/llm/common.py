@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -70,6 +72,21 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
+def tidied(run):
+    """The function of batches, giving free memory back to the system when a task's batches are done: workers live on,
+    and an executor's memory holds several of them beside the JVM."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return inner
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -89,7 +106,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHasher(dict):
     """word -> 64-bit hash, remembered. Call trim() between batches to keep it small."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, column, plain_words, settle, shingles, small_batches
+from .common import WordHasher, column, plain_words, settle, shingles, small_batches, tidied
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -92,6 +92,7 @@ def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """item_id, n (distinct shingles), cls, shingles, keys. Cut from its lineage."""
     schema = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("cls", pa.int32()), ("shingles", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = WordHasher()
         for b in batches:
@@ -122,6 +123,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     shared = spark.sparkContext.broadcast((bitmap(item_keys, "key", size[0] * HASHES), bitmap(item_shingles, "shingle", size[1])))
     schema = pa.schema([("doc_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, (key_bits, shingle_bits) = WordHasher(), shared.value
         for b in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, texts
+from .common import column, plain_words, small_batches, texts
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -43,8 +43,6 @@ NOTICES = (
 #: One edit is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 12
 
-#: Upper case to lower, every ASCII byte outside letters and digits to a space; bytes of other characters stay.
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 SPAN = "struct<label:string,notice:int,first_word:int,n_words:int,start:int,end:int,edits:int>"
@@ -111,7 +109,7 @@ def best_of_overlapping(found: list[tuple[int, int, int, int]]) -> list[tuple[in
 
 
 def scan(text: str, phrases=PHRASES, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> tuple:
-    words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
+    words = plain_words(text)
     joined = b" " + b" ".join(words) + b" "
     starts, base = [], set()
     for phrase, label in phrases:

@@ -30,15 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches
+from .common import column, small_batches, tidied
 
 MARK = "▁"
 UNKNOWN = 10.0
 #: Words whose paths a Python worker remembers, in each of two generations.
-REMEMBERED = 200_000
-
-Arc = tuple[int, float, int]  # output id or -1, weight, next state
-
+REMEMBERED = 80_000
 
 class Transducer:
     """Arcs by state and input symbol; state 0 starts and ends (a closure)."""
@@ -203,6 +200,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_bytes", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_ok", pa.bool_())] + [("ids", pa.binary())] * with_ids)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
         is_byte, back = _decoder(model)
@@ -232,6 +230,7 @@ def decode(coded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     small_batches(coded.sparkSession)
     names = [c for c in coded.columns if c != ids_col]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(model)
         for b in batches:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, settle, small_batches
+from .common import column, settle, small_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 120
@@ -129,6 +129,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, m
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    @tidied
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
@@ -155,6 +156,7 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, m
     np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
     shared = spark.sparkContext.broadcast(bits)
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes, total, n = Passes(shared.value), Counter(), 0
 
@@ -168,9 +170,9 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, m
                 n += 1
                 if len(at):
                     total.update(filter(passes.__getitem__, set(_TERM.findall(text.lower()))))
-            if len(passes) > 200_000:
+            if len(passes) > 100_000:
                 passes.clear()
-            if len(total) > 200_000:
+            if len(total) > 100_000:
                 yield flush()
                 n = 0
         yield flush()
@@ -241,6 +243,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thre
     joined, table = _with_terms(docs.select(id_col, text_col), disclosures(docs, text_col, **thresholds), text_col)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_terms", pa.int64())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -261,6 +264,7 @@ def redact(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
     joined, table = _with_terms(docs, disclosures(docs, text_col, **thresholds), text_col)
     names = joined.columns
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [None if t is None else masked(t, *all_spans(t, _table(rows, table))) for t, rows in zip(column(b, text_col), column(b, "_terms"))]

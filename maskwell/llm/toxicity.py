@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, column, small_batches, texts
+from .common import WordHasher, column, plain_words, small_batches, texts, tidied
 
 #: Labelled rows of either label that the model is fitted on, at most.
 MAX_TRAIN = 2000
@@ -50,14 +50,6 @@ COMMON = {
 }
 LANGS = (*COMMON, "")
 
-_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-
-
-def words(text: str) -> list[bytes]:
-    """Runs of letters, digits and non-ASCII characters, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
-
-
 def hashes(word: bytes) -> tuple[int, ...]:
     """Hashes of the word and of its beginnings, longest first; 0 for one that is too short."""
     import xxhash
@@ -270,10 +262,11 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", te
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, wide = Raw(), 1 + len(PREFIXES)
         for b in batches:
-            ids = [np.array([h[w] for w in words(t)], np.uint32).reshape(-1, wide) for t in column(b, "text")]
+            ids = [np.array([h[w] for w in plain_words(t)], np.uint32).reshape(-1, wide) for t in column(b, "text")]
             # a very long text is cut to blocks, each a sample of its own if the label is 0; a toxic one stays whole
             out = []
             for d, x, y in zip(column(b, "doc_id"), ids, column(b, "y")):
@@ -295,11 +288,12 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.5 - 1e-9).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         h, common = Rows(model.known), common_rows(model.known)
         for b in batches:
-            s = [model.score(h.ids(words(t)), common) for t in column(b, "text")]
+            s = [model.score(h.ids(plain_words(t)), common) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
             h.trim()
 
@@ -313,11 +307,12 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5, id_co
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         h, common = Rows(model.known), common_rows(model.known)
         for b in batches:
-            yield b.filter(pa.array([model.score(h.ids(words(t or "")), common) < threshold for t in column(b, text_col)], pa.bool_()))
+            yield b.filter(pa.array([model.score(h.ids(plain_words(t or "")), common) < threshold for t in column(b, text_col)], pa.bool_()))
             h.trim()
 
     return docs.mapInArrow(run, docs.schema)
