@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import filterfalse
@@ -35,7 +36,7 @@ from .common import column, small_batches, tidied
 MARK = "▁"
 UNKNOWN = 10.0
 #: Words whose paths a Python worker remembers, in each of two generations.
-REMEMBERED = 80_000
+REMEMBERED = 150_000
 
 class Transducer:
     """Arcs by state and input symbol; state 0 starts and ends (a closure)."""
@@ -160,12 +161,16 @@ class Model:
         return shortest_path(self.fst, symbols, self.other)
 
     def encode_bytes(self, text: str) -> bytes:
-        """Little-endian u32 ids."""
-        normal = self.normal(text)
-        words = _WORDS.findall(normal) if self.cut else [normal] if normal else []
+        """Little-endian u32 ids. Words between single spaces are remembered without their mark, others with theirs."""
+        words = text.split(" ") if text else []
+        if not self.cut or not self.prefix or MARK in text or "" in words:
+            normal = self.normal(text)
+            words = _WORDS.findall(normal) if self.cut else [normal] if normal else []
+            if not self.prefix or not self.cut:
+                return b"".join(np.array(self.path(w), "<u4").tobytes() for w in words)
         new = self.new
         for w in set(filterfalse(new.__contains__, words)):
-            new[w] = self.old.get(w) or np.array(self.path(w), "<u4").tobytes()
+            new[w] = self.old.get(w) or array("I", self.path(w if w[0] == MARK else MARK + w)).tobytes()
         out = b"".join(map(new.__getitem__, words))
         if len(new) > REMEMBERED:
             self.new, self.old = {}, new
