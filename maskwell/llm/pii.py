@@ -1,15 +1,17 @@
 """PII: information-theoretic sanitisation.
 
-Four kinds of protected entities are found by pattern (the base): email, ip, card, phone. What stands near them
-can give them away too. Over the whole corpus, a term t reveals an entity c by their pointwise mutual information
+Four kinds of protected entities are found by pattern (the base): email, ip, card, phone. What stands in the same
+document can give them away too. Over the whole corpus, a term t reveals an entity c by their pointwise mutual information
 
     PMI(t; c) = log2(N * n_tc / (n_t * n_c)),        IC(c) = log2(N / n_c)
 
-with N documents, n_t of them with the term, n_c with the entity, and n_tc with the term within CONTEXT code
-points of the entity. A term whose PMI reaches ALPHA * IC(c), so that it gives away that share of what the entity
-tells, and that was seen with it in MIN_CONTEXTS different contexts, exceeds the disclosure threshold: near
-that entity it is removed if it gives the entity away in full (PMI >= IC), else generalised to its class. Such
-places are spans of kind `term`.
+with N documents, n_t of them with the term, n_c with the entity, and n_tc with both, at any distance. A term whose
+PMI reaches ALPHA * IC(c), so that it gives away that share of what the entity tells, exceeds the disclosure
+threshold: in documents with that entity it is removed if it gives the entity away in full (PMI >= IC), else
+generalised to its class. Such places are spans of kind `term`. Entities that occur once are no exception: PMI is
+then log2(N / n_t), the rarity of the term. min_contexts asks for so many documents with different terms; it is 1, so
+it drops nothing. Terms are words of four letters or more without digits; shorter ones and those with digits are not
+looked at.
 
 Three passes over the texts: contexts of entities (only documents with entities give rows), document counts of
 the candidate terms, and the spans or the new texts. Candidate terms are looked up in a bitmap of fixed size;
@@ -32,15 +34,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import column, settle, small_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT = 120
-MIN_CONTEXTS = 2
+MIN_CONTEXTS = 1
 ALPHA = 0.8
 BITS = 1 << 22
 BROADCAST_TERMS = 100_000
+#: Pairs of an entity and a term that leave a task at once.
+PAIRS = 50_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,15 +103,20 @@ def entity_key(text: str, span: Span) -> str:
 
 
 def near_terms(text: str, span: Span, base: list[Span]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of whole words within CONTEXT code points of the span and outside of all base spans."""
-    out = []
-    for a, b in ((max(0, span[1] - CONTEXT), span[1]), (span[2], min(len(text), span[2] + CONTEXT))):
-        for m in _TERM.finditer(text, a, b):
-            s, e = m.span()
-            if (s == a and s > 0 and text[s - 1].isalpha()) or (e == b and e < len(text) and text[e].isalpha()):
-                continue  # cut by the window, or part of the entity's own word
-            if not any(x < e and s < y for _, x, y in base):
-                out.append((m[0].lower(), s, e))
+    """(term, start, end) of the whole words of the text outside of all base spans, so the same for each span of it."""
+    return document_terms(text, base)
+
+
+def document_terms(text: str, base: list[Span]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words outside of the base spans, which come by start."""
+    out, k, reach = [], 0, 0
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        while k < len(base) and base[k][1] < e:  # those that start before the word's end
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= s:
+            out.append((m[0].lower(), s, e))
     return out
 
 
@@ -129,25 +138,30 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, m
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["entity", "term", "context", "docs"])
+
     @tidied
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for text in column(b, "text"):
                 base = base_spans(text)
-                pairs: dict[tuple[str, str], set[int]] = {}
-                for span in base:
-                    key, terms = entity_key(text, span), near_terms(text, span, base)
-                    context = xxhash.xxh3_64_intdigest(" ".join(t for t, _, _ in terms).encode("utf-8", "surrogatepass")) >> 1
-                    pairs.setdefault((key, ""), set()).add(context)
-                    for t, _, _ in terms:
-                        pairs.setdefault((key, t), set()).add(context)
-                # the first row of a pair counts the document, all of them its contexts
-                out += [(c, t, w, int(i == 0)) for (c, t), ws in pairs.items() for i, w in enumerate(sorted(ws))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*out) if out else [[]] * 4, (pa.string(), pa.string(), pa.int64(), pa.int32()))], names=["entity", "term", "context", "docs"])
+                if not base:
+                    continue
+                terms = [t for t, _, _ in document_terms(text, base)]
+                context = xxhash.xxh3_64_intdigest(" ".join(terms).encode("utf-8", "surrogatepass")) >> 1
+                terms = ["", *dict.fromkeys(terms)]
+                for key in {entity_key(text, span) for span in base}:
+                    out += [(key, t, context, 1) for t in terms]
+                    if len(out) > PAIRS:
+                        yield batch(out)
+                        out = []
+            yield batch(out)
 
     seen = rows.mapInArrow(contexts, "entity string, term string, context long, docs int")
-    by_context = seen.groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs"))
+    # each pair has a context, so one is no condition and needs no shuffle of its own
+    by_context = seen.groupBy("entity", "term", "context").agg(F.sum("docs").alias("docs")) if min_contexts > 1 else seen.drop("context")
     pairs = settle(by_context.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("n_tc")))
     entities = pairs.where(F.col("term") == "").select("entity", F.col("n_tc").alias("n_c"))
     candidates = pairs.where((F.col("term") != "") & (F.col("contexts") >= min_contexts))
@@ -186,15 +200,13 @@ def disclosures(docs: DataFrame, text_col: str = "text", alpha: float = ALPHA, m
 
 
 def all_spans(text: str, table: dict[str, dict[str, bool]]) -> tuple[list[Span], list[tuple[int, int, bool]]]:
-    """(base spans, (start, end, removed) of disclosing terms near their entity)."""
+    """(base spans, (start, end, removed) of the terms that disclose an entity of the text)."""
     base = base_spans(text)
-    terms: dict[tuple[int, int], bool] = {}
-    for span in base if table else ():
-        if mine := table.get(entity_key(text, span)):
-            for t, s, e in near_terms(text, span, base):
-                if t in mine:
-                    terms[s, e] = terms.get((s, e), False) or mine[t]
-    return base, [(s, e, r) for (s, e), r in sorted(terms.items())]
+    mine: dict[str, bool] = {}
+    for key in {entity_key(text, span) for span in base} if table else ():
+        for t, removed in table.get(key, {}).items():
+            mine[t] = mine.get(t, False) or removed
+    return base, [(s, e, mine[t]) for t, s, e in document_terms(text, base) if t in mine] if mine else []
 
 
 def masked(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -> str:
@@ -214,7 +226,7 @@ def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> tuple[DataF
         for r in found.toLocalIterator():
             table.setdefault(r.entity, {})[r.term] = r.removed
         return docs.withColumn("_terms", F.lit(None).cast("array<struct<entity:string,term:string,removed:boolean>>")), table
-    # each document with entities gets the terms of its own entities; the rest need no join
+    # each document with entities gets the terms of its own entities; the rest take no part in the join
     spark = docs.sparkSession
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +234,19 @@ def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> tuple[DataF
             out = [(k, e) for k, t in zip(column(b, "_key"), column(b, "text")) for e in {entity_key(t, s) for s in base_spans(t)}]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.string()) for x in (zip(*out) if out else [[], []])], names=["_key", "entity"])
 
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            has = pa.array([bool(base_spans(t or "")) for t in column(b, text_col)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, has], names=[*b.schema.names, "_has"])
+
     small_batches(spark)
+    kinds = "array<struct<entity:string,term:string,removed:boolean>>"
+    every = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("_has", BooleanType())]))
+    plain = every.where("not _has").drop("_has").withColumn("_terms", F.lit(None).cast(kinds))
+    keyed = every.where("_has").drop("_has").withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     named = keyed.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(keys, "_key string, entity string").distinct()
     lists = named.join(found, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "term", "removed")).alias("_terms"))
-    return keyed.join(lists, "_key", "left").drop("_key"), {}
+    return plain.unionByName(keyed.join(lists, "_key", "left").drop("_key")), {}
 
 
 def _table(rows, default: dict) -> dict:

@@ -98,3 +98,12 @@ def test_find_and_redact_by_both_ways(spark, monkeypatch):
         assert clean[200].text is None and clean[201].text == "" and clean[0].spans == "x"
         assert "jane@" not in clean[10].text and "Zorbital" not in clean[10].text and "[EMAIL]" in clean[10].text and "[IP]" in clean[15].text
     assert P.find(docs.limit(0)).count() == 0
+
+
+def test_terms_of_entities_that_occur_once_and_far_away(spark):
+    far = "Zyxwalda " + "kata lomi suno " * 60 + "ann@one.example.org " + "kata lomi " * 60 + "Quorbin"
+    rows = [(0, far)] + [(i, "kata lomi suno tire") for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.term, r.removed) for r in P.disclosures(docs).collect()} == {("zyxwalda", True), ("quorbin", True)}
+    clean = P.redact(docs).where("doc_id = 0").first().text
+    assert "Zyxwalda" not in clean and "Quorbin" not in clean and "[EMAIL]" in clean and "kata lomi suno" in clean
