@@ -46,6 +46,20 @@ def entity_metrics(truth: DataFrame, applied: DataFrame, ink: DataFrame, key: st
     )
 
 
+def ink_metrics(truth: DataFrame, applied: DataFrame, ink: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, sensitive_coverage, nonpii_ink_mask of each page with ink: the masked shares of the ink under the truth and of
+    all other ink; null where there is none of it.
+
+    truth, applied: key, y, x0, x1; ink: key, y, x0, x1 (disjoint, all of the page)."""
+    runs = [key, "y", "x0", "x1"]
+    sensitive = regions.intersect(regions.union(truth.select(*runs), [key]), ink.select(*runs), [key])
+    mask = regions.union(applied.select(*runs), [key])
+    rows = ink.select(key).distinct()
+    for df, name in ((ink, "_ink"), (sensitive, "_s"), (regions.intersect(ink.select(*runs), mask, [key]), "_masked"), (regions.intersect(sensitive, mask, [key]), "_s_masked")):
+        rows = rows.join(regions.area(df, [key], name), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows.select(key, F.try_divide("_s_masked", "_s").alias("sensitive_coverage"), F.try_divide(F.col("_masked") - F.col("_s_masked"), F.col("_ink") - F.col("_s")).alias("nonpii_ink_mask"))
+
+
 def false_positives(detections: DataFrame, truth: DataFrame, ink: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, det: detections (key, det, y, x0, x1) that touch no sensitive ink."""
     sensitive = regions.intersect(regions.union(truth.select(key, "y", "x0", "x1"), [key]), ink, [key])

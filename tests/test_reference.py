@@ -290,3 +290,14 @@ def test_stream_equals_batch(spark, tmp_path):
     with pytest.raises(Exception):
         jobs.run_job(items(), str(tmp_path / "out2"), str(tmp_path / "cp2"), "two").awaitTermination()
     assert jobs.published(spark, str(tmp_path / "out2")).where("failed").count() == 1
+
+
+def test_ink_metrics_over_masking(spark):
+    from maskwell.operators import evaluate
+
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, y int, x0 int, x1 int")
+    ink = frame([(1, 0, 0, 10), (1, 1, 0, 10), (2, 0, 0, 8), (3, 0, 0, 4)])
+    truth = frame([(1, 0, 0, 6), (1, 0, 4, 8), (3, 0, 0, 9)])
+    applied = frame([(1, 0, 2, 9), (1, 1, 0, 5), (2, 0, 0, 2), (2, 0, 1, 4)])
+    got = {r.doc_id: (r.sensitive_coverage, r.nonpii_ink_mask) for r in evaluate.ink_metrics(truth, applied, ink).collect()}
+    assert got == {1: (6 / 8, 6 / 12), 2: (None, 4 / 8), 3: (0.0, None)}
