@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. A local one is made only where the setting is missing."""
+    """A new folder below spark.checkpoint.dir. Where the setting is missing a local one is made, with a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="maskwell-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/maskwell-{uuid.uuid4().hex}"
