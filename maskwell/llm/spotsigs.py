@@ -1,9 +1,11 @@
 """Document fingerprints: SpotSigs, in DataFrame and SQL functions only.
 
-A spot is a run of common words (the anchor is its last one) with the CHAIN content words that follow it, common
-words left out. The signatures of a text are the distinct 64-bit hashes of its spots, sorted; the likeness of two texts is
-the Jaccard similarity of their signatures. In a text with fewer runs of common words than one to SPARSE words (tables,
-lists) each word is an anchor.
+A spot is a run of common words (the anchor is its last one; the start of the text is one too) with the CHAIN content words
+that follow it, common words left out. Where a stretch of content words goes on for longer (tables, lists, other
+languages), each word with LONG or more of them between itself and the last common word is an anchor too, with the CHAIN words
+after it in the stretch. So anchors depend on what stands near them only, and an edit changes the spots around it. The
+signatures of a text are the distinct 64-bit hashes of its spots, sorted; the likeness of two texts is the Jaccard similarity
+of their signatures.
 
 search() compares a set of queries with all texts. Signature sets are partitioned by length: only sets whose
 lengths differ by a factor of at most the threshold can be that similar, and the bounds of the partitions grow by that
@@ -11,8 +13,8 @@ factor, so a query meets its own partition and the two beside it. Jaccard is pru
 of the first n - ceil(threshold * n) + 1 signatures in sorted order (only these are joined), and a pair whose lengths
 rule it out is not compared.
 
-Words: runs of letters, digits and non-ASCII characters, A-Z lower-cased. Null texts count as empty; all texts without
-words are alike. Repeated rows have equal results. The next document is that of the next id in ascending order (null ids
+Words: runs of letters, digits and non-ASCII characters, in lower case. Null texts count as empty; all texts without
+content words are alike. Repeated rows have equal results. The next document is that of the next id in ascending order (null ids
 first, equal ids by text); after the last one comes the first, and a single document follows itself. Extra
 columns are not read. Texts are read whole.
 """
@@ -33,34 +35,56 @@ ANCHORS = (
     "el los las y del con por para una su al lo como más pero sus ya o muy sin sobre"
 ).split()
 CHAIN = 2
-SPARSE = 9
+LONG = 6
+
+
+def trie_pattern(words: list[str]) -> str:
+    """A pattern of the words that looks at each character once."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ends = "" in node
+        ways = [c + pattern(n) for c, n in sorted(node.items()) if c]
+        return "" if not ways else ways[0] if len(ways) == 1 and not ends else f"(?:{'|'.join(ways)})" + "?" * ends
+
+    return pattern(tree)
+
+
 #: In the normal form each word stands between two spaces of its own, so neighbours don't share one. The possessive
-#: quantifier keeps Java's matcher from recursing once for each word of a long run.
-RUN = f"(?: (?:{'|'.join(dict.fromkeys(ANCHORS))}) )++"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: quantifier keeps Java's matcher from recursing once for each word of a long run; the group is the run's last word.
+RUN = f"(?: ({trie_pattern(ANCHORS)}) )++"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_FIRST = "^ [^ ]+ " + " [^ ]+ " * (CHAIN - 1)
 
 
 def normal(text: str) -> str:
     """SQL for the normal form of a text expression."""
-    return f"concat(' ', trim(replace(regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), r'{_GAP}', ' '), ' ', '  ')), ' ')"
+    return f"concat(' ', trim(regexp_replace(lower({text}), r'{_GAP}', '  ')), ' ')"
 
 
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the column `name` with the signatures of the text column."""
-    n, s, r, g = (f"_{name}_{x}" for x in ("normal", "segments", "runs", "spots"))
-    # from the second on, a segment is what follows a run; each has a word but perhaps the last
-    follows = f"concat({', '.join(f"coalesce(get({s}, i + {k}), '')" for k in range(1, CHAIN + 1))})"
-    chain = f"regexp_extract({follows}, '{_FIRST}', 0)"
-    spot = f"transform(array({chain}), c -> case when c <> '' then xxhash64(substring_index(trim(x), ' ', -1), c) end)"
-    df = df.withColumn(n, F.expr(normal(text))).withColumn(s, F.expr(f"split({n}, '{RUN}')")).withColumn(r, F.expr(f"regexp_extract_all({n}, '{RUN}', 0)"))
-    df = df.withColumn(g, F.expr(f"array_compact(flatten(transform({r}, (x, i) -> {spot})))"))
-    # the words are bound to a name once, as a lambda would split the text again for each of them
-    every = f"get(transform(array(split(trim({n}), '  ')), w -> transform(w, (x, i) -> xxhash64(array_join(slice(w, i + 1, {CHAIN + 1}), ' ')))), 0)"
-    few = f"size({r}) * {2 * SPARSE} < length({n}) - length(replace({n}, ' ', ''))"
-    df = df.withColumn(name, F.expr(f"array_sort(array_distinct(case when size({g}) = 0 or {few} then {every} else {g} end))"))
-    return df.drop(n, s, r, g)
+    parts, anchors, heads, gaps = (f"_{name}_{x}" for x in ("parts", "anchors", "heads", "gaps"))
+    # anchor and stretch by turns; each stretch has a word but perhaps the first and the last
+    df = df.withColumn(parts, F.expr(f"split(concat('^\\u0002', regexp_replace({normal(text)}, '{RUN}', '\\u0001$1\\u0002')), '\\u0001')"))
+    df = df.withColumn(anchors, F.expr(f"transform({parts}, p -> substring_index(p, '\\u0002', 1))"))
+    df = df.withColumn(heads, F.expr(f"transform({parts}, p -> rtrim(substring_index(substring_index(p, '\\u0002', -1), '  ', {CHAIN})))"))
+    # the first CHAIN words of a stretch and those after it, as a text; short of some at the end of the text
+    after = lambda i: f"rtrim(substring_index(concat_ws(' ', {', '.join(f'get({heads}, {i} + {k})' for k in range(CHAIN))}), '  ', {CHAIN}))"
+    full = f"length(x) - length(replace(x, '  ', ' ')) = {CHAIN - 1}"
+    spots = f"transform({anchors}, (a, i) -> get(transform(array({after('i')}), x -> case when i > 0 and {full} then xxhash64(a, x) end), 0))"
+    start = f"xxhash64('^', case when {heads}[0] = '' then {after('1')} else {after('0')} end)"
+    # stretches of more than LONG + CHAIN words
+    word = lambda k: f"get(w, i + {LONG + k})"
+    inner = f"transform(slice(w, {LONG + 1}, greatest(0, size(w) - {LONG + CHAIN})), (x, i) -> xxhash64('', {', '.join(map(word, range(CHAIN + 1)))}))"
+    long = f"filter({parts}, p -> length(substring_index(p, '  ', {LONG + CHAIN})) < length(p))"
+    df = df.withColumn(gaps, F.expr(f"flatten(transform({long}, p -> get(transform(array(split(trim(substring_index(p, '\\u0002', -1)), '  ')), w -> {inner}), 0)))"))
+    df = df.withColumn(name, F.expr(f"array_sort(array_distinct(concat(array({start}), array_compact({spots}), {gaps})))"))
+    return df.drop(parts, anchors, heads, gaps)
 
 
 def likeness(a: str, b: str):
@@ -69,6 +93,10 @@ def likeness(a: str, b: str):
     return both / (F.size(a) + F.size(b) - both)
 
 
+#: Ranges of ids for each task of the ranges' shuffle, so that tasks get nearly equal shares.
+RANGES = 4
+
+
 def range_of(bounds: list[int], id_col: str) -> str:
     """SQL for the number of ascending bounds below the id: groups of bounds first, then those of one group, so that an
     id is compared with twice the square root of their number."""
@@ -84,10 +112,11 @@ def range_of(bounds: list[int], id_col: str) -> str:
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFrame, W]:
     """The rows with _bucket (a range of ids) and _guest: the first row of each range stands at the end of the range
     before as a guest too, so that the next row of each row is in its own range. With the window of that order.
-    One shuffle, by range; only the ranges' bounds and first ids come to the driver."""
+    One shuffle, by range, which the window's order needs too; only the ranges' bounds and first ids come to the driver."""
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = RANGES * tasks
+    bounds = docs.agg(F.percentile_approx(id_col, [k / n for k in range(1, n)], 10 * n)).first()[0]
     bounds = sorted(set(bounds or []))
     bucket = F.expr(range_of(bounds, id_col))
     bucket = F.when(F.col(id_col).isNull(), -1).otherwise(bucket)
@@ -99,7 +128,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> tuple[DataFra
     guest = F.when(F.col(id_col).isNull(), F.lit(before[None][0]) if None in before else F.lit(None)).otherwise(guest)
     rows = docs.select(*columns, bucket.alias("_own"), guest.cast("int").alias("_before"))
     places = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_own").alias("_bucket"), F.lit(False).alias("_guest")))).otherwise(F.array(F.struct(F.col("_own").alias("_bucket"), F.lit(False).alias("_guest")), F.struct(F.col("_before").alias("_bucket"), F.lit(True).alias("_guest"))))
-    rows = rows.withColumn("_place", F.explode(places)).select(*columns, "_place.*")
+    rows = rows.withColumn("_place", F.explode(places)).select(*columns, "_place.*").repartitionByRange(tasks, "_bucket")
     return rows, W.partitionBy("_bucket").orderBy("_guest", F.col(id_col).asc_nulls_first(), *[c for c in columns if c != id_col])
 
 
