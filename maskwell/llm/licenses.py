@@ -113,17 +113,21 @@ def scan(text: str, phrases=PHRASES, notices=NOTICES, chars_per_edit: int = CHAR
     joined = b" " + b" ".join(words) + b" "
     starts, base = [], set()
     for phrase, label in phrases:
-        needle, at = b" " + phrase.encode() + b" ", -1
+        needle, at, before, number = b" " + phrase.encode() + b" ", -1, 0, 0
         while (at := joined.find(needle, at + 1)) >= 0:
-            starts.append(joined.count(b" ", 0, at))
+            number += joined.count(b" ", before, at)  # words before this place
+            before = at
+            starts.append(number)
             base.add(label)
     normal = joined.decode("utf-8", "surrogatepass")
     hits = find_notices(normal, notices, chars_per_edit)
     labels, score, spans = set(base), 1.0 if base else 0.0, []
     if hits:
         at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        for i, a, b, edits in hits:
-            first = normal.count(" ", 0, a + 1) - 1
+        before, number = 0, 0
+        for i, a, b, edits in hits:  # by start
+            number += normal.count(" ", before, a + 1)
+            before, first = a + 1, number - 1
             n = normal.count(" ", a, b) + 1
             label = notices[i][1]
             labels.add(label)

@@ -16,16 +16,21 @@ def brute(docs, items, threshold=0.8):
     found = {}
     for d, t, *_ in docs:
         for i, x in items:
-            if (s := sets(x)) and len(s & sets(t)) / len(s) >= threshold:
-                found[d, i] = (len(s), len(s & sets(t)))
-    return found
+            w, own = plain_words(x or ""), plain_words(t or "")
+            s, there = sets(x), sets(t)
+            if 1 < len(w) < 5:
+                there = {tuple(own[k : k + len(w)]) for k in range(len(own) - len(w) + 1)}
+            if s and len(s & there) / len(s) >= threshold:
+                found[d, i] = max(found.get((d, i), (0, 0, 0)), (len(s & there) / len(s), len(s & there), len(s)))
+    return {k: (n, c) for k, (_, c, n) in found.items()}
 
 
 def fixture():
     rng = random.Random(4)
     word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ré", "tun"]) for _ in range(3))
     text = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, text(n)) for i, n in enumerate([5, 6, 9, 12, 13, 20, 36, 68, 70, 140])] + [(10, "two words"), (11, ""), (12, None)]
+    items = [(i, text(n)) for i, n in enumerate([5, 6, 9, 12, 13, 20, 36, 68, 70, 140])] + [(10, "two words"), (11, ""), (12, None), (13, "Ka lo mi's"), (14, "lone")]
+    items += [(3, text(30)), (3, items[3][1]), (15, text(30))]
     docs = [(i, text(rng.randrange(1, 400)), "x") for i in range(40)]
     for k in range(60):
         item = items[k % 10][1].split()
@@ -36,6 +41,7 @@ def fixture():
         body = text(rng.randrange(0, 3000)).split()
         at = rng.randrange(len(body) + 1)
         docs.append((100 + k, " ".join(body[:at] + [w.upper() + rng.choice([".", ",", ""]) for w in item] + body[at:]), "y"))
+    docs += [(904, text(30) + " ka, lo mi s " + text(9), "n"), (905, "so two words here", "n"), (906, "a lone one", "n"), (907, "LONE", "n"), (908, items[-3][1] + text(80), "n"), (908, items[-1][1], "n")]
     docs += [(900, None, "n"), (901, "", "n"), (902, "two words", "n"), (903, items[5][1] + " " + items[6][1], "n"), (903, items[5][1], "n"), (None, items[4][1], "n")]
     return docs, items
 
@@ -49,6 +55,17 @@ def test_same_as_brute_force(spark):
     assert len(got) == len(want)
 
 
+def test_one_id_on_many_rows(spark):
+    """Verification takes candidate pairs only: a shingle of many items and many rows makes no pairs by itself."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = text(8)
+    items = [(1, f"{text(12)} {line} {text(12)}") for _ in range(300)]
+    docs = [(7, f"{text(20)} {line}") for _ in range(5000)] + [(7, items[4][1])]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.containment) for r in got] == [(7, 1, 1.0)]
+
+
 def test_empty(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.contaminated(docs, items).count() == 0
