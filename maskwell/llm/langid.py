@@ -3,13 +3,15 @@
 Character n-grams (1 to 3 code points of the text, A-Z and other capitals lower-cased, white space as one
 space, digits and ASCII punctuation left out) are hashed into DIMS buckets. Document frequencies are counted
 over all training documents. The weight of a bucket is (1 + ln tf) * idf, and vectors have length one. A
-bounded sample of each language (MAX_TRAIN rows, a documented parameter) is clustered by spherical k-means
-into CENTROIDS centroids; a text takes the language of the nearest centroid by cosine. Distance-based
+bounded sample of each language (MAX_TRAIN different texts, a documented parameter: those of the lowest hashes) is clustered by
+spherical k-means into CENTROIDS centroids, each language in a task of its own; a text takes the language of the nearest
+centroid by cosine. The sample is found in one pass over all languages: from the number of a language's rows follows the
+hash below which its sample lies, so few rows meet, and each brings its vector along. Distance-based
 rejection: if the cosine is below the reject threshold (a low quantile of the training rows' own cosines,
 scaled), the text is flagged as rejected; lang_pred stays the nearest language.
 
 Null texts, and texts without a letter, are `und` with score 0. Without training rows all texts are `und`.
-Repeated rows have equal results. Ties go to the first language in alphabetical order. Extra columns of the
+Repeated rows have equal results, and count once in the sample, whatever their ids. Ties go to the first language in alphabetical order. Extra columns of the
 input are not read; texts are read whole, in blocks of code points.
 """
 
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ MAX_TRAIN = 1500
 CENTROIDS = 4
 #: A text is rejected below this share of the 1 % quantile of the training rows' cosines.
 REJECT_SHARE = 0.6
+#: The limits of so many languages are broadcast (a hundred bytes each).
+MOST_LANGS = 10_000
 BLOCK = 1 << 16
 
 
@@ -157,39 +162,43 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     for r in df:  # DIMS + 1 rows at most
         freq[r.bucket] = r.n
     idf = np.log((1 + freq[DIMS]) / (1 + freq[:DIMS])).astype(np.float32) + 1
-    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    # a sample of each language: the lowest hashes, kept by each task before they meet
-    chosen = None
-    for lang in langs:
-        part = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-        chosen = part if chosen is None else chosen.unionByName(part)
+    # the share of each language's hashes that holds a little more than max_train rows
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
     model = Model(idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), [])
-    if chosen is None:
+    if not langs:
         return model
+    limits = spark.createDataFrame([(lang, int(min(1.0, (1.1 * max_train + 50) / sizes[lang]) * ((1 << 62) - 1))) for lang in langs], "its string, most long")
 
     def vec_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.vector(t) for t in column(b, "text")]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("lang")), pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()), pa.array([w.astype("<f2").tobytes() for _, w in got], pa.binary())], names=["doc_id", "lang", "at", "w"])
-
-    sample = rows.join(F.broadcast(chosen.select("doc_id", F.col("lang").alias("its"))), "doc_id").where(F.col("lang") == F.col("its")).select("doc_id", "text", "lang")
-    got = sample.mapInArrow(vec_run, "doc_id long, lang string, at binary, w binary").orderBy("lang", F.xxhash64("doc_id"), "doc_id", "at", "w").toPandas()
-    centres, owner, cosines = [], [], []
-    for i, lang in enumerate(langs):
-        mine = got[got["lang"] == lang]
-        x = np.zeros((len(mine), DIMS), np.float32)
-        for j, (at, w) in enumerate(zip(mine["at"], mine["w"])):
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("lang")), b.column(b.schema.get_field_index("h")), pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary()), pa.array([w.astype("<f2").tobytes() for _, w in got], pa.binary())], names=["lang", "h", "at", "w"])
+
+    hashed = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "text"), 2).alias("h"))
+    sample = hashed.join(F.broadcast(limits) if len(langs) <= MOST_LANGS else limits, (F.col("lang") == F.col("its")) & (F.col("h") <= F.col("most"))).select("lang", "h", "text")
+    vectors = sample.mapInArrow(vec_run, "lang string, h long, at binary, w binary").dropDuplicates(["lang", "h"])
+
+    def centres_of(got: pd.DataFrame) -> pd.DataFrame:
+        got = got.sort_values("h").head(max_train)
+        x = np.zeros((len(got), DIMS), np.float32)
+        for j, (at, w) in enumerate(zip(got["at"], got["w"])):
             x[j, np.frombuffer(at, "<u2")] = np.frombuffer(w, "<f2")
         x = x[np.linalg.norm(x, axis=1) > 0.5]  # texts without an n-gram
         if not len(x):
-            continue
+            return pd.DataFrame({"lang": [], "centres": [], "cosines": []})
         c = kmeans(x, k, seed)
-        centres.append(c)
-        owner += [i] * len(c)
-        cosines.append((x @ c.T).max(axis=1))
-    if not centres:
+        return pd.DataFrame({"lang": got["lang"].iloc[:1].tolist(), "centres": [c.astype("<f4").tobytes()], "cosines": [(x @ c.T).max(axis=1).astype("<f4").tobytes()]})
+
+    # a few centroids and numbers come back for each language
+    fitted = vectors.groupBy("lang").applyInPandas(centres_of, "lang string, centres binary, cosines binary").collect()
+    if not fitted:
         return model
-    return Model(idf, np.concatenate(centres).astype(np.float32), np.array(owner), langs, float(REJECT_SHARE * np.quantile(np.concatenate(cosines), 0.01)))
+    fitted.sort(key=lambda r: r.lang)
+    centres = [np.frombuffer(r.centres, "<f4").reshape(-1, DIMS) for r in fitted]
+    cosines = np.concatenate([np.frombuffer(r.cosines, "<f4") for r in fitted])
+    owner = np.repeat(np.arange(len(fitted)), [len(c) for c in centres])
+    return Model(idf, np.concatenate(centres).astype(np.float32), owner, [r.lang for r in fitted], float(REJECT_SHARE * np.quantile(cosines, 0.01)))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
