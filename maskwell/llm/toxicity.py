@@ -3,15 +3,17 @@
 Words have hashed embeddings: a table of the 32-bit hashes of words and word beginnings that occur in MIN_DOCS
 training texts or more; a word outside it takes its longest known beginning, else the zero vector, so that new
 words are neutral. Filters of several widths run over the sequence of words, each is max-pooled over the whole text, and a logistic layer scores the pooled values. Training: Adam on balanced
-minibatches of windows of the labelled texts. Scores are calibrated: a threshold is chosen for each language
+minibatches of windows of the labelled texts, from random values. Scores are calibrated: a threshold is chosen for each language
 guess on a part of the training rows that was kept aside, and scores are moved so that 0.5 stands for it. The
-language guess is made from the text alone (the share of common words), never from the lang column.
+language guess is learned from the training texts alone: their shares of the COMMON most widespread words are clustered
+into LANGS groups at most, and a text is of the nearest one. The lang column is never read.
 
 A convolution over words is a sum of rows of tables (embedding times filter slice), so scoring is a few table
 look-ups for each word and a running maximum; texts are scored whole, in blocks of words.
 
-The training sample is bounded by MAX_TRAIN labelled rows for each label (a documented parameter; rows with the
-lowest hash of the id are taken). Without labels of both kinds the score is 0.5 - epsilon for each text.
+The training sample is bounded by MAX_TRAIN labelled ids for each label (a documented parameter; ids with the
+lowest hash are taken). A label that is repeated counts once, an id with both labels is left out, and of different texts
+of an id the one with the least hash is taken. Without labels of both kinds the score is 0.5 - epsilon for each text.
 
 Null and empty texts count as texts without words and have a score like any other. Repeated rows have equal
 scores. Extra columns of the input are not read.
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, column, plain_words, small_batches, texts, tidied
+from .langid import kmeans
 
 #: Labelled rows of either label that the model is fitted on, at most.
 MAX_TRAIN = 2000
@@ -41,14 +44,9 @@ FILTERS = 8
 TRAIN_WORDS = 4096
 EPOCHS = 6
 
-#: Common words by which the language of a text is guessed, for calibration only (fixed values).
-COMMON = {
-    "en": ("the", "of", "and", "to", "is", "that"),
-    "fr": ("le", "les", "des", "et", "est", "dans"),
-    "de": ("der", "die", "und", "das", "ist", "den"),
-    "es": ("el", "los", "que", "las", "por", "una"),
-}
-LANGS = (*COMMON, "")
+#: Words by which the language of a text is guessed, and groups of texts, for calibration only.
+COMMON, LANGS = 64, 8
+
 
 def hashes(word: bytes) -> tuple[int, ...]:
     """Hashes of the word and of its beginnings, longest first; 0 for one that is too short."""
@@ -79,19 +77,38 @@ class Rows(WordHasher):
         return np.fromiter(map(self.__getitem__, ws), dtype=np.int32, count=len(ws))
 
 
-def common_rows(known: np.ndarray) -> np.ndarray:
-    """row -> language number + 1, 0 for other words."""
-    out, rows = np.zeros(len(known) + 1, np.int8), Rows(known).known
-    for i, ws in enumerate(COMMON.values(), 1):
-        out[[rows.get(hashes(w.encode())[0], 0) for w in ws]] = i
-    out[0] = 0
-    return out
-
-
-def guess(ids: np.ndarray, common: np.ndarray) -> int:
-    """Number of the language in LANGS by the most common words; the last one where there are none."""
-    n = np.bincount(common[ids], minlength=len(LANGS))[1 : len(LANGS)] if len(ids) else np.zeros(1)
-    return int(n.argmax()) if n.max() > 0 else len(LANGS) - 1
+@dataclass
+class Languages:
+    """Groups of texts by their most widespread words. place: row of the embedding table -> number of the word, -1 for others."""
+
+    place: np.ndarray
+    centres: np.ndarray
+
+    def vector(self, ids: np.ndarray) -> np.ndarray:
+        v = np.sqrt(np.bincount(self.place[ids] + 1, minlength=COMMON + 1)[1:]).astype(np.float32)
+        n = np.linalg.norm(v)
+        return v / n if n else v
+
+    def of(self, ids: np.ndarray) -> int:
+        """The nearest group; the first where there is no such word."""
+        return int((self.centres @ self.vector(ids)).argmax())
+
+
+def find_languages(samples: list[np.ndarray], rows: int, seed: int) -> Languages:
+    """samples: rows of the words of the texts."""
+    spread = np.zeros(rows, np.int64)
+    for ids in samples:
+        spread[np.unique(ids)] += 1
+    spread[0] = 0
+    top = np.argsort(-spread, kind="stable")[:COMMON]
+    place = np.full(rows, -1, np.int64)
+    place[top[spread[top] > 0]] = np.flatnonzero(spread[top] > 0)
+    languages = Languages(place, np.zeros((1, COMMON), np.float32))
+    x = np.array([languages.vector(ids) for ids in samples], np.float32).reshape(-1, COMMON)
+    x = x[x.any(axis=1)]
+    if len(x):
+        languages.centres = kmeans(x, LANGS, seed)
+    return languages
 
 
 @dataclass
@@ -101,7 +118,8 @@ class Model:
     bias: list[np.ndarray]
     weight: np.ndarray
     offset: float
-    shift: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGS)))  # added to the logit, by language guess
+    languages: Languages | None = None
+    shift: np.ndarray = field(default_factory=lambda: np.zeros(1))  # added to the logit, by language guess
     BLOCK = 1 << 14
 
     def pooled(self, ids: np.ndarray) -> np.ndarray:
@@ -122,8 +140,8 @@ class Model:
     def logit(self, ids: np.ndarray) -> float:
         return float(self.pooled(ids) @ self.weight + self.offset)
 
-    def score(self, ids: np.ndarray, common: np.ndarray) -> float:
-        z = self.logit(ids) + self.shift[guess(ids, common)]
+    def score(self, ids: np.ndarray) -> float:
+        z = self.logit(ids) + (self.shift[self.languages.of(ids)] if self.languages else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
@@ -139,7 +157,7 @@ def backed_off(known: np.ndarray, raw: np.ndarray, skip_word: np.ndarray | None
     return out
 
 
-def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, min_docs: int = MIN_DOCS) -> Model:
+def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, lift: bool = False) -> Model:
     """raw: hashes of the words of each text, [words, 1 + PREFIXES]. One row in five is kept aside for calibration;
     a word in four is seen as its beginning, so that beginnings learn too."""
     rng = np.random.default_rng(seed)
@@ -156,19 +174,18 @@ def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int =
     E[0] = 0
     C = [(rng.standard_normal((w, EMBEDDING, FILTERS)) / np.sqrt(w * EMBEDDING)).astype(np.float32) for w in WIDTHS]
     params = {"E": E, "v": (rng.standard_normal(len(WIDTHS) * FILTERS) * 0.3).astype(np.float32), "c": np.zeros(1, np.float32)} | {f"C{k}": c for k, c in enumerate(C)} | {f"b{k}": np.zeros(FILTERS, np.float32) for k in range(len(WIDTHS))}
-    # words that tell the labels apart start with a direction of their own, so that max pooling finds them
-    seen = np.zeros((2, BUCKETS), np.float32)
-    for i, found in zip(train, each):
-        at = np.searchsorted(known, found)
-        hit = at < len(known)
-        at, found = at[hit], found[hit]
-        seen[int(labels[i] > 0), at[known[at] == found] + 1] += 1
-    rate = (seen + 0.5) / (np.array([[len(neg)], [len(pos)]], np.float32) + 1)
-    lift = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(seen.sum(0) / (2 * min_docs), 1)
-    lift[0] = 0
-    E[:, 0] = lift
-    for k, c in enumerate(C):
-        c[:, 0, : FILTERS // 2] = np.abs(c[:, 0, : FILTERS // 2]) + 0.5
+    if lift:  # words that tell the labels apart start with a direction of their own, for comparison
+        seen = np.zeros((2, BUCKETS), np.float32)
+        for i, found in zip(train, each):
+            at = np.searchsorted(known, found)
+            hit = at < len(known)
+            at, found = at[hit], found[hit]
+            seen[int(labels[i] > 0), at[known[at] == found] + 1] += 1
+        rate = (seen + 0.5) / (np.array([[len(neg)], [len(pos)]], np.float32) + 1)
+        E[:, 0] = np.clip(np.log(rate[1] / rate[0]), -3, 3) * np.minimum(seen.sum(0) / (2 * min_docs), 1)
+        E[0] = 0
+        for c in C:
+            c[:, 0, : FILTERS // 2] = np.abs(c[:, 0, : FILTERS // 2]) + 0.5
     m = {k: np.zeros_like(p) for k, p in params.items()}
     s = {k: np.zeros_like(p) for k, p in params.items()}
     step, half, pad = 0, 16, max(WIDTHS) - 1
@@ -218,6 +235,7 @@ def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int =
                 s[k][x] = 0.999 * s[k][x] + 0.001 * g * g
                 p[x] -= lr * (m[k][x] / (1 - 0.9**step)) / (np.sqrt(s[k][x] / (1 - 0.999**step)) + 1e-7)
     model = Model(known, [np.stack([E @ c for c in params[f"C{k}"]]) for k in range(len(WIDTHS))], [params[f"b{k}"] for k in range(len(WIDTHS))], params["v"], float(params["c"][0]))
+    model.languages = find_languages([samples[i] for i in train], BUCKETS, seed)
     calibrate(model, [samples[i] for i in np.flatnonzero(aside)], labels[aside])
     return model
 
@@ -238,14 +256,15 @@ def best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 def calibrate(model: Model, samples: list[np.ndarray], labels: np.ndarray, least: int = 30) -> None:
     """A threshold for each language guess; languages with few rows of a label take that of all rows."""
+    n = len(model.languages.centres)
+    model.shift = np.zeros(n)
     if not len(samples):
         return
-    common = common_rows(model.known)
     z = np.array([model.logit(x) for x in samples])
-    lang = np.array([guess(x, common) for x in samples])
+    lang = np.array([model.languages.of(x) for x in samples])
     y = labels > 0
     general = best_threshold(z, y) if y.any() and not y.all() else 0.0
-    for i in range(len(LANGS)):
+    for i in range(n):
         mine = lang == i
         enough = min((y & mine).sum(), (~y & mine).sum()) >= least
         model.shift[i] = -(best_threshold(z[mine], y[mine]) if enough else general)
@@ -254,13 +273,15 @@ def calibrate(model: Model, samples: list[np.ndarray], labels: np.ndarray, least
 def train(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, seed: int = 7) -> Model | None:
     """usable: a condition on the id column that training rows meet. The sample is max_train rows of each label at most."""
     small_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & usable).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & usable).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+    known = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most")
     order = F.xxhash64("doc_id"), F.col("doc_id")
     chosen = None
     for y in (0, 1):  # top-k by hash: each task keeps max_train rows
-        part = known.where(F.col("y") == y).orderBy(*order).limit(max_train)
+        part = known.where(F.col("y") == y).orderBy(*order).limit(max_train).select("doc_id", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("doc_id", "y", "least.text")
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +312,9 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        h, common = Rows(model.known), common_rows(model.known)
+        h = Rows(model.known)
         for b in batches:
-            s = [model.score(h.ids(plain_words(t)), common) for t in column(b, "text")]
+            s = [model.score(h.ids(plain_words(t))) for t in column(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
             h.trim()
 
@@ -310,9 +331,9 @@ def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.5, id_co
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        h, common = Rows(model.known), common_rows(model.known)
+        h = Rows(model.known)
         for b in batches:
-            yield b.filter(pa.array([model.score(h.ids(plain_words(t or "")), common) < threshold for t in column(b, text_col)], pa.bool_()))
+            yield b.filter(pa.array([model.score(h.ids(plain_words(t or ""))) < threshold for t in column(b, text_col)], pa.bool_()))
             h.trim()
 
     return docs.mapInArrow(run, docs.schema)

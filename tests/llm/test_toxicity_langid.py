@@ -1,4 +1,7 @@
+import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -51,6 +54,48 @@ def test_toxicity_edges(spark):
     assert toxicity.score(odd.limit(0), model).count() == 0
 
 
+def test_score_is_that_of_a_plain_convolution():
+    rng = np.random.default_rng(1)
+    n = 30
+    E = rng.standard_normal((n + 1, toxicity.EMBEDDING)).astype(np.float32)
+    E[0] = 0
+    C = [rng.standard_normal((w, toxicity.EMBEDDING, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = [rng.standard_normal(toxicity.FILTERS).astype(np.float32) for _ in C]
+    weight = rng.standard_normal(len(C) * toxicity.FILTERS).astype(np.float32)
+    model = toxicity.Model(np.arange(1, n + 1, dtype=np.uint32), [np.stack([E @ x for x in c]) for c in C], bias, weight, 0.25)
+    pad = max(toxicity.WIDTHS) - 1
+    for length in (0, 1, 2, 40):
+        ids = rng.integers(0, n + 1, length)
+        words = [0] * pad + ids.tolist() + [0] * pad
+        pooled = []
+        for c, b in zip(C, bias):
+            for f in range(toxicity.FILTERS):
+                best = max(sum(float(E[words[i + j]] @ c[j, :, f]) for j in range(len(c))) for i in range(len(words) - len(c) + 1))
+                pooled.append(max(0.0, best + float(b[f])))
+        z = sum(p * float(w) for p, w in zip(pooled, weight)) + 0.25
+        assert abs(model.score(ids.astype(np.int32)) - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_labels_that_repeat_or_contradict(spark):
+    rows, labels = corpus(200)
+    docs, marks = frames(spark, rows, labels)
+    want = toxicity.train(docs, marks, F.col("doc_id") != 7)
+    again, _ = frames(spark, rows + rows[:50], labels)
+    _, more = frames(spark, rows, labels + labels[:80] + [(7, 0), (7, 1)])
+    got = toxicity.train(again, more, F.lit(True))
+    assert got.known.tolist() == want.known.tolist() and np.allclose(got.weight, want.weight) and np.allclose(got.shift, want.shift)
+
+
+def test_one_id_on_many_rows(spark):
+    """The samples that come to the driver are bounded by texts and ids, not by rows."""
+    rows, labels = corpus(150)
+    many = spark.createDataFrame(rows + [(1000, f"{rows[0][1]} {i}", "aa", "s") for i in range(5000)], "doc_id long, text string, lang string, score string")
+    model = toxicity.train(many, spark.createDataFrame(labels + [(1000, 1)], "doc_id long, toxic int"), F.lit(True))
+    assert toxicity.score(many, model).count() == 5150
+    model = langid.train(many, F.lit(True), max_train=100)
+    assert len(model.langs) == 3 and len(model.centroids) <= 12
+
+
 def test_scores_in_blocks_are_those_of_the_whole():
     rng = np.random.default_rng(0)
     model = toxicity.fit([rng.integers(1, 60, (50, 1)).astype(np.uint32).repeat(4, axis=1) for _ in range(40)], np.arange(40) % 2, epochs=1)
@@ -76,6 +121,46 @@ def test_language_on_held_out_rows(spark):
     assert {r.lang_pred for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_is_that_of_plain_loops(spark):
+    """TF-IDF, spherical centroids of one text each, cosine and the first language of a tie, by loops."""
+    rows = [(0, "Thé thing, of 12 the wing", "bb"), (1, "der schuß und der kübel", "cc"), (2, "que los por azul", "dd"), (3, "que los por azul", "aa"), (4, "the  fling", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True), k=1)
+
+    def grams(text):
+        kept = "".join(" " if c.isspace() else c for c in text.lower() if c.isspace() or not (unicodedata.category(c)[0] in "NPSC"))
+        kept = re.sub(" +", " ", " " + kept)
+        cp = [ord(c) for c in kept]
+        out, low = {}, 0xFFFFFFFF
+        for i in range(2, len(cp)):
+            one, two = cp[i], (cp[i - 1] << 16 ^ cp[i]) & low
+            three = (cp[i - 2] * 0x9E3779B1 & low) ^ (cp[i - 1] * 0x85EBCA77 & low) ^ (cp[i] * 0xC2B2AE3D & low)
+            for salt, g in enumerate((one, two, three)):
+                h = (g + salt * 0x27D4EB2F & low) * 0x9E3779B1 & low
+                h = (h ^ h >> 15) * 0x85EBCA77 & low
+                b = h >> 32 - langid.DIMS.bit_length() + 1
+                out[b] = out.get(b, 0) + 1
+        return out
+
+    known = [(grams(t), lang) for _, t, lang in rows if lang]
+    idf = lambda b: math.log((1 + len(known)) / (1 + sum(b in g for g, _ in known))) + 1
+
+    def vector(g):
+        v = {b: (1 + math.log(n)) * idf(b) for b, n in g.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {b: x / norm for b, x in v.items()}
+
+    queries = [t for _, t, _ in rows] + ["Azul que", "kübel of things", "ein los"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(queries)), "doc_id long, text string"), model).collect()
+    for r, t in zip(sorted(got, key=lambda r: r.doc_id), queries):
+        q = vector(grams(t))
+        cosines = sorted((-round(sum(x * vector(g).get(b, 0) for b, x in q.items()), 5), lang) for g, lang in known)
+        assert abs(r.score + cosines[0][0]) < 2e-3
+        if cosines[1][0] - cosines[0][0] > 0.01 or cosines[0][0] == cosines[1][0]:
+            assert r.lang_pred == cosines[0][1]
+    assert {r.lang_pred for r in got if r.doc_id in (2, 3)} == {"aa"}
+
+
 def test_vector_in_blocks_is_that_of_the_whole(monkeypatch):
     text = "Ab  c\n\nDe é 12 fg. " * 300
     whole = langid.counts(text)
