@@ -3,7 +3,8 @@
 Words have hashed embeddings: a table of the 32-bit hashes of words and word beginnings that occur in MIN_DOCS
 training texts or more; a word outside it takes its longest known beginning, else the zero vector, so that new
 words are neutral. Filters of several widths run over the sequence of words, each is max-pooled over the whole text, and a logistic layer scores the pooled values. Training: Adam on balanced
-minibatches of windows of the labelled texts, from random values. Scores are calibrated: a threshold is chosen for each language
+minibatches of windows of the labelled texts; the embedding's first direction starts at the words' log-odds, all else at
+random values (lift: with few toxic texts random values alone are learned from too slowly). Scores are calibrated: a threshold is chosen for each language
 guess on a part of the training rows that was kept aside, and scores are moved so that 0.5 stands for it. The
 language guess is learned from the training texts alone: their shares of the COMMON most widespread words are clustered
 into LANGS groups at most, and a text is of the nearest one. The lang column is never read.
@@ -157,7 +158,7 @@ def backed_off(known: np.ndarray, raw: np.ndarray, skip_word: np.ndarray | None
     return out
 
 
-def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, lift: bool = False) -> Model:
+def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = EPOCHS, min_docs: int = MIN_DOCS, lift: bool = True) -> Model:
     """raw: hashes of the words of each text, [words, 1 + PREFIXES]. One row in five is kept aside for calibration;
     a word in four is seen as its beginning, so that beginnings learn too."""
     rng = np.random.default_rng(seed)
@@ -174,7 +175,7 @@ def fit(raw: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int =
     E[0] = 0
     C = [(rng.standard_normal((w, EMBEDDING, FILTERS)) / np.sqrt(w * EMBEDDING)).astype(np.float32) for w in WIDTHS]
     params = {"E": E, "v": (rng.standard_normal(len(WIDTHS) * FILTERS) * 0.3).astype(np.float32), "c": np.zeros(1, np.float32)} | {f"C{k}": c for k, c in enumerate(C)} | {f"b{k}": np.zeros(FILTERS, np.float32) for k in range(len(WIDTHS))}
-    if lift:  # words that tell the labels apart start with a direction of their own, for comparison
+    if lift:  # words that tell the labels apart start with a direction of their own, so that max pooling finds them
         seen = np.zeros((2, BUCKETS), np.float32)
         for i, found in zip(train, each):
             at = np.searchsorted(known, found)
