@@ -20,27 +20,37 @@ def matches(text: str, pattern: str) -> tuple[Column, Column]:
 
 
 def exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep..., ord, token, _g, _n: one row for each match of rows with _tok and _gap, with the lengths of its gap and its own."""
+    """keep..., _row, ord, token, _g, _n: one row for each match of rows with _tok and _gap, with the lengths of its gap and
+    its own. _row numbers the texts. The texts are dealt out by it before they are taken apart, so that with_starts() moves
+    no matches."""
     steps = F.expr("transform(_tok, (t, i) -> struct(length(_gap[i]) AS g, length(t) AS n))")
     pairs = F.arrays_zip(F.col("_tok").alias("token"), steps.alias("step"))
-    return rows.select(*keep, F.posexplode(pairs).alias("ord", "_x")).select(*keep, "ord", "_x.token", F.col("_x.step.g").alias("_g"), F.col("_x.step.n").alias("_n"))
+    return rows.select(*keep, "_row", F.posexplode(pairs).alias("ord", "_x")).select(*keep, "_row", "ord", "_x.token", F.col("_x.step.g").alias("_g"), F.col("_x.step.n").alias("_n"))
+
+
+def numbered(df: DataFrame, *columns) -> DataFrame:
+    """The columns and _row, dealt out by it."""
+    return df.select(*columns, F.monotonically_increasing_id().alias("_row")).repartition("_row")
 
 
 def matches_with_offsets(df: DataFrame, text: str, pattern: str, keep: list[str]) -> DataFrame:
-    """keep..., ord, token, _g, _n of all matches of the pattern; with_starts() gives the offsets. Null texts give no rows."""
-    return exploded(df.where(F.col(text).isNotNull()).select(*keep, *matches(text, pattern)), keep)
+    """keep..., _row, ord, token, _g, _n of all matches of the pattern; with_starts() gives the offsets. Null texts give no
+    rows, and so do empty ones; a text of any length is taken whole."""
+    rows = numbered(df.where(F.col(text).isNotNull()), *keep, text)
+    return exploded(rows.select(*keep, "_row", *matches(text, pattern)), keep)
 
 
-def with_starts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds start and end of each token in code points: the running sum of gaps and tokens of its text."""
-    w = W.partitionBy(*keys).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+def with_starts(rows: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Adds start and end of each token in code points: the running sum of gaps and tokens of its text (and of `more`
+    columns, where a text was searched more than once). Texts that share a key are kept apart by their numbers."""
+    w = W.partitionBy("_row", *(more or [])).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
     start = F.sum(F.col("_g") + F.col("_n")).over(w) - F.col("_n")
-    return rows.withColumn("start", start.cast("int")).withColumn("end", (F.col("start") + F.col("_n")).cast("int")).drop("_g", "_n")
+    return rows.withColumn("start", start.cast("int")).withColumn("end", (F.col("start") + F.col("_n")).cast("int")).drop("_g", "_n", "_row")
 
 
 def words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ord, token, start, end of the words of each text. Keys are taken to be unique."""
-    return with_starts(matches_with_offsets(df, text, WORD, [key]), [key]).select(key, "ord", "token", "start", "end")
+    """key, ord, token, start, end of the words of each text. Texts with the same key have rows of their own each."""
+    return with_starts(matches_with_offsets(df, text, WORD, [key])).select(key, "ord", "token", "start", "end")
 
 
 def word_count(text: str) -> Column:

@@ -1,19 +1,17 @@
 """Candidates by rules, resolution of identical spans, spans of entities on words. A detector that is a model can
-stand in for the rules: it is a function from (key, win, offset, part) rows to candidates (see Detector)."""
+stand in for the rules: a callable from texts of windows to candidates, run by detected()."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.policy import POLICY, policy
-from ..functions.text import blank, exploded, matches, with_starts
-
-#: A detector takes rows (key, text) and gives key, start, end, label, score in code points of the text.
-Detector = Callable[[DataFrame, str, str], DataFrame]
+from ..functions.text import blank, exploded, matches, numbered, with_starts
 
 #: (label, pattern, score); the last one competes for the same spans and loses by the alphabet.
 RULES = (
@@ -28,14 +26,17 @@ MIN_SCORE, MAX_ENTITIES, MAX_CHARS, MAX_WORDS = 0.3, 128, 6000, 512
 
 
 def rule_candidates(df: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """key, start, end, label, score: all matches of each rule, in one scan. Only texts that hold a match are taken apart,
-    and only matches are shuffled."""
-    patterns = dict.fromkeys(p for _, p, _ in rules)
-    hits = df.where(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns)))
+    """key, start, end, label, score: all matches of each rule, in one scan. Only texts that hold a match are moved and taken
+    apart. Texts with the same key give the rows of each."""
     found = [F.struct(F.lit(label).alias("label"), F.lit(score).alias("score"), *matches(text, pattern)) for label, pattern, score in rules]
-    rows = hits.select(key, F.explode(F.array(*found)).alias("_m")).where(F.size("_m._tok") > 0)
-    rows = exploded(rows.select(key, "_m.*"), [key, "label", "score"])
-    return with_starts(rows, [key, "label"]).select(key, "start", "end", "label", "score")
+    rows = numbered(with_matches(df, text, rules), key, text).select(key, "_row", F.explode(F.array(*found)).alias("_m")).where(F.size("_m._tok") > 0)
+    rows = exploded(rows.select(key, "_row", "_m.*"), [key, "label", "score"])
+    return with_starts(rows, ["label"]).select(key, "start", "end", "label", "score")
+
+
+def with_matches(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows whose text holds a match of a rule. One narrow pass."""
+    return df.where(F.col(text).rlike("|".join(f"(?:{p})" for p in dict.fromkeys(p for _, p, _ in rules))))
 
 
 def resolve_identical(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -60,9 +61,10 @@ def has_evidence(text: Column) -> Column:
     return ~blank(F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")))
 
 
-def spans_on_words(found: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
+def spans_on_words(found: DataFrame, words: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One span for each word (key, line, w_start, w_end) that an entity touches, clipped to the word and counted from
-    its start. An equi-join on the text with the overlap as its residue."""
+    its start; keep: columns of the words that stay. An equi-join on the text with the overlap as its residue. Entities that
+    touch no word give no row; untouched() names them."""
     e, w = found.alias("e"), words.alias("w")
     hit = (F.col(f"e.{key}") == F.col(f"w.{key}")) & (F.col("e.start") < F.col("w.w_end")) & (F.col("e.end") > F.col("w.w_start"))
     return e.join(w, hit).select(
@@ -73,9 +75,61 @@ def spans_on_words(found: DataFrame, words: DataFrame, key: str = "doc_id") -> D
         F.col("w.line").alias("line"),
         (F.greatest("e.start", "w.w_start") - F.col("w.w_start")).cast("int").alias("start"),
         (F.least("e.end", "w.w_end") - F.col("w.w_start")).cast("int").alias("end"),
+        *[F.col(f"w.{c}").alias(c) for c in keep],
     )
 
 
+def untouched(found: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Entities (key, start, end, label) without a span on any word: what they hide would stay visible, so their texts fail."""
+    hit = spans.select(key, F.col("e_start").alias("start"), F.col("e_end").alias("end"), "label").distinct()
+    return found.select(key, "start", "end", "label").join(hit, [key, "start", "end", "label"], "left_anti")
+
+
+def detected(df: DataFrame, windows: DataFrame, words: DataFrame, detect_batch, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, start, end, label, score, error: a detector over windows of words, in code points of the whole text.
+
+    windows: key, win, first_word, last_word; words: key, ord, start, end; keys are unique. detect_batch is a callable from
+    texts of windows to a list of (start, end, label, score) each. Candidates that stand outside their window, cover nothing
+    visible, have no score from 0 to 1 or no label of the policy are rows with an error in place of a span; so is a
+    window whose call fails. Of identical spans of overlapping windows the best stays (resolve_identical)."""
+    keytype = df.schema[key].dataType.simpleString()
+    first = words.select(key, F.col("ord").alias("first_word"), F.col("start").alias("_from"))
+    last = words.select(key, (F.col("ord") + 1).alias("last_word"), F.col("end").alias("_to"))
+    parts = windows.join(first, [key, "first_word"]).join(last, [key, "last_word"]).join(df.select(key, F.col(text).alias("_text")), key)
+    parts = parts.select(key, "win", "_from", F.expr("substring(_text, _from + 1, _to - _from)").alias("_part"))
+    allowed = frozenset(POLICY)
+
+    def fault(part: str, start, end, label, score) -> str | None:
+        if not (isinstance(start, int) and isinstance(end, int) and 0 <= start < end <= len(part)):
+            return "bad_range"
+        if not part[start:end].strip():
+            return "no_evidence"
+        if not isinstance(score, float) or not 0 <= score <= 1:
+            return "bad_score"
+        return None if label in allowed else "unknown_label"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            try:
+                answers = list(detect_batch(b["_part"].tolist()))
+                if len(answers) != len(b):
+                    raise ValueError
+            except Exception:  # what it says may hold text of documents
+                rows = [(k, None, None, None, None, "detector_failed") for k in b[key]]
+                answers = []
+            for k, at, part, found in zip(b[key], b["_from"], b["_part"], answers):
+                for start, end, label, score in found:
+                    error = fault(part, start, end, label, score)
+                    rows.append((k, None, None, None, None, error) if error else (k, at + start, at + end, label, score, None))
+            frame = pd.DataFrame(rows, columns=[key, "start", "end", "label", "score", "error"])
+            yield frame.astype({"start": "Int32", "end": "Int32"})
+
+    rows = parts.select(key, "_from", "_part").mapInPandas(run, f"{key} {keytype}, start int, end int, label string, score double, error string")
+    fine = resolve_identical(rows.where("error is null").drop("error"), key).withColumn("error", F.lit(None).cast("string"))
+    return fine.unionByName(rows.where("error is not null"))
+
+
 def over_cap(rows: DataFrame, key: str = "doc_id", cap: int = MAX_ENTITIES) -> DataFrame:
     """Keys with more rows than the cap; such texts fail as a whole."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > cap).select(key)

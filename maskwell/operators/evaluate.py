@@ -27,11 +27,12 @@ class Gate:
 def entity_metrics(truth: DataFrame, applied: DataFrame, ink: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, id, label, ink_pixels, covered_pixels, coverage, fully_covered, correct_label_fully_covered.
 
-    truth: key, id, label, y, x0, x1; applied: key, label, y, x0, x1; ink: key, y, x0, x1 (disjoint)."""
+    truth: key, id, label, runs; applied: key, label, runs; ink: key, runs (disjoint). Runs are y, x0, x1 and, if they come
+    from regions.slabs, h."""
     own = [key, "id", "label"]
-    target = regions.intersect(regions.union(truth, own), ink, [key]).select(*own, "y", "x0", "x1")
-    covered = regions.intersect(target, regions.union(applied.select(key, "y", "x0", "x1"), [key]), [key])
-    right = regions.intersect(target, regions.union(applied.select(key, "label", "y", "x0", "x1"), [key, "label"]), [key, "label"])
+    target = regions.intersect(regions.union(truth, own), ink, [key]).select(*own, "y", "h", "x0", "x1")
+    covered = regions.intersect(target, regions.union(applied, [key]), [key])
+    right = regions.intersect(target, regions.union(applied, [key, "label"]), [key, "label"])
     rows = truth.select(*own).distinct()
     for df, name in ((target, "ink_pixels"), (covered, "covered_pixels"), (right, "right_pixels")):
         rows = rows.join(regions.area(df, own, name), own, "left").withColumn(name, F.coalesce(name, F.lit(0)))
@@ -50,20 +51,19 @@ def ink_metrics(truth: DataFrame, applied: DataFrame, ink: DataFrame, key: str =
     """key, sensitive_coverage, nonpii_ink_mask of each page with ink: the masked shares of the ink under the truth and of
     all other ink; null where there is none of it.
 
-    truth, applied: key, y, x0, x1; ink: key, y, x0, x1 (disjoint, all of the page)."""
-    runs = [key, "y", "x0", "x1"]
-    sensitive = regions.intersect(regions.union(truth.select(*runs), [key]), ink.select(*runs), [key])
-    mask = regions.union(applied.select(*runs), [key])
+    truth, applied: key, runs; ink: key, runs (disjoint, all of the page)."""
+    sensitive = regions.intersect(regions.union(truth, [key]), ink, [key])
+    mask = regions.union(applied, [key])
     rows = ink.select(key).distinct()
-    for df, name in ((ink, "_ink"), (sensitive, "_s"), (regions.intersect(ink.select(*runs), mask, [key]), "_masked"), (regions.intersect(sensitive, mask, [key]), "_s_masked")):
+    for df, name in ((ink, "_ink"), (sensitive, "_s"), (regions.intersect(ink, mask, [key]), "_masked"), (regions.intersect(sensitive, mask, [key]), "_s_masked")):
         rows = rows.join(regions.area(df, [key], name), key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return rows.select(key, F.try_divide("_s_masked", "_s").alias("sensitive_coverage"), F.try_divide(F.col("_masked") - F.col("_s_masked"), F.col("_ink") - F.col("_s")).alias("nonpii_ink_mask"))
 
 
 def false_positives(detections: DataFrame, truth: DataFrame, ink: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, det: detections (key, det, y, x0, x1) that touch no sensitive ink."""
-    sensitive = regions.intersect(regions.union(truth.select(key, "y", "x0", "x1"), [key]), ink, [key])
-    hit = regions.intersect(detections.select(key, "det", "y", "x0", "x1"), sensitive, [key]).select(key, "det").distinct()
+    """key, det: detections (key, det, runs) that touch no sensitive ink."""
+    sensitive = regions.intersect(regions.union(truth, [key]), ink, [key])
+    hit = regions.intersect(detections, sensitive, [key]).select(key, "det").distinct()
     return detections.select(key, "det").distinct().join(hit, [key, "det"], "left_anti")
 
 

@@ -7,6 +7,7 @@ doc_id % 5 = 0, and one line too low where doc_id % 3 = 0."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +20,7 @@ from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import regions as R
 from ..operators import review as V
+from ..storage import settle
 from . import layout as L
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,11 +158,68 @@ def identical_span_resolve(spark, sf_dir):
 UNIT = r"[^\s\p{Z}]+"
 
 
-def units(spark, sf_dir, found: DataFrame) -> DataFrame:
-    """doc_id, line (number of the word), w_start, w_end: only of texts with entities."""
-    rows = docs(spark, sf_dir).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    w = T.with_starts(T.matches_with_offsets(rows, "text", UNIT, ["doc_id"]), ["doc_id"])
-    return w.select("doc_id", F.col("ord").alias("line"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+class Pages:
+    """What queries need of the texts that hold an entity. Those texts are written to the shared folder by one narrow pass
+    over the documents; the small frames that several steps read are written once too."""
+
+    def __init__(self, spark, sf_dir: str):
+        self.hits = settle(D.with_matches(docs(spark, sf_dir)))
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return settle(D.entities(self.hits))
+
+    @cached_property
+    def units(self) -> DataFrame:
+        """doc_id, line (number of the word), w_start, w_end."""
+        w = T.with_starts(T.matches_with_offsets(self.hits, "text", UNIT, ["doc_id"]))
+        return w.select("doc_id", F.col("ord").alias("line"), F.col("start").alias("w_start"), F.col("end").alias("w_end"))
+
+    @cached_property
+    def boxes(self) -> DataFrame:
+        """doc_id, label, e_start, word, line, x0, y0, x1, y1: padded boxes of the words that entities touch."""
+        spans = D.spans_on_words(self.found, self.units, keep=("w_start", "w_end"))
+        spans = spans.select("doc_id", "label", "e_start", F.col("line").alias("word"), F.col("w_start").alias("start"), F.col("w_end").alias("end"))
+        cells = L.on_lines(spans, ["doc_id", "label", "e_start", "word"])
+        cells = cells.join(self.hits.select("doc_id", L.page_height(F.length("text")).alias("h")), "doc_id")
+        box = padded_box(F.array("x0", F.col("x1") - 1), F.array("y0", F.col("y1") - 1), L.page_width(), F.col("h"))
+        return settle(cells.select("doc_id", "label", "e_start", "word", "line", box.alias("b")).select("doc_id", "label", "e_start", "word", "line", "b.*"))
+
+    @cached_property
+    def applied(self) -> DataFrame:
+        """The disturbed detections: doc_id, det, label, line, x0, y0, x1, y1."""
+        low = F.when(F.col("doc_id") % 3 == 0, T.PITCH).otherwise(0)
+        rows = self.boxes.where("doc_id % 7 <> 0").withColumn("label", F.when(F.col("doc_id") % 5 == 0, "other_pii").otherwise(F.col("label")))
+        return rows.select("doc_id", F.concat_ws("-", "e_start", "word").alias("det"), "label", (F.col("line") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("line"), "x0", (F.col("y0") + low).alias("y0"), "x1", (F.col("y1") + low).alias("y1"))
+
+    @cached_property
+    def truth(self) -> DataFrame:
+        """doc_id, id, label, line, x0, y0, x1, y1 of the entities' characters."""
+        return L.on_lines(self.found.withColumn("id", F.col("start")), ["doc_id", "id", "label"])
+
+    @cached_property
+    def ink(self) -> DataFrame:
+        """doc_id, line, x0, x1, y0, y1 of all visible characters."""
+        return settle(L.ink_runs(self.hits))
+
+    @cached_property
+    def near(self) -> DataFrame:
+        """Ink of the lines of entities: only that matters to them, and it is little."""
+        return self.ink.join(self.truth.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        t, a, ink = R.slabs("doc_id", (self.truth, ["doc_id", "id", "label"]), (self.applied, ["doc_id", "label"]), (self.near, ["doc_id"]))
+        return settle(E.entity_metrics(t, a, ink))
+
+    def false_positives(self) -> DataFrame:
+        t, a, ink = R.slabs("doc_id", (self.truth, ["doc_id"]), (self.applied, ["doc_id", "det"]), (self.near, ["doc_id"]))
+        return E.false_positives(a, t, ink)
+
+    def shares(self) -> DataFrame:
+        """doc_id, sensitive_coverage, nonpii_ink_mask."""
+        t, a, ink = R.slabs("doc_id", (self.truth, ["doc_id"]), (self.applied, ["doc_id"]), (self.ink, ["doc_id"]))
+        return E.ink_metrics(t, a, ink)
 
 
 UNITS = f"""units AS (SELECT doc_id, ord AS line, "start" AS w_start, "end" AS w_end FROM ({sql_matches("(SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ent))", "doc_id", "text", UNIT)}))"""
@@ -169,10 +228,10 @@ SPANS = """spans AS (SELECT e.doc_id, e.label, e."start" AS e_start, e."end" AS
 
 @query(f'WITH {ENTITIES}, {UNITS}, {SPANS} SELECT doc_id, label, e_start, e_end, line, "start", "end" FROM spans')
 def span_to_words(spark, sf_dir):
-    found = D.entities(docs(spark, sf_dir))
-    text = docs(spark, sf_dir).select("doc_id", "text", F.length("text").alias("n"))
-    found = found.join(text, "doc_id").where(D.valid_entity(F.col("n")) & D.has_evidence(F.col("text"))).drop("text", "n")
-    return D.spans_on_words(found, units(spark, sf_dir, found))
+    pages = Pages(spark, sf_dir)
+    text = pages.hits.select("doc_id", "text", F.length("text").alias("n"))
+    found = pages.found.join(text, "doc_id").where(D.valid_entity(F.col("n")) & D.has_evidence(F.col("text"))).drop("text", "n")
+    return D.spans_on_words(found, pages.units)
 
 
 #: Labels as a model's prompts would name them; those that are no label of the policy are found by an anti-join.
@@ -251,17 +310,6 @@ def dup_by_hash(spark, sf_dir):
 # ---- regions on the virtual page ----
 
 
-def boxes(spark, sf_dir) -> DataFrame:
-    """doc_id, label, det, line, x0, y0, x1, y1: padded boxes of the words that entities touch."""
-    found = D.entities(docs(spark, sf_dir))
-    spans = D.spans_on_words(found, units(spark, sf_dir, found)).select("doc_id", "label", "e_start", F.col("line").alias("word"))
-    w = units(spark, sf_dir, found).select("doc_id", F.col("line").alias("word"), F.col("w_start").alias("start"), F.col("w_end").alias("end"))
-    cells = L.on_lines(spans.join(w, ["doc_id", "word"]), ["doc_id", "label", "e_start", "word"])
-    cells = cells.join(docs(spark, sf_dir).select("doc_id", L.page_height(F.length("text")).alias("h")), "doc_id")
-    box = padded_box(F.array("x0", F.col("x1") - 1), F.array("y0", F.col("y1") - 1), L.page_width(), F.col("h"))
-    return cells.select("doc_id", "label", "e_start", "word", "line", box.alias("b")).select("doc_id", "label", "e_start", "word", "line", "b.*")
-
-
 BOXES = f"""boxes AS (SELECT c.doc_id, label, e_start, word, line, CAST(greatest(0, x0 - {PAD_BEFORE}) AS INTEGER) AS x0, CAST(greatest(0, y0 - {PAD_BEFORE}) AS INTEGER) AS y0, CAST(least({WIDTH}, x1 - 1 + {PAD_AFTER}) AS INTEGER) AS x1, CAST(least({HEIGHT}, y1 - 1 + {PAD_AFTER}) AS INTEGER) AS y1
 FROM ({sql_lines('(SELECT doc_id, label, e_start, line AS word, w_start AS "start", w_end AS "end" FROM spans)', 'doc_id, label, e_start, word')}) c JOIN documents d ON c.doc_id = d.doc_id)"""
 GEOMETRY = f"{ENTITIES}, {UNITS}, {SPANS}, {BOXES}"
@@ -269,7 +317,7 @@ GEOMETRY = f"{ENTITIES}, {UNITS}, {SPANS}, {BOXES}"
 
 @query(f"WITH {GEOMETRY} SELECT doc_id, label, e_start, word, line, x0, y0, x1, y1 FROM boxes")
 def layout_boxes(spark, sf_dir):
-    return boxes(spark, sf_dir)
+    return Pages(spark, sf_dir).boxes
 
 
 #: Union of intervals on each line in SQL; rows of a page's lines never meet, so a line's height is a factor.
@@ -278,15 +326,14 @@ UNION = """SELECT doc_id, line, h, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *,
 
 @query(f"WITH {GEOMETRY} SELECT doc_id, CAST(sum(h * (x1 - x0)) AS BIGINT) AS area FROM ({UNION}) GROUP BY doc_id")
 def mask_union_area(spark, sf_dir):
-    runs = R.runs_of_boxes(boxes(spark, sf_dir), ["doc_id"])
+    (runs,) = R.slabs("doc_id", (Pages(spark, sf_dir).boxes, ["doc_id"]))
     return R.area(R.union(runs, ["doc_id"]), ["doc_id"])
 
 
 @query(f"WITH {INK} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS INTEGER) AS band, y0, y1 FROM (SELECT DISTINCT doc_id, y0, y1 FROM ink)")
 def row_bands(spark, sf_dir):
-    lines = L.ink_runs(docs(spark, sf_dir)).select("doc_id", "y0", "y1").distinct()
-    scan = lines.select("doc_id", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    return R.bands(scan, ["doc_id"]).select("doc_id", F.col("band").cast("int").alias("band"), "y0", "y1")
+    lines = L.ink_runs(docs(spark, sf_dir)).select("doc_id", F.col("y0").alias("y"), (F.col("y1") - F.col("y0")).alias("h")).distinct()
+    return R.bands(lines, ["doc_id"]).select("doc_id", F.col("band").cast("int").alias("band"), "y0", "y1")
 
 
 @query(f"WITH {INK} SELECT doc_id, y0, y1, CAST(row_number() OVER (PARTITION BY doc_id, y0 ORDER BY x0) - 1 AS INTEGER) AS word, x0, x1 FROM ink")
@@ -300,40 +347,7 @@ def word_segments(spark, sf_dir):
 
 @query(f"WITH {GEOMETRY} SELECT doc_id, label, e_start, count(*) AS n_boxes, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes GROUP BY doc_id, label, e_start")
 def unit_overlap_boxes(spark, sf_dir):
-    return boxes(spark, sf_dir).groupBy("doc_id", "label", "e_start").agg(F.count("*").alias("n_boxes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-
-
-def applied(spark, sf_dir) -> DataFrame:
-    """The disturbed detections: doc_id, det, label, line, x0, y0, x1, y1."""
-    low = F.when(F.col("doc_id") % 3 == 0, T.PITCH).otherwise(0)
-    rows = boxes(spark, sf_dir).where("doc_id % 7 <> 0").withColumn("label", F.when(F.col("doc_id") % 5 == 0, "other_pii").otherwise(F.col("label")))
-    return rows.select("doc_id", F.concat_ws("-", "e_start", "word").alias("det"), "label", (F.col("line") + F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)).alias("line"), "x0", (F.col("y0") + low).alias("y0"), "x1", (F.col("y1") + low).alias("y1"))
-
-
-def truth(spark, sf_dir) -> DataFrame:
-    """doc_id, id, label, line, x0, y0, x1, y1 of the entities' characters."""
-    found = D.entities(docs(spark, sf_dir)).withColumn("id", F.col("start"))
-    return L.on_lines(found, ["doc_id", "id", "label"])
-
-
-def ink_near(spark, sf_dir, *marks: DataFrame) -> DataFrame:
-    """Ink of the lines that a mark touches: only those matter, and they are few."""
-    lines = marks[0].select("doc_id", "line")
-    for m in marks[1:]:
-        lines = lines.unionByName(m.select("doc_id", "line"))
-    lines = lines.distinct()
-    rows = docs(spark, sf_dir).join(lines.select("doc_id").distinct(), "doc_id", "left_semi")
-    return L.ink_runs(rows).join(lines, ["doc_id", "line"], "left_semi")
-
-
-def scan(df: DataFrame, keys: list[str]) -> DataFrame:
-    return R.runs_of_boxes(df, keys)
-
-
-def metrics(spark, sf_dir) -> DataFrame:
-    t, a = truth(spark, sf_dir), applied(spark, sf_dir)
-    ink = scan(ink_near(spark, sf_dir, t), ["doc_id"])
-    return E.entity_metrics(scan(t, ["doc_id", "id", "label"]), scan(a, ["doc_id", "label"]), ink)
+    return Pages(spark, sf_dir).boxes.groupBy("doc_id", "label", "e_start").agg(F.count("*").alias("n_boxes"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 TRUTH = f"""truth AS ({sql_lines('(SELECT doc_id, "start" AS id, label, "start", "end" FROM ent)', 'doc_id, id, label')})"""
@@ -354,12 +368,12 @@ FROM (SELECT DISTINCT doc_id, id, label FROM truth) e LEFT JOIN (SELECT doc_id,
 
 @query(f"WITH {METRICS} SELECT doc_id, id, label, ink_pixels, covered_pixels, round(coverage, 6) AS coverage, fully_covered, correct_label_fully_covered FROM met")
 def entity_coverage(spark, sf_dir):
-    return metrics(spark, sf_dir).withColumn("coverage", F.round("coverage", 6))
+    return Pages(spark, sf_dir).metrics.withColumn("coverage", F.round("coverage", 6))
 
 
 @query(f"WITH {METRICS} SELECT label, count(*) AS n, count(*) FILTER (WHERE fully_covered) AS \"full\", count(*) FILTER (WHERE correct_label_fully_covered) AS correct FROM met GROUP BY label")
 def label_coverage(spark, sf_dir):
-    return E.per_label(metrics(spark, sf_dir))
+    return E.per_label(Pages(spark, sf_dir).metrics)
 
 
 FALSE = """fp AS (SELECT DISTINCT a.doc_id, a.det FROM applied a WHERE NOT EXISTS (SELECT 1 FROM target t WHERE t.doc_id = a.doc_id AND t.line = a.line AND t.x0 < a.x1 AND a.x0 < t.x1))"""
@@ -367,16 +381,33 @@ FALSE = """fp AS (SELECT DISTINCT a.doc_id, a.det FROM applied a WHERE NOT EXIST
 
 @query(f"WITH {GEOMETRY}, {INK}, {TRUTH}, {APPLIED}, {TARGET}, {FALSE} SELECT doc_id, det FROM fp")
 def false_positive_detections(spark, sf_dir):
-    t, a = truth(spark, sf_dir), applied(spark, sf_dir)
-    ink = scan(ink_near(spark, sf_dir, t), ["doc_id"])
-    return E.false_positives(scan(a, ["doc_id", "det"]), scan(t, ["doc_id"]), ink)
+    return Pages(spark, sf_dir).false_positives()
+
+
+def sql_union(source: str) -> str:
+    """Disjoint intervals of each line."""
+    order = "OVER (PARTITION BY doc_id, line ORDER BY x0, x1"
+    return f"""SELECT doc_id, line, min(x0) AS x0, max(x1) AS x1 FROM (SELECT *, sum(fresh) {order} ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT doc_id, line, x0, x1, CASE WHEN x0 > max(x1) {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM {source})) GROUP BY doc_id, line, island"""
+
+
+def sql_meet(a: str, b: str) -> str:
+    return f"SELECT a.doc_id, a.line, greatest(a.x0, b.x0) AS x0, least(a.x1, b.x1) AS x1 FROM {a} a JOIN {b} b ON a.doc_id = b.doc_id AND a.line = b.line AND a.x0 < b.x1 AND b.x0 < a.x1"
+
+
+def sql_width(source: str, name: str) -> str:
+    return f"(SELECT doc_id, sum(x1 - x0) AS {name} FROM {source} GROUP BY doc_id)"
+
+
+#: Shares of the ink under the truth and of all other ink that are masked, of texts with entities.
+SHARES = f"""page_ink AS (SELECT * FROM ink WHERE doc_id IN (SELECT doc_id FROM ent)), t_union AS ({sql_union('truth')}), a_union AS ({sql_union('applied')}), sens AS ({sql_meet('t_union', 'page_ink')}), hid AS ({sql_meet('page_ink', 'a_union')}), s_hid AS ({sql_meet('sens', 'a_union')}),
+shares AS (SELECT p.doc_id, coalesce(sh, 0) / nullif(coalesce(s, 0), 0) AS sensitive_coverage, (coalesce(h, 0) - coalesce(sh, 0)) / nullif(p - coalesce(s, 0), 0) AS nonpii_ink_mask FROM {sql_width('page_ink', 'p')} p LEFT JOIN {sql_width('sens', 's')} s ON p.doc_id = s.doc_id LEFT JOIN {sql_width('hid', 'h')} h ON p.doc_id = h.doc_id LEFT JOIN {sql_width('s_hid', 'sh')} sh ON p.doc_id = sh.doc_id)"""
 
 
-@query(f"""WITH {METRICS}, {FALSE} SELECT m.doc_id, count(*) AS n_entities, count(*) FILTER (WHERE fully_covered) AS n_full, coalesce(string_agg(CASE WHEN NOT fully_covered THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS missed_ids, coalesce(string_agg(DISTINCT CASE WHEN NOT fully_covered THEN label END, ',' ORDER BY CASE WHEN NOT fully_covered THEN label END), '') AS missed_labels, max(coalesce(n, 0)) AS false_positives, CASE WHEN bool_and(fully_covered) THEN 'single_image_all_entities_covered' ELSE 'single_image_incomplete' END AS result
-FROM met m LEFT JOIN (SELECT doc_id, count(*) AS n FROM fp GROUP BY doc_id) f ON m.doc_id = f.doc_id GROUP BY m.doc_id""")
+@query(f"""WITH {METRICS}, {FALSE}, {SHARES} SELECT i.*, round(sensitive_coverage, 6) AS sensitive_coverage, round(nonpii_ink_mask, 6) AS nonpii_ink_mask FROM shares JOIN (SELECT m.doc_id, count(*) AS n_entities, count(*) FILTER (WHERE fully_covered) AS n_full, coalesce(string_agg(CASE WHEN NOT fully_covered THEN CAST(id AS VARCHAR) END, ',' ORDER BY id), '') AS missed_ids, coalesce(string_agg(DISTINCT CASE WHEN NOT fully_covered THEN label END, ',' ORDER BY CASE WHEN NOT fully_covered THEN label END), '') AS missed_labels, max(coalesce(n, 0)) AS false_positives, CASE WHEN bool_and(fully_covered) THEN 'single_image_all_entities_covered' ELSE 'single_image_incomplete' END AS result
+FROM met m LEFT JOIN (SELECT doc_id, count(*) AS n FROM fp GROUP BY doc_id) f ON m.doc_id = f.doc_id GROUP BY m.doc_id) i ON shares.doc_id = i.doc_id""")
 def image_metrics(spark, sf_dir):
-    m = metrics(spark, sf_dir)
-    fp = false_positive_detections(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("false_positives"))
+    pages = Pages(spark, sf_dir)
+    m, fp = pages.metrics, pages.false_positives().groupBy("doc_id").agg(F.count("*").alias("false_positives"))
     missed = F.when(~F.col("fully_covered"), F.col("id"))
     rows = m.groupBy("doc_id").agg(
         F.count("*").alias("n_entities"),
@@ -385,20 +416,24 @@ def image_metrics(spark, sf_dir):
         F.array_join(F.array_sort(F.collect_set(F.when(~F.col("fully_covered"), F.col("label")))), ",").alias("missed_labels"),
         F.when(F.bool_and("fully_covered"), "single_image_all_entities_covered").otherwise("single_image_incomplete").alias("result"),
     )
-    return rows.join(fp, "doc_id", "left").withColumn("false_positives", F.coalesce("false_positives", F.lit(0)))
+    rows = rows.join(fp, "doc_id", "left").withColumn("false_positives", F.coalesce("false_positives", F.lit(0)))
+    return rows.join(pages.shares().withColumns({c: F.round(c, 6) for c in ("sensitive_coverage", "nonpii_ink_mask")}), "doc_id")
 
 
 # ---- cohorts ----
 
-#: One fact row for each document: a page over the length limit failed, coverage follows the disturbance above.
-FACTS = f"""facts AS (SELECT d.doc_id, lang, coalesce(n, 0) AS n_entities, CASE WHEN d.doc_id % 7 = 0 OR length(text) > 6000 THEN 0 ELSE coalesce(n, 0) END AS n_full, CASE WHEN d.doc_id % 7 = 0 OR d.doc_id % 5 = 0 OR length(text) > 6000 THEN 0 ELSE coalesce(n, 0) END AS n_correct, CASE WHEN length(text) > 6000 THEN 0.0 ELSE (d.doc_id % 11) / 100.0 END AS fraction, length(text) > 6000 AS failed FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id) e ON d.doc_id = e.doc_id)"""
+#: One fact row for each document, from its measured metrics; a page over the length limit failed, and its entities are missed.
+FACTS = f"""{METRICS}, {SHARES}, facts AS (SELECT d.doc_id, lang, coalesce(n, 0) AS n_entities, CASE WHEN length(text) > 6000 THEN 0 ELSE coalesce(n_full, 0) END AS n_full, CASE WHEN length(text) > 6000 THEN 0 ELSE coalesce(n_correct, 0) END AS n_correct, CASE WHEN length(text) > 6000 THEN 0.0 ELSE coalesce(round(nonpii_ink_mask, 6), 0.0) END AS fraction, length(text) > 6000 AS failed
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE fully_covered) AS n_full, count(*) FILTER (WHERE correct_label_fully_covered) AS n_correct FROM met GROUP BY doc_id) e ON d.doc_id = e.doc_id LEFT JOIN shares s ON d.doc_id = s.doc_id)"""
 
 
 def facts(spark, sf_dir) -> DataFrame:
-    n = D.entities(docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.length("text") > D.MAX_CHARS).alias("failed")).join(n, "doc_id", "left")
-    n, lost = F.coalesce("n", F.lit(0)), F.col("failed") | (F.col("doc_id") % 7 == 0)
-    return rows.select("doc_id", "lang", n.alias("n_entities"), F.when(lost, 0).otherwise(n).cast("long").alias("n_full"), F.when(lost | (F.col("doc_id") % 5 == 0), 0).otherwise(n).cast("long").alias("n_correct"), F.when(F.col("failed"), 0.0).otherwise((F.col("doc_id") % 11) / F.lit(100.0)).alias("fraction"), "failed")
+    pages = Pages(spark, sf_dir)
+    n = pages.metrics.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("fully_covered").alias("_full"), F.count_if("correct_label_fully_covered").alias("_correct"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.length("text") > D.MAX_CHARS).alias("failed"))
+    rows = rows.join(n, "doc_id", "left").join(pages.shares(), "doc_id", "left")
+    unless = lambda c, other: F.when(F.col("failed"), other).otherwise(F.coalesce(c, other))
+    return rows.select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n_entities"), unless(F.col("_full"), F.lit(0)).cast("long").alias("n_full"), unless(F.col("_correct"), F.lit(0)).cast("long").alias("n_correct"), unless(F.round("nonpii_ink_mask", 6), F.lit(0.0)).alias("fraction"), "failed")
 
 
 @query(f"""WITH {METRICS} SELECT t.doc_id, t.id, t.label, length(d.text) <= 6000 AND t.doc_id % 4 <> 3 AND m.fully_covered AS fully_covered, length(d.text) <= 6000 AND t.doc_id % 4 <> 3 AND m.correct_label_fully_covered AS correct_label_fully_covered, length(d.text) > 6000 OR t.doc_id % 4 = 3 AS failed
@@ -407,19 +442,20 @@ def failed_run_substitution(spark, sf_dir):
     # runs of every fourth document are missing, those of long ones have failed
     status = F.when(F.col("n") > D.MAX_CHARS, "failed").otherwise("completed_unassessed")
     runs = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n")).where("doc_id % 4 <> 3").select("doc_id", status.alias("status"))
-    return E.with_failures(metrics(spark, sf_dir), truth(spark, sf_dir).select("doc_id", "id", "label").distinct(), runs)
+    pages = Pages(spark, sf_dir)
+    return E.with_failures(pages.metrics, pages.truth.select("doc_id", "id", "label").distinct(), runs)
 
 
 SUMMARY = """count(*) AS n, CAST(coalesce(sum(n_entities), 0) AS BIGINT) AS entity_count, round(coalesce(sum(n_full) / nullif(sum(n_entities), 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) / nullif(sum(n_entities), 0), 0.0), 6) AS correct_label, round(coalesce(count(*) FILTER (WHERE n_entities > 0 AND n_full = n_entities) / nullif(count(*), 0), 0.0), 6) AS zero_missed_images, coalesce(max(fraction), 1.0) AS max_nonpii_ink_mask, count(*) FILTER (WHERE failed) AS n_failed"""
 ROUNDED = ("overall", "correct_label", "zero_missed_images")
 
 
-@query(f"WITH {ENTITIES}, {FACTS} SELECT {SUMMARY} FROM facts")
+@query(f"WITH {FACTS} SELECT *, n >= 10 AND entity_count > 0 AND n_failed = 0 AND overall > 0.8 AND correct_label > 0.8 AS gate_passed, 2 AS gate_version FROM (SELECT {SUMMARY} FROM facts)")
 def cohort_summary(spark, sf_dir):
-    return E.summary(facts(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ROUNDED}).drop("gate_passed", "gate_version")
+    return E.summary(facts(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ROUNDED})
 
 
-@query(f"WITH {ENTITIES}, {FACTS}, s AS (SELECT lang, count(*) AS n, sum(n_entities) AS e, sum(n_full) / nullif(sum(n_entities), 0) AS o, sum(n_correct) / nullif(sum(n_entities), 0) AS c, count(*) FILTER (WHERE failed) AS f FROM facts GROUP BY lang) SELECT lang, n, CAST(e AS BIGINT) AS entity_count, n >= 10 AND e > 0 AND f = 0 AND coalesce(o, 0) > 0.5 AND coalesce(c, 0) > 0.5 AS gate_passed, n >= 10 AND e > 0 AND coalesce(o, 0) > 0.5 AS coverage_passed FROM s")
+@query(f"WITH {FACTS}, s AS (SELECT lang, count(*) AS n, sum(n_entities) AS e, sum(n_full) / nullif(sum(n_entities), 0) AS o, sum(n_correct) / nullif(sum(n_entities), 0) AS c, count(*) FILTER (WHERE failed) AS f FROM facts GROUP BY lang) SELECT lang, n, CAST(e AS BIGINT) AS entity_count, n >= 10 AND e > 0 AND f = 0 AND coalesce(o, 0) > 0.5 AND coalesce(c, 0) > 0.5 AS gate_passed, n >= 10 AND e > 0 AND coalesce(o, 0) > 0.5 AS coverage_passed FROM s")
 def quality_gate(spark, sf_dir):
     # the gate for each language's cohort, at thresholds of one half
     gate = E.Gate(overall_min=0.5, correct_min=0.5)
@@ -431,7 +467,7 @@ def quality_gate(spark, sf_dir):
 OVER = "OVER (PARTITION BY lang, doc_id % 16 ORDER BY doc_id)"
 
 
-@query(f"""WITH {ENTITIES}, {FACTS} SELECT lang, doc_id, count(*) {OVER} AS n, CAST(sum(n_entities) {OVER} AS BIGINT) AS entity_count, round(coalesce(sum(n_full) {OVER} / nullif(sum(n_entities) {OVER}, 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) {OVER} / nullif(sum(n_entities) {OVER}, 0), 0.0), 6) AS correct_label, max(fraction) {OVER} AS max_nonpii_ink_mask, CAST(sum(CAST(failed AS INTEGER)) {OVER} AS BIGINT) AS n_failed FROM facts""")
+@query(f"""WITH {FACTS} SELECT lang, doc_id, count(*) {OVER} AS n, CAST(sum(n_entities) {OVER} AS BIGINT) AS entity_count, round(coalesce(sum(n_full) {OVER} / nullif(sum(n_entities) {OVER}, 0), 0.0), 6) AS overall, round(coalesce(sum(n_correct) {OVER} / nullif(sum(n_entities) {OVER}, 0), 0.0), 6) AS correct_label, max(fraction) {OVER} AS max_nonpii_ink_mask, CAST(sum(CAST(failed AS INTEGER)) {OVER} AS BIGINT) AS n_failed FROM facts""")
 def prefix_metrics(spark, sf_dir):
     # cohorts: documents of one language and one remainder of the id, in the order of the id
     rows = facts(spark, sf_dir).withColumn("cohort", F.col("doc_id") % 16)
@@ -439,7 +475,7 @@ def prefix_metrics(spark, sf_dir):
     return found.select("lang", "doc_id", "n", "entity_count", "overall", "correct_label", "max_nonpii_ink_mask", "n_failed")
 
 
-@query(f"""WITH {ENTITIES}, {FACTS}, f AS (SELECT *, min(CASE WHEN failed THEN doc_id END) OVER (PARTITION BY lang, doc_id % 16) AS first FROM facts) SELECT lang, doc_id % 16 AS cohort, count(*) AS total, count(*) FILTER (WHERE first IS NULL OR doc_id <= first) AS run, count(*) FILTER (WHERE (first IS NULL OR doc_id <= first) AND NOT failed) AS completed, count(*) FILTER (WHERE (first IS NULL OR doc_id <= first) AND failed) AS failed FROM f GROUP BY 1, 2""")
+@query(f"""WITH {FACTS}, f AS (SELECT *, min(CASE WHEN failed THEN doc_id END) OVER (PARTITION BY lang, doc_id % 16) AS first FROM facts) SELECT lang, doc_id % 16 AS cohort, count(*) AS total, count(*) FILTER (WHERE first IS NULL OR doc_id <= first) AS run, count(*) FILTER (WHERE (first IS NULL OR doc_id <= first) AND NOT failed) AS completed, count(*) FILTER (WHERE (first IS NULL OR doc_id <= first) AND failed) AS failed FROM f GROUP BY 1, 2""")
 def stop_on_first_failure(spark, sf_dir):
     rows = facts(spark, sf_dir).withColumn("cohort", F.col("doc_id") % 16)
     done = E.until_first_failure(rows, "doc_id", ["lang", "cohort"]).groupBy("lang", "cohort").agg(F.count("*").alias("run"), F.count_if(~F.col("failed")).alias("completed"), F.count_if("failed").alias("failed"))
@@ -467,11 +503,11 @@ def manual_append(spark, sf_dir):
     d = docs(spark, sf_dir).withColumns({"w": L.page_width(), "h": L.page_height(F.length("text"))})
     box = from_drag((F.col("doc_id") % 900).cast("int"), F.lit(16), ((F.col("doc_id") * 7) % 900).cast("int"), (16 + F.col("doc_id") % 40).cast("int"))
     drawn = d.withColumn("b", box).where(valid_box(F.col("b"), F.col("w"), F.col("h"))).select("doc_id", "b.*")
-    every = V.append_manual(boxes(spark, sf_dir).select("doc_id", "label", "x0", "y0", "x1", "y1"), drawn)
+    every = V.append_manual(Pages(spark, sf_dir).boxes.select("doc_id", "label", "x0", "y0", "x1", "y1"), drawn)
     return every.groupBy("doc_id").agg(F.count("*").alias("n_detections"), F.count_if(F.col("label") == "manual").alias("n_manual"), F.sum(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("long")).alias("box_area"))
 
 
-@query(f"WITH {ENTITIES}, {FACTS} SELECT f.lang, quality, count(*) AS n, count(*) FILTER (WHERE n_entities > 0) AS n_with_entities, CAST(sum(n_full) AS BIGINT) AS n_full FROM facts f JOIN labels l ON f.doc_id = l.doc_id GROUP BY 1, 2")
+@query(f"WITH {FACTS} SELECT f.lang, quality, count(*) AS n, count(*) FILTER (WHERE n_entities > 0) AS n_with_entities, CAST(sum(n_full) AS BIGINT) AS n_full FROM facts f JOIN labels l ON f.doc_id = l.doc_id GROUP BY 1, 2")
 def quality_by_lang(spark, sf_dir):
     rows = facts(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     return rows.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if(F.col("n_entities") > 0).alias("n_with_entities"), F.sum("n_full").alias("n_full"))
@@ -497,7 +533,7 @@ def png_redact_roundtrip(spark, sf_dir):
     from ..sources.images import render_pages
 
     pages = render_pages(docs(spark, sf_dir).where(F.length("text").between(1, D.MAX_CHARS)))
-    marks = boxes(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+    marks = Pages(spark, sf_dir).boxes.groupBy("doc_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
     return redact_images(pages.join(marks, "doc_id", "left")).select("doc_id", "status", "width", "height", "n_black", "output_sha256")
 
 

@@ -31,5 +31,5 @@ def on_lines(rows: DataFrame, keep: list[str], start: str = "start", end: str =
 
 def ink_runs(docs: DataFrame) -> DataFrame:
     """doc_id, line, x0, x1, y0, y1: disjoint runs of visible characters."""
-    found = with_starts(matches_with_offsets(docs, "text", INK, ["doc_id"]), ["doc_id"])
+    found = with_starts(matches_with_offsets(docs, "text", INK, ["doc_id"]))
     return on_lines(found, ["doc_id"])
