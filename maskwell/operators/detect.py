@@ -108,18 +108,23 @@ def detected(df: DataFrame, windows: DataFrame, words: DataFrame, detect_batch,
             return "bad_score"
         return None if label in allowed else "unknown_label"
 
+    def answers_of(some: list[str]) -> list | None:
+        try:
+            found = list(detect_batch(some))
+            return found if len(found) == len(some) else None
+        except Exception:  # what it says may hold text of documents
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            try:
-                answers = list(detect_batch(b["_part"].tolist()))
-                if len(answers) != len(b):
-                    raise ValueError
-            except Exception:  # what it says may hold text of documents
-                rows = [(k, None, None, None, None, "detector_failed") for k in b[key]]
-                answers = []
-            for k, at, part, found in zip(b[key], b["_from"], b["_part"], answers):
-                for start, end, label, score in found:
+            rows, some = [], b["_part"].tolist()
+            answers = answers_of(some)
+            if answers is None:  # each window fails for itself
+                answers = [(answers_of([part]) or [None])[0] for part in some]
+            for k, at, part, found in zip(b[key], b["_from"], some, answers):
+                if found is None:
+                    rows.append((k, None, None, None, None, "detector_failed"))
+                for start, end, label, score in found or ():
                     error = fault(part, start, end, label, score)
                     rows.append((k, None, None, None, None, error) if error else (k, at + start, at + end, label, score, None))
             frame = pd.DataFrame(rows, columns=[key, "start", "end", "label", "score", "error"])

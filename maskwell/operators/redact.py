@@ -20,15 +20,15 @@ def paint(pixels: np.ndarray, boxes) -> bytes:
     out = pixels.copy()
     for x0, y0, x1, y1 in boxes:
         if min(x0, y0) < 0:
-            raise ValueError("Negative box")
+            raise ValueError("box_outside")
         out[y0:y1, x0:x1] = 0
     data = codec.encode(out)
     w, h, bits, colour, plain = codec.header(data)
     back = codec.decode(data)
     if not plain or colour != 2 or back.shape != pixels.shape:
-        raise ValueError("Unexpected output metadata")
+        raise ValueError("not_plain_rgb")
     if any(back[y0:y1, x0:x1].any() for x0, y0, x1, y1 in boxes) or (back[(pixels == 0).all(axis=2)] != 0).any():
-        raise ValueError("Pixel verification failed")
+        raise ValueError("box_not_black")
     return data
 
 

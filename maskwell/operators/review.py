@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box
+from ..storage import settle
 from .evaluate import REVIEWABLE
 
 MAX_BOXES = 128
@@ -39,20 +40,18 @@ def state(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 def lineage(runs: DataFrame) -> DataFrame:
     """run, depth, from the roots (no parent) to the leaves. Pointer doubling: rounds grow with the logarithm of the
-    longest chain, and each row keeps one ancestor, so no path is held. Runs whose root is missing are left out."""
-    rows = runs.select("run", F.col("parent_run").alias("up"), F.when(F.col("parent_run").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    spark = runs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="maskwell-"))
-    while True:
-        rows = rows.checkpoint()
-        if not rows.where("up is not null").limit(1).count():
-            return rows.select("run", "depth")
+    longest chain, and each row keeps one ancestor, so no path is held. Runs whose root is missing and those that lead to a
+    cycle are left out: a chain cannot have more rounds than the logarithm of the runs. Of rows with one run id the least
+    parent counts."""
+    once = runs.groupBy("run").agg(F.min("parent_run").alias("up"))
+    rows = settle(once.withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")))
+    for _ in range(max(1, rows.count()).bit_length() + 1):
+        open_ = rows.where("up is not null")
+        if not open_.limit(1).count():
+            break
         above = rows.select(F.col("run").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        known = rows.where("up is null")
-        rows = known.unionByName(rows.where("up is not null").join(above, "up").select("run", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth")))
+        rows = settle(rows.where("up is null").unionByName(open_.join(above, "up").select("run", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"))))
+    return rows.where("up is null").select("run", "depth")
 
 
 def append_manual(detections: DataFrame, drawn: DataFrame) -> DataFrame:
@@ -66,11 +65,13 @@ def check_boxes(drawn: DataFrame, key: str = "run", cap: int = MAX_BOXES) -> Dat
 
 
 def revise(current: DataFrame, saves: DataFrame) -> DataFrame:
-    """New run rows: saves (run, new_run, output_sha256) on the current version; stale ones (not a leaf) are left out.
+    """New run rows: saves (run, new_run, output_sha256) on the current version; stale ones (not a leaf) are left out, and of
+    several on one leaf the first by new_run is taken, as the others are stale then.
     A revision is not approved, waits for review, and carries its parent's run and record hash."""
     parents = current.where("parent_run is not null").select(F.col("parent_run").alias("run")).distinct()
     leaves = current.join(parents, "run", "left_anti")
     record = F.sha2(F.to_json(F.struct(*sorted(current.columns))), 256)
-    rows = leaves.withColumn("_record", record).join(saves.select("run", "new_run", F.col("output_sha256").alias("_output")), "run")
+    first = saves.groupBy("run").agg(F.min(F.struct("new_run", F.col("output_sha256").alias("_output"))).alias("_save")).select("run", "_save.*")
+    rows = leaves.withColumn("_record", record).join(first, "run")
     changed = {"parent_run": F.col("run"), "parent_audit_sha256": F.col("_record"), "output_sha256": F.col("_output"), "status": F.lit("pending_human_review"), "approved": F.lit(False)}
     return rows.withColumns(changed).withColumn("run", F.col("new_run")).drop("new_run", "_record", "_output")

@@ -513,32 +513,41 @@ def quality_by_lang(spark, sf_dir):
     return rows.groupBy("lang", "quality").agg(F.count("*").alias("n"), F.count_if(F.col("n_entities") > 0).alias("n_with_entities"), F.sum("n_full").alias("n_full"))
 
 
-# ---- without a twin: pixels, character alignment, streams ----
+# ---- pixels, character alignment, streams ----
 
 
 @query()
 def align_geometry(spark, sf_dir):
-    from ..operators.align import align_geometry as align
+    """Two readings of the words of documents; of some, the second one lacks last characters. Documents over the limit fail
+    as a whole: one row without a line. Both readings are made inside a document's row, so nothing is shuffled."""
+    from ..operators.align import aligned
 
-    # two readings of the words of documents within the limits; of some, the second one lacks last characters
-    w = T.words(docs(spark, sf_dir).where(F.length("text") <= D.MAX_CHARS))
-    lines = w.groupBy("doc_id", F.floor(F.col("ord") / 8).cast("int").alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "token"))), lambda x: x["token"]), " ").alias("text"))
-    other = w.select("doc_id", F.col("ord").alias("word"), F.when(F.col("doc_id") % 97 == 0, F.expr("substring(token, 1, greatest(1, length(token) - 1))")).otherwise(F.col("token")).alias("text"))
-    return align(lines, other)
+    tokens, _ = T.matches("text", T.WORD)
+    rows = docs(spark, sf_dir).select("doc_id", F.length("text").alias("n"), F.when(F.length("text") <= D.MAX_CHARS, tokens).alias("t"))
+    lines = F.expr("transform(sequence(0, int(ceil(size(t) / 8)) - 1), k -> array_join(slice(t, k * 8 + 1, 8), ' '))")
+    words = F.when(F.col("doc_id") % 97 == 0, F.expr("transform(t, x -> substring(x, 1, greatest(1, length(x) - 1)))")).otherwise(F.col("t"))
+    pages = rows.where("size(t) > 0").select("doc_id", lines.alias("lines"), words.alias("words"))
+    failed = rows.where(F.coalesce(F.size("t") <= 0, F.lit(True))).select("doc_id", F.lit(None).cast("int").alias("line"), F.lit("failed").alias("status"))
+    return aligned(pages).withColumn("status", F.lit("aligned")).unionByName(failed, allowMissingColumns=True)
 
 
-@query()
+@query(f"""WITH {GEOMETRY} SELECT d.doc_id, CASE WHEN bad THEN 'failed' WHEN area IS NULL THEN 'no_detections_unverified' ELSE 'completed_unassessed' END AS status, CASE WHEN NOT bad THEN {WIDTH} END AS width, CASE WHEN NOT bad THEN {HEIGHT} END AS height, CASE WHEN NOT bad THEN coalesce(area, 0) END AS n_black, NOT bad AS verified
+FROM (SELECT *, coalesce(length(text) NOT BETWEEN 1 AND 6000, true) AS bad FROM documents) d LEFT JOIN (SELECT doc_id, CAST(sum(h * (x1 - x0)) AS BIGINT) AS area FROM ({UNION}) GROUP BY doc_id) a ON d.doc_id = a.doc_id""")
 def png_redact_roundtrip(spark, sf_dir):
+    """Pages are rendered, painted, encoded, read again and verified; texts outside the limits fail."""
     from ..operators.redact import redact_images
     from ..sources.images import render_pages
 
-    pages = render_pages(docs(spark, sf_dir).where(F.length("text").between(1, D.MAX_CHARS)))
+    fits = F.coalesce(F.length("text").between(1, D.MAX_CHARS), F.lit(False))
+    pages = render_pages(docs(spark, sf_dir).where(fits))
     marks = Pages(spark, sf_dir).boxes.groupBy("doc_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
-    return redact_images(pages.join(marks, "doc_id", "left")).select("doc_id", "status", "width", "height", "n_black", "output_sha256")
+    done = redact_images(pages.join(marks, "doc_id", "left")).select("doc_id", "status", "width", "height", "n_black", F.col("output_sha256").isNotNull().alias("verified"))
+    failed = docs(spark, sf_dir).where(~fits).select("doc_id", F.lit("failed").alias("status"), F.lit(False).alias("verified"))
+    return done.unionByName(failed, allowMissingColumns=True)
 
 
-@query()
+@query(f"""SELECT lang, doc_id % 16 AS cohort, doc_id, count(*) {OVER} AS n, CAST(sum(CAST(length(text) > 6000 AS INTEGER)) {OVER} AS BIGINT) AS n_failed, CAST(sum({N_WORDS}) {OVER} AS BIGINT) AS n_words FROM documents""")
 def stream_prefix_metrics(spark, sf_dir):
-    from ..streaming.jobs import stream_summaries
+    from ..streaming.jobs import stream_documents
 
-    return stream_summaries(spark, sf_dir)
+    return stream_documents(spark, sf_dir, D.MAX_CHARS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CELL_H, CELL_W, COLUMNS, PITCH, STRIDE, X0, Y0
+from ..functions.text import CELL_H, CELL_W, COLUMNS, PITCH, STRIDE, X0, Y0, strip
+from ..operators import regions as R
 from . import codec
 
 #: First bytes of the formats that uploads may have. WebP is known, but this runtime cannot decode it.
@@ -53,10 +56,14 @@ def page_pixels(text: str) -> np.ndarray:
     """A virtual page: each visible character is a grey cell of the grid on white."""
     lines = max(1, -(-len(text) // COLUMNS))
     page = np.full((Y0 + 40 + PITCH * lines, X0 + STRIDE * (COLUMNS - 1) + CELL_W + 40, 3), 255, np.uint8)
-    for i, c in enumerate(text):
-        if not c.isspace():
-            x, y = X0 + STRIDE * (i % COLUMNS), Y0 + PITCH * (i // COLUMNS)
-            page[y : y + CELL_H, x : x + CELL_W] = 40 + ord(c) % 100
+    at = np.array([i for i, c in enumerate(text) if not c.isspace()], np.int64)
+    if len(at):
+        grey = (40 + np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[at] % 100).astype(np.uint8)
+        y, x = Y0 + PITCH * (at // COLUMNS), X0 + STRIDE * (at % COLUMNS)
+        rows = y[:, None] + np.arange(CELL_H)
+        # cells are wider than their stride: the columns that they share belong to the next cell
+        for dx in [*range(STRIDE, CELL_W), *range(STRIDE)]:
+            page[rows, x[:, None] + dx] = grey[:, None, None]
     return page
 
 
@@ -91,54 +98,83 @@ def ink_of_images(images: DataFrame, threshold: int = INK, key: str = "doc_id")
     return images.select(key, "content").mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, y int, x0 int, x1 int")
 
 
-def word_boxes(pixels: np.ndarray, max_words: int = 512, max_share: float = 0.25, least_height: int = 10, gap: float = 0.45) -> list[tuple[int, int, int, int]]:
-    """Boxes of words in reading order; ValueError for pages outside the supported layout."""
-    ink = (pixels < INK).any(axis=2)
-    lines = np.flatnonzero(ink.any(axis=1))
-    if not len(lines) or ink.mean() > max_share:
-        raise ValueError("Unsupported layout")
-    out = []
-    for band in np.split(lines, np.flatnonzero(np.diff(lines) > 1) + 1):
-        y0, y1 = int(band[0]), int(band[-1]) + 1
-        if y1 - y0 < least_height:
-            raise ValueError("Unsupported layout")
-        cols = np.flatnonzero(ink[y0:y1].any(axis=0))
-        for word in np.split(cols, np.flatnonzero(np.diff(cols) > (y1 - y0) * gap) + 1):
-            out.append((int(word[0]), y0, int(word[-1]) + 1, y1))
-            if len(out) > max_words:
-                raise ValueError("Document exceeds validated scope")
-    return out
+#: Limits of the supported layout, and what is cut around a word for the recogniser.
+MAX_SHARE, LEAST_HEIGHT, GAP, MAX_WORDS, RIM, MAX_TEXT = 0.25, 10, 0.45, 512, 8, 6000
+
+
+def png_side(content: str, at: int):
+    """Width (at 17) or height (at 21) from the header of a PNG, without reading pixels."""
+    return F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
+
+
+def layouts(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, boxes (of words, in reading order), error: from the runs of ink, as bands and their segments. An image without
+    ink, too dark or with a low band has the error `layout`, one with too many words `too_many_words`."""
+    ink = ink_of_images(images, key=key)
+    rows = R.bands(ink, [key])
+    words = R.segments(ink, rows, [key], GAP)
+    area = ink.groupBy(key).agg(F.sum((F.col("x1") - F.col("x0")).cast("long")).alias("_ink"))
+    low = rows.groupBy(key).agg(F.min(F.col("y1") - F.col("y0")).alias("_low"))
+    count = words.groupBy(key).agg(F.count("*").alias("_n"))
+    found = images.select(key, (png_side("content", 17) * png_side("content", 21)).alias("_pixels"))
+    for df in (area, low, count):
+        found = found.join(df, key, "left")
+    odd = F.col("_ink").isNull() | (F.col("_ink") > F.col("_pixels") * MAX_SHARE) | (F.col("_low") < LEAST_HEIGHT)
+    found = found.select(key, F.when(odd, "layout").when(F.col("_n") > MAX_WORDS, "too_many_words").alias("error"))
+    # only images within the limits gather their words
+    fine = words.join(found.where("error is null").select(key), key)
+    boxes = fine.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1"))).alias("boxes"))
+    return found.join(boxes, key, "left").select(key, "boxes", "error")
 
 
 def recognised(images: DataFrame, recognize_batch, batch: int = 16, key: str = "doc_id") -> DataFrame:
-    """key, error, lines: words of images by a recogniser, a callable from pixel crops to (text, score) pairs. A failure
-    of one image is a row with an error, not an exception."""
-    schema = f"{key} {images.schema[key].dataType.simpleString()}, error string, lines array<struct<text:string,confidence:double,x0:int,y0:int,x1:int,y1:int>>"
-
-    def read(data: bytes) -> list[dict]:
-        pixels = codec.decode(data)
-        boxes = word_boxes(pixels)
-        crops = [pixels[max(0, y0 - 8) : y1 + 8, max(0, x0 - 8) : x1 + 8] for x0, y0, x1, y1 in boxes]
-        results = [r for a in range(0, len(crops), batch) for r in recognize_batch(crops[a : a + batch])]
-        if len(results) != len(boxes):
-            raise ValueError("OCR result count mismatch")
-        out = []
-        for (text, score), (x0, y0, x1, y1) in zip(results, boxes):
-            if not isinstance(text, str) or not text.strip() or len(text) > 6000:
-                raise ValueError("OCR returned invalid text")
-            if not 0 <= float(score) <= 1:
-                raise ValueError("OCR returned invalid confidence")
-            out.append({"text": text.strip(), "confidence": float(score), "x0": x0, "y0": y0, "x1": x1, "y1": y1})
-        return out
+    """key, error, lines: words of images by a recogniser, a callable from pixel crops to (text, score) pairs. An image
+    outside the limits, or one of whose words has no text or no score from 0 to 1, has an error in place of lines. Errors
+    are codes: what a recogniser says may hold text of the document. Keys are unique."""
+    keytype = images.schema[key].dataType.simpleString()
+    sound = decodable(images, key)
+    pages = images.join(sound, key)
+    cut = pages.where("_sound").join(layouts(pages.where("_sound"), key), key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, data in zip(b[key], b["content"]):
+            said, errors = [], []
+            for data, boxes in zip(b["content"], b["boxes"]):
+                pixels, answers, error = codec.decode(bytes(data)), [], None
+                crops = [pixels[max(0, x["y0"] - RIM) : x["y1"] + RIM, max(0, x["x0"] - RIM) : x["x1"] + RIM] for x in boxes]
+                try:
+                    for a in range(0, len(crops), batch):
+                        answers += [(t if isinstance(t, str) else None, float(s)) for t, s in recognize_batch(crops[a : a + batch])]
+                except Exception:  # each image fails for itself
+                    error = "recogniser_failed"
+                said.append([{"text": t, "confidence": s} for t, s in answers])
+                errors.append(error)
+            yield pd.DataFrame({key: b[key], "said": said, "failed": errors})
+
+    answers = cut.where("error is null").select(key, "content", "boxes").mapInPandas(run, f"{key} {keytype}, said array<struct<text:string,confidence:double>>, failed string")
+    rows = pages.select(key, "_sound").join(cut.select(key, "boxes", "error"), key, "left").join(answers, key, "left")
+    stripped = F.transform("said", lambda x: F.struct(strip(x["text"]).alias("text"), x["confidence"].alias("confidence")))
+    bad_text = F.exists("said", lambda x: x["text"].isNull() | (F.length(strip(x["text"])) == 0) | (F.length(x["text"]) > MAX_TEXT))
+    bad_score = F.exists("said", lambda x: x["confidence"].isNull() | F.isnan(x["confidence"]) | ~x["confidence"].between(0, 1))
+    error = F.when(~F.col("_sound"), "bad_image").when(F.col("error").isNotNull(), F.col("error")).when(F.col("failed").isNotNull(), F.col("failed"))
+    error = error.when(F.size("said") != F.size("boxes"), "count_differs").when(bad_text, "bad_text").when(bad_score, "bad_score")
+    lines = F.zip_with(stripped, "boxes", lambda t, x: F.struct(t["text"].alias("text"), t["confidence"].alias("confidence"), x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1")))
+    rows = rows.withColumn("error", error)
+    return rows.select(key, "error", F.when(F.col("error").isNull(), lines).alias("lines"))
+
+
+def decodable(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, _sound: whether the content is an image that can be decoded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for data in b["content"]:
                 try:
-                    rows.append((k, None, read(bytes(data))))
-                except Exception as e:  # each image fails for itself
-                    rows.append((k, str(e) if isinstance(e, ValueError) else "InferenceError", None))
-            yield pd.DataFrame(rows, columns=[key, "error", "lines"])
+                    codec.decode(bytes(data))
+                    out.append(True)
+                except (ValueError, KeyError, IndexError, TypeError, zlib.error, struct.error):
+                    out.append(False)
+            yield pd.DataFrame({key: b[key], "_sound": out})
 
-    return images.select(key, "content").mapInPandas(run, schema)
+    return images.select(key, "content").mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, _sound boolean")

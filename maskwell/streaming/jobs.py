@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from ..storage import shared_base
 
 
 class JobBusy(RuntimeError):
@@ -19,8 +20,13 @@ class JobFailed(RuntimeError):
     """An item of the job failed; the items after it were not run."""
 
 
+#: Names of jobs begin with it; other streams of the session are not the queue's.
+JOB = "job:"
+
+
 def _guard(spark: SparkSession, name: str) -> None:
-    if any(q.name == name for q in spark.streams.active):
+    """One job at a time, whatever its name."""
+    if any((q.name or "").startswith(JOB) for q in spark.streams.active):
         raise JobBusy(name)
 
 
@@ -34,7 +40,7 @@ def run_job(items: DataFrame, out: str, checkpoint: str, name: str = "job", fail
         if stop_on_failure and batch.where(failed).limit(1).count():
             raise JobFailed(name)
 
-    return items.writeStream.queryName(name).foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return items.writeStream.queryName(JOB + name).foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def published(spark: SparkSession, out: str) -> DataFrame:
@@ -51,12 +57,20 @@ def summaries(rows: DataFrame, failed: str = "failed") -> DataFrame:
     return sums.select("batch", *[F.sum(c).over(w).alias(c) for c in ("n", "n_failed", "n_words")])
 
 
-def stream_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as a stream of items; the summary after all batches, one row for each."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def prefixes(rows: DataFrame, order: str, group: list[str]) -> DataFrame:
+    """The summary after each item of a group, in order, of what has been published, however it came in batches."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.select(*group, order, F.count("*").over(w).alias("n"), F.sum(F.col("failed").cast("int")).over(w).alias("n_failed"), F.sum("n_words").over(w).cast("long").alias("n_words"))
+
+
+def stream_documents(spark: SparkSession, sf_dir: str, max_chars: int = 6000) -> DataFrame:
+    """lang, cohort, doc_id, n, n_failed, n_words: the documents as a stream of items, published in micro-batches, and the
+    summary after each item of its cohort."""
+    folder = f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    rows = items.select("doc_id", word_count("text").alias("n_words"), (F.length("text") > 6000).alias("failed"))
+    rows = items.select("doc_id", "lang", (F.col("doc_id") % 16).alias("cohort"), word_count("text").alias("n_words"), (F.length("text") > max_chars).alias("failed"))
     run_job(rows, f"{folder}/out", f"{folder}/checkpoint", name=f"documents-{uuid.uuid4().hex}", stop_on_failure=False).awaitTermination()
-    return summaries(published(spark, f"{folder}/out"))
+    return prefixes(published(spark, f"{folder}/out"), "doc_id", ["lang", "cohort"])

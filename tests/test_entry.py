@@ -17,7 +17,7 @@ def test_twins_agree(spark):
     con = duckdb.connect()
     for name in ("documents", "labels", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
-    for name in ("span_to_words", "doc_limits", "mask_union_area", "entity_coverage", "prefix_metrics", "version_lineage"):
+    for name in ("span_to_words", "doc_limits", "image_metrics", "cohort_summary", "stream_prefix_metrics", "png_redact_roundtrip"):
         got = catalogue.queries()[name](spark, SMALL)
         want = con.execute(catalogue.oracle_sql()[name])
         cols = [d[0] for d in want.description]

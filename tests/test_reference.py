@@ -13,7 +13,7 @@ from maskwell.operators import detect as D
 from maskwell.operators import evaluate as E
 from maskwell.operators import regions as R
 from maskwell.operators import review as V
-from maskwell.operators.align import align_geometry, align_page
+from maskwell.operators.align import align_geometry, align_page, places_of, unplaced
 from maskwell.operators.redact import paint, redact_images
 from maskwell.sources import codec, files, images, sinks
 from maskwell.streaming import jobs
@@ -111,23 +111,69 @@ def test_bands_and_segments_as_on_pixels(spark):
     page = np.full((120, 260, 3), 255, np.uint8)
     for x, y, w, h in ((5, 10, 30, 20), (43, 10, 10, 20), (64, 10, 9, 20), (90, 12, 40, 18), (5, 60, 50, 12), (70, 62, 5, 9)):
         page[y : y + h, x : x + w] = 0
-    y, x0, x1 = images.runs((page < 180).any(axis=2))
-    runs = spark.createDataFrame([(1, *map(int, r)) for r in zip(y, x0, x1)], "doc_id long, y int, x0 int, x1 int")
-    found = R.segments(runs, R.bands(runs, ["doc_id"]), ["doc_id"]).orderBy("y0", "x0").collect()
-    assert [(r.x0, r.y0, r.x1, r.y1) for r in found] == images.word_boxes(page)
-    assert len(found) == 5  # a gap of 0.45 of the height does not split
+    df = spark.createDataFrame([(1, bytearray(codec.encode(page)))], "doc_id long, content binary")
+    got = images.layouts(df).first()
+    want = [(5, 10, 53, 30), (64, 10, 73, 30), (90, 12, 130, 30), (5, 60, 55, 72), (70, 62, 75, 71)]
+    assert got.error is None and [(x.x0, x.y0, x.x1, x.y1) for x in got.boxes] == [(x0, 10 if y0 < 40 else 60, x1, 30 if y0 < 40 else 72) for x0, y0, x1, _ in want]
+    # a gap of 0.45 of the height does not split
 
 
-def test_layout_limits():
+def test_layout_limits(spark):
     blank = np.full((50, 50, 3), 255, np.uint8)
-    dark, low = blank.copy(), blank.copy()
+    dark, low, fine = blank.copy(), blank.copy(), blank.copy()
     dark[:14] = 0
     low[5:14, 5:9] = 0
-    for page in (blank, dark, low):
-        with pytest.raises(ValueError):
-            images.word_boxes(page)
-    low[5:15, 5:9] = 0
-    assert images.word_boxes(low) == [(5, 5, 9, 15)]
+    fine[5:15, 5:9] = 0
+    many = np.full((30, 600 * 8, 3), 255, np.uint8)
+    for i in range(513):
+        many[5:15, i * 8 : i * 8 + 1] = 0
+    df = spark.createDataFrame([(i, bytearray(codec.encode(x))) for i, x in enumerate((blank, dark, low, fine, many))], "doc_id long, content binary")
+    got = {r.doc_id: r for r in images.layouts(df).collect()}
+    assert [got[i].error for i in range(5)] == ["layout", "layout", "layout", None, "too_many_words"]
+    assert [tuple(x) for x in got[3].boxes] == [(5, 5, 15, 9)]
+
+
+def test_slabs_have_the_areas_of_scanlines(spark):
+    a, b = (spark.createDataFrame(masks(k), BOXES) for k in (3, 4))
+    area = lambda df: {r.doc_id: r.area for r in R.area(df, ["doc_id"]).collect()}
+    plain = [R.union(R.runs_of_boxes(x, ["doc_id"]), ["doc_id"]) for x in (a, b)]
+    cut = [R.union(x, ["doc_id"]) for x in R.slabs("doc_id", (a, ["doc_id"]), (b, ["doc_id"]))]
+    assert [area(x) for x in plain] == [area(x) for x in cut]
+    assert area(R.intersect(*plain, ["doc_id"])) == area(R.intersect(*cut, ["doc_id"]))
+
+
+def test_texts_that_share_a_key(spark):
+    df = spark.createDataFrame([(1, "ab cd"), (1, "x 10.0.0.1 y"), (2, None)], "doc_id long, text string")
+    assert sorted((r.token, r.start) for r in T.words(df).collect()) == sorted([("ab", 0), ("cd", 3), ("x", 0), ("y", 11)] + [(t, i + 2) for i, t in ((0, "10"), (2, "."), (3, "0"), (4, "."), (5, "0"), (6, "."), (7, "1"))])
+    assert [(r.start, r.end) for r in D.rule_candidates(df).collect()] == [(2, 10)]
+
+
+def test_detector_over_windows(spark):
+    text = " ".join(f"w{i}" for i in range(100)) + " bob@x.org end"
+    df = spark.createDataFrame([(1, text), (2, "boom"), (3, "")], "doc_id long, text string")
+
+    def detect(parts):
+        if any("boom" in p for p in parts):
+            raise RuntimeError("holds text")
+        out = []
+        for p in parts:
+            at = p.find("bob@x.org")
+            out.append([(at, at + 9, "email", 0.9)] * (at >= 0) + [(2, 3, "email", 0.9), (0, 2, "nothing", 0.9), (0, 2, "email", 1.5), (5, 5, "email", 0.5), (0, 10**6, "email", 0.5)] * p.startswith("w0"))
+        return out
+
+    rows = D.detected(df, T.windows(df), T.words(df), detect).collect()
+    at = text.index("bob@")
+    assert [(r.doc_id, r.start, r.end, r.label) for r in rows if r.error is None] == [(1, at, at + 9, "email")]
+    assert sorted((r.doc_id, r.error) for r in rows if r.error) == [(1, "bad_range"), (1, "bad_range"), (1, "bad_score"), (1, "no_evidence"), (1, "unknown_label"), (2, "detector_failed")]
+
+
+def test_what_has_no_place_is_named(spark):
+    words = spark.createDataFrame([(1, 0, 0, 2), (1, 1, 3, 5)], "doc_id long, line int, w_start int, w_end int")
+    found = spark.createDataFrame([(1, 1, 4, "email", 0.9), (1, 2, 3, "url", 0.9)], "doc_id long, start int, end int, label string, score double")
+    assert [r.label for r in D.untouched(found, D.spans_on_words(found, words)).collect()] == ["url"]
+    pages = spark.createDataFrame([(1, 0, [4])], "doc_id long, line int, unmapped array<int>")
+    spans = spark.createDataFrame([(1, "email", 0, 0, 4), (1, "url", 0, 3, 5), (1, "pin", 1, 3, 5)], "doc_id long, label string, line int, start int, end int")
+    assert [r.label for r in unplaced(spans, pages).collect()] == ["url"]
 
 
 def test_entity_metrics(spark):
@@ -189,6 +235,9 @@ def test_alignment(spark):
     assert [u["word"] for u in units] == [0, 2] and unmapped == [4, 5, 6]
     (units, unmapped), = align_page(["aa b aa"], ["aa", "c", "aa"])
     assert units == [] and unmapped == [0, 1, 3, 5, 6]
+    # a block counts once if it stands once besides itself without overlaps
+    assert align_page(["aaab"], ["xaay"])[0][0] == [] and places_of("aaab", "xaay").tolist() == [-1, 0, 1, -1]
+    assert align_page([], ["a"]) == [] and align_page(["", " a"], []) == [([], []), ([], [1])]
     lines = spark.createDataFrame([(1, 0, "ab"), (1, 1, "cd"), (2, 0, "x")], "doc_id long, line int, text string")
     words = spark.createDataFrame([(1, 0, "abc"), (1, 1, "d")], "doc_id long, word int, text string")
     got = {(r.doc_id, r.line): ([u.word for u in r.units], list(r.unmapped)) for r in align_geometry(lines, words).collect()}
@@ -241,7 +290,17 @@ def test_recogniser(spark):
     page = images.page_pixels("ab cd  " + " " * 65 + "ef")
     df = spark.createDataFrame([(1, bytearray(codec.encode(page))), (2, bytearray(b"x"))], "doc_id long, content binary")
     got = {r.doc_id: r for r in images.recognised(df, lambda crops: [("w", 0.9)] * len(crops)).collect()}
-    assert len(got[1].lines) == 3 and got[2].error and got[2].lines is None
+    assert [r.text for r in got[1].lines] == ["w"] * 3 and [(r.x0, r.y0) for r in got[1].lines] == [(40, 44), (88, 44), (40, 92)]
+    assert got[1].error is None and got[2].error == "bad_image" and got[2].lines is None
+
+    def said(answer):
+        return images.recognised(df.where("doc_id = 1"), answer).first().error
+
+    def fails(crops):
+        raise ValueError("secret text")
+
+    assert said(fails) == "recogniser_failed" and said(lambda c: [("a", 0.5)]) == "count_differs"
+    assert said(lambda c: [(" ", 0.5)] * len(c)) == "bad_text" and said(lambda c: [("a", math.nan)] * len(c)) == "bad_score"
 
 
 def test_json_sources(spark, tmp_path):
@@ -269,9 +328,12 @@ def test_sinks(spark, tmp_path):
 def test_review(spark):
     runs = spark.createDataFrame([("a", None, "completed_unassessed", "i", "o", True), ("b", "a", "pending_human_review", "i", "o2", False), ("c", None, "failed", "i", "o", False)], "run string, parent_run string, status string, input_sha256 string, output_sha256 string, approved boolean")
     assert {r.run: r.depth for r in V.lineage(runs).collect()} == {"a": 0, "b": 1, "c": 0}
+    odd = [("a", None), ("b", "a"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("m", "gone"), ("self", "self")] + [(f"n{i}", f"n{i - 1}" if i else None) for i in range(20)]
+    got = V.lineage(spark.createDataFrame(odd, "run string, parent_run string")).collect()
+    assert sorted((r.run, r.depth) for r in got) == sorted([("a", 0), ("b", 1)] + [(f"n{i}", i) for i in range(20)])
     hashes = lambda h: spark.createDataFrame([("a", h), ("b", h), ("c", h)], "run string, sha256 string")
     assert [r.run for r in V.openable(runs, hashes("i"), hashes("o")).collect()] == ["a"]
-    saves = spark.createDataFrame([("a", "x", "n"), ("b", "y", "n")], "run string, new_run string, output_sha256 string")
+    saves = spark.createDataFrame([("a", "x", "n"), ("b", "y", "n"), ("b", "z", "n")], "run string, new_run string, output_sha256 string")
     new = V.revise(runs, saves).collect()
     assert [(r.run, r.parent_run, r.approved, r.status, len(r.parent_audit_sha256)) for r in new] == [("y", "b", False, "pending_human_review", 64)]
     box = F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(4).alias("x1"), F.lit(4).alias("y1"))
@@ -287,6 +349,11 @@ def test_stream_equals_batch(spark, tmp_path):
     jobs.run_job(items(), str(tmp_path / "out"), str(tmp_path / "cp"), "one", stop_on_failure=False).awaitTermination()
     got = jobs.summaries(jobs.published(spark, str(tmp_path / "out"))).orderBy("batch").collect()
     assert len(got) == 6 and (got[-1].n, got[-1].n_failed, got[-1].n_words) == (60, 1, sum(r[1] for r in rows))
+    slow = spark.readStream.format("rate").load().selectExpr("value AS doc_id", "1L AS n_words", "false AS failed")
+    busy = slow.writeStream.queryName(jobs.JOB + "other").format("noop").start()
+    with pytest.raises(jobs.JobBusy):
+        jobs.run_job(items(), str(tmp_path / "out3"), str(tmp_path / "cp3"), "three")
+    busy.stop()
     with pytest.raises(Exception):
         jobs.run_job(items(), str(tmp_path / "out2"), str(tmp_path / "cp2"), "two").awaitTermination()
     assert jobs.published(spark, str(tmp_path / "out2")).where("failed").count() == 1
