@@ -37,6 +37,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/maskwell-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage: checkpoint() in the shared folder, so that no lost executor takes the rows along.
     Spark's cleaner removes the files with the frame where it is told to."""
@@ -60,9 +66,7 @@ class Workspace:
 
     def close(self) -> None:
         """Removes the tables."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.folder)
 
 
 def fold(id_col: str, n: int) -> Column:
