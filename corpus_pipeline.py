@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwell.llm import decontamination, near_dedup, pieces, pii, toxicity
-from maskwell.llm.common import read_table, shared_folder, without
+from maskwell.llm.common import read_table, remove, shared_folder, without
 from maskwell.llm.queries import tokenizer_file
 
 
@@ -57,8 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = read_table(spark, sf_dir, "documents"), shared_folder(spark)
+    """The rows of the last stage. A stage's table goes when the next one is written."""
+    docs, folder, last = read_table(spark, sf_dir, "documents"), shared_folder(spark), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, f"{folder}/{last}")
+        docs, last = spark.read.parquet(f"{folder}/{name}"), name
     return docs
