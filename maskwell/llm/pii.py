@@ -8,7 +8,7 @@ document can give them away too. Over the whole corpus, a term t reveals an enti
 with N documents, n_t of them with the term, n_c with the entity, and n_tc with both, at any distance. A term whose
 PMI reaches ALPHA * IC(c), so that it gives away that share of what the entity tells, exceeds the disclosure
 threshold: in documents with that entity it is removed if it gives the entity away in full (PMI >= IC), else
-generalised to its class. Such places are spans of kind `term`. Entities that occur once are no exception: PMI is
+generalised to its class: a capitalised word to [NAME], one in capitals to [ACRONYM], any other to [WORD]. Such places are spans of kind `term`. Entities that occur once are no exception: PMI is
 then log2(N / n_t), the rarity of the term. min_contexts asks for so many documents with different terms; it is 1, so
 it drops nothing. Terms are words of four letters or more without digits; shorter ones and those with digits are not
 looked at.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -209,25 +210,31 @@ def all_spans(text: str, table: dict[str, dict[str, bool]]) -> tuple[list[Span],
     return base, [(s, e, mine[t]) for t, s, e in document_terms(text, base) if t in mine] if mine else []
 
 
+def word_class(word: str) -> str:
+    """What a generalised term tells no more than: the shape of the word."""
+    return "[ACRONYM]" if word.isupper() else "[NAME]" if word[0].isupper() else "[WORD]"
+
+
 def masked(text: str, base: list[Span], terms: list[tuple[int, int, bool]]) -> str:
     """Entities become their kind; overlapping ones become one, named by the first. Terms are generalised or removed."""
     out, at = [], 0
-    for s, e, label in sorted([(s, e, f"[{k.upper()}]") for k, s, e in base] + [(s, e, "" if r else "[TERM]") for s, e, r in terms]):
+    for s, e, label in sorted([(s, e, f"[{k.upper()}]") for k, s, e in base] + [(s, e, "" if r else word_class(text[s:e])) for s, e, r in terms]):
         if s >= at:
             out += [text[at:s], label]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
 
-def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> tuple[DataFrame, dict]:
-    """The documents with a column _terms (null if the table is small and comes back as a dict)."""
+def _with_terms(docs: DataFrame, found: DataFrame, text_col: str, terms_col: str = "_terms") -> tuple[DataFrame, dict]:
+    """The documents with a column of terms (null if the table is small and comes back as a dict)."""
     if found.count() <= BROADCAST_TERMS:
         table: dict[str, dict[str, bool]] = {}
         for r in found.toLocalIterator():
             table.setdefault(r.entity, {})[r.term] = r.removed
-        return docs.withColumn("_terms", F.lit(None).cast("array<struct<entity:string,term:string,removed:boolean>>")), table
+        return docs.withColumn(terms_col, F.lit(None).cast("array<struct<entity:string,term:string,removed:boolean>>")), table
     # each document with entities gets the terms of its own entities; the rest take no part in the join
     spark = docs.sparkSession
+    has_col, key_col = f"{terms_col}_has", f"{terms_col}_key"
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,16 +244,16 @@ def _with_terms(docs: DataFrame, found: DataFrame, text_col: str) -> tuple[DataF
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             has = pa.array([bool(base_spans(t or "")) for t in column(b, text_col)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns, has], names=[*b.schema.names, "_has"])
+            yield pa.RecordBatch.from_arrays([*b.columns, has], names=[*b.schema.names, has_col])
 
     small_batches(spark)
     kinds = "array<struct<entity:string,term:string,removed:boolean>>"
-    every = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("_has", BooleanType())]))
-    plain = every.where("not _has").drop("_has").withColumn("_terms", F.lit(None).cast(kinds))
-    keyed = every.where("_has").drop("_has").withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    named = keyed.select("_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(keys, "_key string, entity string").distinct()
-    lists = named.join(found, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "term", "removed")).alias("_terms"))
-    return plain.unionByName(keyed.join(lists, "_key", "left").drop("_key")), {}
+    every = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField(has_col, BooleanType())]))
+    plain = every.where(~F.col(has_col)).drop(has_col).withColumn(terms_col, F.lit(None).cast(kinds))
+    keyed = every.where(F.col(has_col)).drop(has_col).withColumn(key_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    named = keyed.select(F.col(key_col).alias("_key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(keys, "_key string, entity string").distinct()
+    lists = named.join(found, "entity").groupBy("_key").agg(F.collect_list(F.struct("entity", "term", "removed")).alias(terms_col))
+    return plain.unionByName(keyed.join(lists.withColumnRenamed("_key", key_col), key_col, "left").drop(key_col)), {}
 
 
 def _table(rows, default: dict) -> dict:
@@ -281,13 +288,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thre
 
 def redact(docs: DataFrame, text_col: str = "text", **thresholds) -> DataFrame:
     """The documents with sanitised texts; all other columns as they are. Null texts stay null."""
-    joined, table = _with_terms(docs, disclosures(docs, text_col, **thresholds), text_col)
+    own = "_terms_" + uuid.uuid4().hex[:8]  # no column of the input goes by it
+    joined, table = _with_terms(docs, disclosures(docs, text_col, **thresholds), text_col, own)
     names = joined.columns
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if t is None else masked(t, *all_spans(t, _table(rows, table))) for t, rows in zip(column(b, text_col), column(b, "_terms"))]
+            out = [None if t is None else masked(t, *all_spans(t, _table(rows, table))) for t, rows in zip(column(b, text_col), column(b, own))]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else b.column(i) for i, c in enumerate(names)], names=names)
 
-    return joined.mapInArrow(run, joined.schema).drop("_terms")
+    return joined.mapInArrow(run, joined.schema).drop(own)

@@ -107,3 +107,20 @@ def test_terms_of_entities_that_occur_once_and_far_away(spark):
     assert {(r.term, r.removed) for r in P.disclosures(docs).collect()} == {("zyxwalda", True), ("quorbin", True)}
     clean = P.redact(docs).where("doc_id = 0").first().text
     assert "Zyxwalda" not in clean and "Quorbin" not in clean and "[EMAIL]" in clean and "kata lomi suno" in clean
+
+
+def test_columns_of_the_input_stay(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "Zorb wrote bob@example.org AGAIN zeta", "k", 1, True)] + [(i, f"word{'abcdefgh'[i % 8]} plain text", "k", i, False) for i in range(1, 60)], "doc_id long, text string, _key string, _terms int, _has boolean")
+    for most in (100_000, 0):  # terms by broadcast, and by join
+        monkeypatch.setattr(P, "BROADCAST_TERMS", most)
+        got = P.redact(docs)
+        assert got.columns == docs.columns
+        rows = {r.doc_id: r for r in got.collect()}
+        assert len(rows) == 60 and rows[0]._terms == 1 and rows[0]._key == "k" and "[EMAIL]" in rows[0].text and "bob@" not in rows[0].text
+
+
+def test_terms_are_generalised_by_shape():
+    text = "Anna saw NATO plain a@b.c"
+    base = P.base_spans(text)
+    assert P.masked(text, base, [(0, 4, False), (9, 13, False), (14, 19, False)]) == "[NAME] saw [ACRONYM] [WORD] [EMAIL]"
+    assert P.masked(text, base, [(0, 4, True)]) == " saw NATO plain [EMAIL]"
