@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +72,32 @@ def windows(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return rows.withColumn("last_word", F.least(F.col("first_word") + size, F.col("n_words")))
 
 
+def budget_windows(df: DataFrame, key: str = "doc_id", counts: str = "counts", size: int = WINDOW_WORDS, overlap: int = OVERLAP, budget: int = 352) -> DataFrame:
+    """key, win, first_word, last_word, error: windows whose words have `budget` sub-tokens at most. counts: an array with the
+    number of sub-tokens of each word, by whatever tokenizer. A window that holds more ends earlier, the next one begins
+    `overlap` words before its end, one word on at least; a text with a word over the budget has one row with an error.
+    Null and empty arrays have no windows."""
+    keytype = df.schema[key].dataType.simpleString()
+
+    def cut(n: list[int]) -> list[tuple]:
+        if max(n, default=0) > budget:
+            return [(None, None, None, "word_over_budget")]
+        total, out, start = np.concatenate(([0], np.cumsum(n))), [], 0
+        while n and (not out or out[-1][2] < len(n)):
+            # the most words whose sum stays within the budget
+            end = min(start + size, int(np.searchsorted(total, total[start] + budget, side="right")) - 1)
+            out.append((len(out), start, end, None))
+            start = max(start + 1, end - overlap)
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *w) for k, n in zip(b[key], b[counts]) if n is not None for w in cut(list(n))]
+            yield pd.DataFrame(rows, columns=[key, "win", "first_word", "last_word", "error"]).astype({c: "Int32" for c in ("win", "first_word", "last_word")})
+
+    return df.select(key, counts).mapInPandas(run, f"{key} {keytype}, win int, first_word int, last_word int, error string")
+
+
 def blank(text: Column) -> Column:
     """Whether there is nothing but Unicode white space."""
     return ~text.rlike(r"[^\s\p{Z}]")

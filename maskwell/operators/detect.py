@@ -140,6 +140,22 @@ def over_cap(rows: DataFrame, key: str = "doc_id", cap: int = MAX_ENTITIES) -> D
     return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > cap).select(key)
 
 
+def failed_by_cap(found: DataFrame, spans: DataFrame, key: str = "doc_id", cap: int = MAX_ENTITIES) -> DataFrame:
+    """Keys with more entities than the cap, or with more spans after these were laid on words; nothing is cut off."""
+    return over_cap(found, key, cap).unionByName(over_cap(spans, key, cap)).distinct()
+
+
+#: The order of a document's steps.
+PHASES = ("ocr", "redact", "finish")
+
+
+def phase_errors(steps: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos, action, error: steps (key, pos from 0, action) that are unknown, out of order or more than there are phases."""
+    due = F.get(F.array(*map(F.lit, PHASES)), F.col("pos"))
+    error = F.when(~F.col("action").isin(*PHASES) | F.col("action").isNull(), "unknown_action").when(~F.col("action").eqNullSafe(due), "wrong_phase")
+    return steps.select(key, "pos", "action", error.alias("error")).where("error is not null")
+
+
 def in_policy(rows: DataFrame, negate: bool = False) -> DataFrame:
     """Rows whose label is (or is not) of the policy."""
     return rows.join(F.broadcast(policy(rows.sparkSession)), "label", "left_anti" if negate else "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import valid_box
 from ..storage import settle
 from .evaluate import REVIEWABLE
+from .redact import redact_images
 
 MAX_BOXES = 128
 
@@ -64,6 +65,39 @@ def check_boxes(drawn: DataFrame, key: str = "run", cap: int = MAX_BOXES) -> Dat
     return drawn.groupBy(key).agg((F.count("*").between(1, cap) & F.bool_and(valid_box(F.col("b"), F.col("width"), F.col("height")))).alias("ok"))
 
 
+#: Codes of errors that records may name; anything else could hold text of a document.
+SAFE_CODES = ("ValueError", "RuntimeError", "OutOfMemoryError", "OSError", "TypeError")
+
+
+def error_code(code):
+    return F.when(code.isin(*SAFE_CODES), code).otherwise("InferenceError")
+
+
+def run_id(*columns):
+    """An id of 16 hex digits that follows from the columns, so that a task that runs twice names its run alike."""
+    return F.substring(F.sha2(F.concat_ws("\u001f", *columns), 256), 1, 16)
+
+
+def totals(runs: DataFrame) -> DataFrame:
+    """n, n_detections, n_unmapped, seconds (rounded half to even): one row from runs (detections and geometry_unmapped:
+    arrays or null, elapsed_seconds)."""
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)), F.lit(0)).cast("long")
+    return runs.agg(F.count("*").alias("n"), size("detections").alias("n_detections"), size("geometry_unmapped").alias("n_unmapped"), F.bround(F.coalesce(F.sum("elapsed_seconds"), F.lit(0.0)), 3).alias("seconds"))
+
+
+def save(current: DataFrame, drawn: DataFrame, outputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new run rows, their images) of boxes drawn on current versions: drawn has run, new_run, b, width, height; outputs
+    run, content. A save counts if its boxes are 1 to 128 and valid, the stored image has the recorded hash, the version is
+    a leaf, and the painted image is verified, with all that was black before still black."""
+    ok = check_boxes(drawn).where("ok").select("run")
+    boxes = drawn.join(ok, "run", "left_semi").groupBy("run").agg(F.min("new_run").alias("new_run"), F.collect_list("b").alias("boxes"))
+    stored = outputs.join(current.select("run", F.col("output_sha256").alias("_known")), "run").where(F.sha2("content", 256) == F.col("_known"))
+    painted = settle(redact_images(boxes.join(stored.select("run", "content"), "run"), key="run").where("status <> 'failed'").join(boxes.select("run", "new_run"), "run"))
+    rows = revise(current, painted.select("run", "new_run", "output_sha256"))
+    images = painted.select(F.col("new_run").alias("run"), F.col("output").alias("content"), "output_sha256").join(rows.select("run"), "run", "left_semi")
+    return rows, images
+
+
 def revise(current: DataFrame, saves: DataFrame) -> DataFrame:
     """New run rows: saves (run, new_run, output_sha256) on the current version; stale ones (not a leaf) are left out, and of
     several on one leaf the first by new_run is taken, as the others are stale then.

@@ -34,8 +34,8 @@ def check_uploads(files: DataFrame, content_type: str = "content_type") -> DataF
 
 
 def normalised(files: DataFrame) -> DataFrame:
-    """Uploads without an error as plain RGB PNG: content is replaced, error tells what could not be decoded. JPEG is
-    left to Spark's image source."""
+    """Uploads without an error as plain RGB PNG: content is replaced, error tells what could not be decoded. This decoder
+    reads PNG; JPEG files are read by read_pictures()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -52,6 +52,66 @@ def normalised(files: DataFrame) -> DataFrame:
     return files.mapInPandas(run, files.schema)
 
 
+def orientation(data: bytes) -> int:
+    """The EXIF orientation of a JPEG, 1 to 8; 1 if it says nothing."""
+    at = 2
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        size = int.from_bytes(data[at + 2 : at + 4], "big")
+        part = data[at + 4 : at + 2 + size]
+        if data[at + 1] == 0xE1 and part[:6] == b"Exif\0\0" and part[6:8] in (b"II", b"MM"):
+            order, tiff = ("little" if part[6:8] == b"II" else "big"), part[6:]
+            number = lambda a, n: int.from_bytes(tiff[a : a + n], order)
+            first = number(4, 4)
+            for k in range(number(first, 2)):
+                entry = first + 2 + 12 * k
+                if number(entry, 2) == 0x0112 and 1 <= number(entry + 8, 2) <= 8:
+                    return number(entry + 8, 2)
+        at += 2 + size
+    return 1
+
+
+def upright(pixels: np.ndarray, turn: int) -> np.ndarray:
+    """The pixels as an EXIF orientation means them."""
+    if turn >= 5:
+        pixels = pixels.transpose(1, 0, 2)
+    if turn in (2, 3, 6, 7):
+        pixels = pixels[:, ::-1]
+    return pixels[::-1] if turn in (3, 4, 7, 8) else pixels
+
+
+def read_pictures(spark: SparkSession, path: str) -> DataFrame:
+    """path, content (plain RGB PNG), error: PNG and JPEG files through Spark's image source, which decodes one frame,
+    turned upright. Files that it cannot decode (WebP among them), or that are too large, have an error."""
+    name = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    seen = spark.read.format("image").load(path).select(name("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    files = spark.read.format("binaryFile").load(path).select(name("path").alias("path"), "length", F.col("content").alias("_file"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out, errors = [], []
+            for h, w, n, data, raw, size in zip(b["height"], b["width"], b["nChannels"], b["data"], b["_file"], b["length"]):
+                error = "TooLarge" if size > codec.MAX_BYTES or max(h, w) > codec.MAX_SIDE or h * w > codec.MAX_PIXELS else "InvalidImage" if h <= 0 or n not in (1, 3, 4) else None
+                errors.append(error)
+                if error:
+                    out.append(None)
+                    continue
+                x = np.frombuffer(bytes(data), np.uint8).reshape(h, w, n)
+                if n == 4:
+                    alpha = x[:, :, 3:].astype(np.uint16)
+                    x = ((x[:, :, :3] * alpha + 255 * (255 - alpha) + 127) // 255).astype(np.uint8)
+                rgb = np.repeat(x, 3, axis=2) if n == 1 else x[:, :, 2::-1]  # the source gives blue first
+                out.append(codec.encode(np.ascontiguousarray(upright(rgb, orientation(bytes(raw)) if bytes(raw[:2]) == b"\xff\xd8" else 1))))
+            yield pd.DataFrame({"path": b["path"], "content": out, "error": errors})
+
+    return files.join(seen, "path").mapInPandas(run, "path string, content binary, error string")
+
+
+def clean(images: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, content: what is handed out, the pixels alone, encoded anew. Images that can't be decoded are null."""
+    rows = images.select(key, "content", F.lit(None).cast("string").alias("error"))
+    return normalised(rows).select(key, "content")
+
+
 def page_pixels(text: str) -> np.ndarray:
     """A virtual page: each visible character is a grey cell of the grid on white."""
     lines = max(1, -(-len(text) // COLUMNS))

@@ -32,11 +32,15 @@ def _guard(spark: SparkSession, name: str) -> None:
 
 def run_job(items: DataFrame, out: str, checkpoint: str, name: str = "job", failed: str = "failed", stop_on_failure: bool = True):
     """Starts the job over a streaming frame of item results. Each micro-batch appends its rows to `out` under its own
-    number, so a batch that is run again after a loss replaces itself and counts once."""
+    number, so a batch that is run again after a loss replaces itself and counts once. After each batch the summary of all
+    of them is written anew to `out`-summary, from a row of sums for each batch."""
     _guard(items.sparkSession, name)
 
     def publish(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        spark, sums = batch.sparkSession, f"{out}-sums"
+        spark.read.parquet(f"{out}/batch={number}").agg(F.count("*").alias("n"), F.count_if(failed).alias("n_failed")).write.mode("overwrite").parquet(f"{sums}/batch={number}")
+        spark.read.parquet(sums).agg(F.sum("n").alias("n"), F.sum("n_failed").alias("n_failed"), F.max("batch").alias("batch")).write.mode("overwrite").json(f"{out}-summary")
         if stop_on_failure and batch.where(failed).limit(1).count():
             raise JobFailed(name)
 
@@ -48,6 +52,12 @@ def published(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def performance(query) -> dict:
+    """What a finished job took, from the stream's own progress: batches, rows, seconds (rounded half to even)."""
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    return {"batches": len(done), "rows": sum(p["numInputRows"] for p in done), "seconds": round(sum(p["durationMs"].get("triggerExecution", 0) for p in done) / 1000, 3)}
+
+
 def summaries(rows: DataFrame, failed: str = "failed") -> DataFrame:
     """batch, n, n_failed: the running summary after each batch, from sums of each (a window over batches, not items)."""
     from pyspark.sql import Window as W
