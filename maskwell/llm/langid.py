@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +178,9 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     sample = hashed.join(F.broadcast(limits) if len(langs) <= MOST_LANGS else limits, (F.col("lang") == F.col("its")) & (F.col("h") <= F.col("most"))).select("lang", "h", "text")
     vectors = sample.mapInArrow(vec_run, "lang string, h long, at binary, w binary").dropDuplicates(["lang", "h"])
 
-    def centres_of(got: pd.DataFrame) -> pd.DataFrame:
+    def centres_of(got):
+        import pandas as pd  # not at the top: workers of operators that share kmeans() need not hold it
+
         got = got.sort_values("h").head(max_train)
         x = np.zeros((len(got), DIMS), np.float32)
         for j, (at, w) in enumerate(zip(got["at"], got["w"])):

@@ -46,7 +46,7 @@ from .common import column, small_batches, tidied
 MARK = "▁"
 UNKNOWN = 10.0
 #: Words whose paths a Python worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 75_000
 INF = float("inf")
 
 
@@ -159,24 +159,24 @@ class Merges:
         for r in self.rank.values():
             times[r] = times.get(r, 0) + 1
         #: by id: the symbols at the right and left rim of a piece while it is made, with their ranks; None: merge it out
-        self.right: dict[int, list[tuple[str, float]] | None] = {}
-        self.left: dict[int, list[tuple[str, float]] | None] = {}
+        self.right: dict[int, tuple[tuple[str, float], ...] | None] = {}
+        self.left: dict[int, tuple[tuple[str, float], ...] | None] = {}
         self.known: dict[int, bool] = {}
         for p, i in pieces.items():
             if len(p) == 1:
-                self.right[i] = self.left[i] = [(p, -INF)]
+                self.right[i] = self.left[i] = ((p, -INF),)
         for p, r in sorted(self.rank.items(), key=lambda x: (x[1], x[0])):
-            i = pieces[p]
+            i, step = pieces[p], (p, r)
             for k in range(1, len(p)):
                 a, b = pieces.get(p[:k]), pieces.get(p[k:])
                 if times[r] == 1 and a in self.right and b in self.right and self.right[a] and self.right[b] and self.apart(self.right[a], self.left[b], r):
-                    self.right[i], self.left[i] = [*self.right[b], (p, r)], [*self.left[a], (p, r)]
+                    self.right[i], self.left[i] = (*self.right[b], step), (*self.left[a], step)
                     break
             else:
                 if self.merged(p) == [p]:
                     self.right[i] = self.left[i] = None
 
-    def apart(self, right: list[tuple[str, float]], left: list[tuple[str, float]], below: float = INF) -> bool:
+    def apart(self, right: tuple[tuple[str, float], ...], left: tuple[tuple[str, float], ...], below: float = INF) -> bool:
         """No merge across the border comes first. Of merges of equal rank the left one does."""
         i, j, m, n, rank = 0, 0, len(right) - 1, len(left) - 1, self.rank
         while True:
@@ -209,7 +209,7 @@ class Merges:
             ok = self.apart(right, left) if right and left else self.merged(text) == [text[:cut], text[cut:]]
         else:
             ok = True
-        if len(self.known) > REMEMBERED * 4:
+        if len(self.known) > REMEMBERED * 2:
             self.known.clear()
         self.known[key] = ok
         return ok

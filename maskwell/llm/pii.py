@@ -45,7 +45,7 @@ ALPHA = 0.8
 BITS = 1 << 22
 BROADCAST_TERMS = 100_000
 #: Pairs of an entity and a term that leave a task at once.
-PAIRS = 50_000
+PAIRS = 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
