@@ -7,7 +7,7 @@ after it in the stretch. So anchors depend on what stands near them only, and an
 signatures of a text are the distinct 64-bit hashes of its spots, sorted; the likeness of two texts is the Jaccard similarity
 of their signatures.
 
-search() compares a set of queries with all texts. Signature sets are partitioned by length: only sets whose
+search() compares a set of queries with all texts, each different set of signatures once. Signature sets are partitioned by length: only sets whose
 lengths differ by a factor of at most the threshold can be that similar, and the bounds of the partitions grow by that
 factor, so a query meets its own partition and the two beside it. Jaccard is pruned twice: two similar sets share one
 of the first n - ceil(threshold * n) + 1 signatures in sorted order (only these are joined), and a pair whose lengths
@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Common words of four languages (fixed values).
 ANCHORS = (
     "the of and to in a is that for it on was as with be by this at are from an or not have "
@@ -36,6 +38,8 @@ ANCHORS = (
 ).split()
 CHAIN = 2
 LONG = 6
+#: So many of the signatures that queries share are put last; any order gives the same pairs.
+COMMON = 1000
 
 
 def trie_pattern(words: list[str]) -> str:
@@ -150,16 +154,27 @@ def length_partition(size: str, threshold: float):
 
 
 def search(queries: DataFrame, docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, similarity: all texts that are as similar as the threshold to a query (0 < threshold < 1)."""
-
-    def prepared(df: DataFrame, name: str) -> DataFrame:
-        rows = with_signatures(df.select(F.col(id_col).cast("long").alias(name), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", f"{name}_s").drop("text").distinct()
-        rows = rows.withColumn(f"{name}_n", F.size(f"{name}_s"))
-        return rows.withColumn("_part", length_partition(f"{name}_n", threshold)).withColumn("_prefix", F.slice(f"{name}_s", F.lit(1), (F.col(f"{name}_n") - F.ceil(F.col(f"{name}_n") * threshold - 1e-9) + 1).cast("int")))
-
-    q = prepared(queries, "query_id").withColumn("_part", F.explode(F.expr("sequence(_part - 1, _part + 1)"))).withColumn("_spot", F.explode("_prefix")).drop("_prefix")
-    d = prepared(docs, "doc_id").withColumn("_spot", F.explode("_prefix")).drop("_prefix")
-    pairs = q.join(d, ["_part", "_spot"])
-    pairs = pairs.where(F.least("query_id_n", "doc_id_n") >= threshold * F.greatest("query_id_n", "doc_id_n") - 1e-9)
-    scored = pairs.withColumn("similarity", likeness("query_id_s", "doc_id_s")).where(F.col("similarity") >= threshold - 1e-12)
-    return scored.select("query_id", "doc_id", "similarity").distinct()
+    """query_id, doc_id, similarity: all texts that are as similar as the threshold to a query (0 < threshold < 1). Rows with
+    equal signatures are compared once, and named one by one at the end only."""
+
+    def prepared(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = with_signatures(df.select(F.col(id_col).cast("long").alias(name), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "_s").drop("text")
+        rows = settle(rows.withColumn(f"{name}_set", F.sha2(F.array_join(F.col("_s").cast("array<string>"), ","), 256)))
+        sets = rows.groupBy(f"{name}_set").agg(F.first("_s").alias(f"{name}_s")).withColumn(f"{name}_n", F.size(f"{name}_s"))
+        return rows.select(name, f"{name}_set").distinct(), sets
+
+    (q_rows, q), (d_rows, d) = prepared(queries, "query_id"), prepared(docs, "doc_id")
+    # signatures that many queries share come last in every set, so they are joined only where a set has hardly any others
+    common = q.select(F.explode("query_id_s").alias("spot")).groupBy("spot").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "spot").limit(COMMON).collect()
+    last = F.array(*[F.lit(r.spot) for r in reversed(common)]).cast("array<bigint>")
+
+    def spots(df: DataFrame, name: str) -> DataFrame:
+        ordered = F.concat(F.array_except(f"{name}_s", last), F.array_intersect(last, F.col(f"{name}_s")))
+        first = F.slice(ordered, F.lit(1), (F.col(f"{name}_n") - F.ceil(F.col(f"{name}_n") * threshold - 1e-9) + 1).cast("int"))
+        return df.withColumn("_part", length_partition(f"{name}_n", threshold)).withColumn("_spot", F.explode(first))
+
+    near = spots(q, "query_id").withColumn("_part", F.explode(F.expr("sequence(_part - 1, _part + 1)")))
+    pairs = near.select("query_id_set", "query_id_n", "_part", "_spot").join(spots(d, "doc_id").select("doc_id_set", "doc_id_n", "_part", "_spot"), ["_part", "_spot"])
+    pairs = pairs.where(F.least("query_id_n", "doc_id_n") >= threshold * F.greatest("query_id_n", "doc_id_n") - 1e-9).select("query_id_set", "doc_id_set").distinct()
+    scored = pairs.join(q, "query_id_set").join(d, "doc_id_set").withColumn("similarity", likeness("query_id_s", "doc_id_s")).where(F.col("similarity") >= threshold - 1e-12)
+    return scored.select("query_id_set", "doc_id_set", "similarity").join(q_rows, "query_id_set").join(d_rows, "doc_id_set").select("query_id", "doc_id", "similarity")

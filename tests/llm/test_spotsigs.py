@@ -83,9 +83,13 @@ def test_search_same_as_brute_force(spark):
             for _ in range(k + 1):
                 v[rng.randrange(len(v))] = "new"
             rows.append((100 + 3 * i + k, " ".join(v)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows += [(1000 + i, base[0] and " ".join(base[0])) for i in range(15)] + [(2000 + i, t) for i, t in enumerate([None, "", "the of"] * 3)]
+    line = " ".join(base[1][:20])
+    rows += [(3000 + i, f"{line} own{i} " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(12))) for i in range(40)]
+    rows += [(4000, rows[0][1]), (4000, rows[0][1])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, query_id string")
     got = {(r.query_id, r.doc_id): r.similarity for r in S.search(docs.where(F.col("doc_id") % 5 == 0), docs).collect()}
-    sig = {i: signatures(t) for i, t in rows}
+    sig = {i: signatures(t or "") for i, t in rows}
     want = {(i, j): jaccard(sig[i], sig[j]) for i in sig if i % 5 == 0 for j in sig if jaccard(sig[i], sig[j]) >= 0.8}
     assert got == want and len(got) > len([i for i in sig if i % 5 == 0])
 
