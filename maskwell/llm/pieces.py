@@ -320,6 +320,12 @@ class Model:
             self.new, self.old = {}, new
         return out
 
+    def forget(self) -> None:
+        """Workers live on after a task, and what they remember would stay in an executor's memory."""
+        self.new, self.old = {}, {}
+        if self.merges:
+            self.merges.known.clear()
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
@@ -361,6 +367,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 rows.append((len(ids), int(is_byte[ids].sum()), zlib.crc32(raw), same, *[raw] * with_ids))
             cols = zip(*rows) if rows else [[]] * (4 + with_ids)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:]))], schema=schema)
+        m.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, n_bytes long, ids_crc32 long, decoded_ok boolean" + ", ids binary" * with_ids)
