@@ -115,21 +115,28 @@ def clean(images: DataFrame, key: str = "doc_id") -> DataFrame:
 def page_pixels(text: str) -> np.ndarray:
     """A virtual page: each visible character is a grey cell of the grid on white."""
     lines = max(1, -(-len(text) // COLUMNS))
-    page = np.full((Y0 + 40 + PITCH * lines, X0 + STRIDE * (COLUMNS - 1) + CELL_W + 40, 3), 255, np.uint8)
+    w = X0 + STRIDE * (COLUMNS - 1) + CELL_W + 40
+    page = np.full((Y0 + 40 + PITCH * lines, w, 3), 255, np.uint8)
     at = np.array([i for i, c in enumerate(text) if not c.isspace()], np.int64)
     if len(at):
         grey = (40 + np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[at] % 100).astype(np.uint8)
-        y, x = Y0 + PITCH * (at // COLUMNS), X0 + STRIDE * (at % COLUMNS)
-        rows = y[:, None] + np.arange(CELL_H)
+        one = np.full((lines, w), 255, np.uint8)  # a scanline of each line of text, as all of a line's are equal
+        x = X0 + STRIDE * (at % COLUMNS)
         # cells are wider than their stride: the columns that they share belong to the next cell
         for dx in [*range(STRIDE, CELL_W), *range(STRIDE)]:
-            page[rows, x[:, None] + dx] = grey[:, None, None]
+            one[at // COLUMNS, x + dx] = grey
+        page[Y0 : Y0 + PITCH * lines].reshape(lines, PITCH, w, 3)[:, :CELL_H] = np.repeat(one[:, :, None], 3, axis=2)[:, None]
     return page
 
 
+def few_pages(spark: SparkSession) -> None:
+    """Few rows to a batch, as a page has some MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+
+
 def render_pages(docs: DataFrame) -> DataFrame:
     """doc_id, content (PNG): virtual pages of texts."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # a page has some MB
+    few_pages(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
