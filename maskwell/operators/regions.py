@@ -26,7 +26,9 @@ def slabs(key: str, *frames: tuple[DataFrame, list[str]]) -> list[DataFrame]:
     pages = edges.groupBy("_page").agg(F.sort_array(F.collect_set("_y")).alias("_edges"))
     out = []
     for df, keys in frames:
-        cut = F.expr("filter(transform(_edges, (e, i) -> struct(e AS y, get(_edges, i + 1) - e AS h)), s -> s.y >= y0 AND s.y < y1)")
+        # a box's own edges are among those of its page, so the cuts between them are a slice
+        i, n = "array_position(_edges, y0)", "array_position(_edges, y1) - array_position(_edges, y0)"
+        cut = F.expr(f"zip_with(slice(_edges, {i}, {n}), slice(_edges, {i} + 1, {n}), (a, b) -> struct(a AS y, b - a AS h))")
         rows = df.join(pages, F.col(key) == F.col("_page")).select(*keys, "x0", "x1", F.explode(cut).alias("_s"))
         out.append(rows.select(*keys, "_s.y", "_s.h", "x0", "x1"))
     return out
