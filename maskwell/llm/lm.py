@@ -15,8 +15,8 @@ matrix and the word's profile (how much more often than others it stands in each
 The recurrent weights are learned by truncated backpropagation through WINDOW steps (Adam), from all training texts at
 every size, each in one of ROUNDS rounds. In learning a text of more than PIECE tokens goes on in another slot, with a fresh
 state; in scoring its state is carried from the first token to the last. Tasks learn on their texts from the same weights, and the weights
-are averaged after each round. The groups come from k-means on GROUP_DOCS different texts at most (a documented bound: those
-of the lowest hashes).
+are averaged after each round. The groups come from k-means on the counts of the GROUP_WORDS commonest words in every training
+text: the first centres are drawn from all of them, and all of them move the centres, MOVES times at most.
 
 Texts are read side by side in slots; a slot takes up the next text when one ends, and slots without texts cost nothing, so
 long texts hold up no others. In scoring the states of many windows meet before the softmax is taken.
@@ -27,7 +27,8 @@ training texts all counts are 0 and the score is that of an untrained model over
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -40,9 +41,11 @@ from pyspark.sql import functions as F
 from .common import Workspace, column, settle, small_batches, texts, words_of
 
 HEAD = 1 << 17
-GROUPS, GROUP_WORDS, GROUP_DOCS = 6, 64, 1500
+GROUPS, GROUP_WORDS, MOVES = 6, 64, 8
 #: Words of a group's first class, and of its largest; classes double in between.
 FIRST, LARGEST = 32, 256
+#: Classes of a block: a softmax over blocks and one over a block's classes cost less than one over all classes of a group.
+BLOCK = 32
 #: Of profiles: counts that each word is taken to have beside its own, and the largest value.
 PRIOR, STEEPEST = 4.0, 4.0
 HIDDEN = 16
@@ -53,6 +56,8 @@ WINDOW, SLOTS, PIECE = 32, 192, 1024
 MEET = 1 << 16
 #: Rows whose softmax over classes is taken at once.
 CHUNK = 1024
+#: Logits up to which exponentials, and sums of them, are numbers of 32 bits.
+REACH = 80.0
 ROUNDS, TRAIN_SLOTS, RATE = 2, 32, 0.02
 #: Tasks with many texts learn from up to WIDE of them side by side, one slot to DEEP texts, as that takes less time a token.
 WIDE, DEEP = 384, 16
@@ -64,7 +69,11 @@ LN10 = float(np.log(10))
 def group_vector(words: list[bytes], common: dict[bytes, int]) -> np.ndarray:
     """Square roots of the counts of the common words, at length one."""
     at = np.fromiter(map(common.get, words, repeat(len(common))), np.int64, len(words))
-    v = np.sqrt(np.bincount(at, minlength=len(common) + 1)[: len(common)]).astype(np.float32)
+    return unit(np.bincount(at, minlength=len(common) + 1)[: len(common)])
+
+
+def unit(counts: np.ndarray) -> np.ndarray:
+    v = np.sqrt(counts).astype(np.float32)
     n = np.linalg.norm(v)
     return v / n if n else v
 
@@ -74,90 +83,152 @@ class Groups:
     common: dict[bytes, int]
     centres: np.ndarray
 
-    def of(self, words: list[bytes]) -> int:
-        return int((self.centres @ group_vector(words, self.common)).argmax())
+    def nearest(self, counts: np.ndarray) -> int:
+        """The group of a text with these counts of the common words."""
+        return int((self.centres @ unit(counts)).argmax())
 
 
-def find_groups(common: dict[bytes, int], vectors: np.ndarray, seed: int = 3) -> Groups:
-    """vectors: group_vector() of the texts of the sample."""
-    if not common or not len(vectors):
-        return Groups(common, np.zeros((1, len(common)), np.float32))
-    x = vectors[np.linalg.norm(vectors, axis=1) > 0]
-    if not len(x):
-        return Groups(common, np.zeros((1, len(common)), np.float32))
-    rng = np.random.default_rng(seed)
-    centres = [x[0]]
-    while len(centres) < GROUPS:  # far from all others
-        d = np.maximum(1 - np.max(x @ np.stack(centres).T, axis=1), 0)
-        if d.max() < 1e-6:
-            break
-        centres.append(x[rng.choice(len(x), p=d / d.sum())])
-    c = np.stack(centres)
-    for _ in range(15):
-        mine = (x @ c.T).argmax(axis=1)
-        for i in range(len(c)):
-            if (mine == i).any():
-                c[i] = x[mine == i].mean(axis=0)
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return Groups(common, c)
-
-
-def groups_of(training: DataFrame, n_docs: int, ws: Workspace) -> Groups:
-    """From GROUP_DOCS texts (doc_id, text) at most, those of the lowest hashes: their commonest words, and the groups of
-    their vectors. Few rows meet, as the hash below which they lie follows from the number of texts."""
-    most = int(min(1.0, (1.2 * GROUP_DOCS + 50) / max(1, n_docs)) * ((1 << 62) - 1))
-    hashed = training.select("text", F.shiftrightunsigned(F.xxhash64(F.lit("groups"), "text"), 2).alias("h")).where(F.col("h") <= most)
-    sample = ws.settle(hashed.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(GROUP_DOCS))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def vectors_of(training: DataFrame, common: dict[bytes, int]) -> DataFrame:
+    """v: the vectors (group_vector) of all texts that hold a common word, those of a batch in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            total: Counter = Counter()
-            for t in column(b, "text"):
-                total.update(words_of(t))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+            found = [v for t in column(b, "text") if (v := group_vector(words_of(t), common)).any()]
+            if found:
+                yield pa.RecordBatch.from_pydict({"v": pa.array([np.stack(found).tobytes()], pa.binary())})
 
-    top = sample.select("text").mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(GROUP_WORDS).collect()
-    common = {bytes(r.word): i for i, r in enumerate(top)}
+    return training.select("text").mapInArrow(run, "v binary")
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([group_vector(words_of(t), common).tobytes() for t in column(b, "text")], pa.binary())], names=["h", "v"])
 
-    got = sample.select("h", "text").mapInArrow(vectors, "h long, v binary").orderBy("h").collect()
-    return find_groups(common, np.array([np.frombuffer(r.v, np.float32) for r in got], np.float32))
+def added_up(parts: DataFrame) -> np.ndarray | None:
+    """The sum of the arrays of 64-bit integers or floats in parts (row: kind, x), by way of SUMS tasks, so that the driver gets
+    few rows of however many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = None, None
+        for b in batches:
+            for kind, x in zip(column(b, "kind"), column(b, "x")):
+                x = np.frombuffer(x, kind)
+                total = x.astype(f"{kind[:2]}8") if total is None else total + x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([total.dtype.str]), "x": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "kind string, x binary"
+    got = parts.repartition(SUMS).sortWithinPartitions("x").mapInArrow(run, schema).collect()
+    return sum(np.frombuffer(r.x, r.kind) for r in sorted(got, key=lambda r: bytes(r.x))) if got else None
+
+
+def find_groups(vectors: DataFrame, common: dict[bytes, int], seed: int = 3) -> Groups:
+    """k-means over all vectors: each pass reads their table, and a task gives one row."""
+    width = len(common)
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.frombuffer(v, np.float32) for v in column(b, "v")]).reshape(-1, width)
+
+    def draw(centres: np.ndarray) -> np.ndarray | None:
+        """A vector, drawn by its distance to the nearest centre: that of the least -log(u) / distance, u uniform."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = (np.inf, None)
+            for b in batches:
+                x = matrix(b)
+                u = np.random.default_rng([seed, len(centres), zlib.crc32(x.tobytes())]).random(len(x))
+                far = np.maximum(1 - (x @ centres.T).max(axis=1), 0) if len(centres) else np.ones(len(x))
+                key = np.where(far > 1e-6, -np.log(1 - u) / np.maximum(far, 1e-6), np.inf)
+                i = int(key.argmin())
+                if key[i] < best[0]:
+                    best = key[i], x[i].tobytes()
+            if best[1]:
+                yield pa.RecordBatch.from_pydict({"key": pa.array([best[0]]), "v": pa.array([best[1]], pa.binary())})
+
+        got = vectors.mapInArrow(run, "key double, v binary").orderBy("key", "v").limit(1).collect()
+        return np.frombuffer(got[0].v, np.float32) if got else None
+
+    def members(centres: np.ndarray) -> np.ndarray:
+        """For each centre the sum of its vectors, and their number."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(centres), width + 1))
+            for b in batches:
+                x = matrix(b)
+                mine = np.eye(len(centres), dtype=np.float32)[(x @ centres.T).argmax(axis=1)]
+                total[:, :width] += mine.T @ x
+                total[:, width] += mine.sum(axis=0)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([total.dtype.str]), "x": pa.array([total.tobytes()], pa.binary())})
+
+        return added_up(vectors.mapInArrow(run, "kind string, x binary")).reshape(-1, width + 1)
+
+    centres = np.zeros((0, width), np.float32)
+    while width and len(centres) < GROUPS and (x := draw(centres)) is not None:
+        centres = np.vstack((centres, x))
+    if len(centres) < 2:
+        return Groups(common, np.zeros((1, width), np.float32))
+    before = None
+    for _ in range(MOVES):
+        total = members(centres)
+        some = total[:, width] > 0
+        centres = centres.copy()
+        centres[some] = total[some, :width]
+        centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        if before is not None and (before == total[:, width]).all():
+            break
+        before = total[:, width]
+    return Groups(common, centres)
 
 
-def count_words(docs: DataFrame, groups: Groups) -> DataFrame:
-    """word, c, grp (the group of texts that has most of it), g0, g1, ... (its counts in each) over all texts of docs (doc_id, text)."""
-    n_groups = len(groups.centres)
-    schema = pa.schema([("word", pa.binary()), ("grp", pa.int32()), ("n", pa.int64())])
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, c over all texts of docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = [Counter() for _ in range(n_groups)]
+        total: Counter = Counter()
 
-        def flush(g: int) -> pa.RecordBatch:
-            c = totals[g]
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(np.full(len(c), g, np.int32)), pa.array(list(c.values()), pa.int64())], schema=schema)
-            totals[g] = Counter()
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
+            total.clear()
             return out
 
         for b in batches:
             for t in column(b, "text"):
-                words = words_of(t)
-                totals[groups.of(words)].update(words)
-            while sum(map(len, totals)) > 400_000:
-                yield flush(max(range(n_groups), key=lambda g: len(totals[g])))
-        for g in range(n_groups):
-            yield flush(g)
-
-    parts = docs.select("text").mapInArrow(run, "word binary, grp int, n long")
-    by_group = [F.coalesce(F.sum(F.when(F.col("grp") == g, F.col("n"))), F.lit(0)).alias(f"g{g}") for g in range(n_groups)]
-    sums = parts.groupBy("word").agg(F.sum("n").alias("c"), *by_group)
-    most = F.greatest(*[F.col(f"g{g}") for g in range(n_groups)]) if n_groups > 1 else F.col("g0")
-    which = F.lit(0)
-    for g in reversed(range(n_groups)):
-        which = F.when(F.col(f"g{g}") == most, g).otherwise(which)
-    return sums.withColumn("grp", which.cast("int"))
+                total.update(words_of(t))
+            if len(total) > 400_000:
+                yield flush()
+        yield flush()
+
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+
+
+def group_counts(training: DataFrame, words: list[bytes], groups: Groups) -> np.ndarray:
+    """[words, groups]: how often each of the words stands in all training texts of each group. The common words are the
+    first of them."""
+    n_groups, k, few = len(groups.centres), len(words), len(groups.common)
+    shared = training.sparkSession.sparkContext.broadcast((words, groups))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, groups = shared.value
+        ids = dict(zip(words, range(k)))
+        total, waiting, n = np.zeros((n_groups, k), np.int64), [[] for _ in range(n_groups)], 0
+
+        def count() -> None:
+            for g, some in enumerate(waiting):
+                if some:
+                    total[g] += np.bincount(np.concatenate(some), minlength=k + 1)[:k]
+                    some.clear()
+
+        for b in batches:
+            for t in column(b, "text"):
+                found = words_of(t)
+                x = np.fromiter(map(ids.get, found, repeat(k)), np.int32, len(found))
+                waiting[groups.nearest(np.bincount(x[x < few], minlength=few))].append(x)
+                n += len(x)
+            if n > 1 << 20:
+                count()
+                n = 0
+        count()
+        kind = "<i4" if total.max(initial=0) < 1 << 31 else "<i8"
+        yield pa.RecordBatch.from_pydict({"kind": pa.array([kind]), "x": pa.array([total.astype(kind).tobytes()], pa.binary())})
+
+    got = added_up(training.select("text").mapInArrow(run, "kind string, x binary")) if k else None
+    return np.zeros((k, n_groups), np.int64) if got is None else np.ascontiguousarray(got.reshape(n_groups, k).T)
 
 
 @dataclass
@@ -176,14 +247,14 @@ class Vocabulary:
         k = len(self.words)
         self.rare, self.end = k, k + 1
         cls = np.zeros(k + 2, np.int32)
-        n, self.spans = 0, []  # classes of each group; the rare ones and the end are groups of their own
+        n, self.spans = 0, []  # blocks of a group's classes; the rare ones and the end are blocks of their own
         for g in np.unique(self.group).tolist():
             mine = np.flatnonzero(self.group == g)  # by descending count
             at, size, begin = 0, FIRST, n
             while at < len(mine):
                 cls[mine[at : at + size]] = n
                 at, size, n = at + size, min(2 * size, LARGEST), n + 1
-            self.spans.append((begin, n))
+            self.spans += [(a, min(a + BLOCK, n)) for a in range(begin, n, BLOCK)]
         cls[self.rare], cls[self.end] = n, n + 1
         self.spans += [(n, n + 1), (n + 1, n + 2)]
         self.top = np.repeat(np.arange(len(self.spans)), [b - a for a, b in self.spans])
@@ -205,7 +276,11 @@ class Vocabulary:
         own = self.by_group[order] + PRIOR * share
         profile = np.log(own / own.sum(axis=1, keepdims=True) / share)
         self.profile = np.clip(profile, -STEEPEST, STEEPEST).astype(np.float32)
-        self.across = np.ascontiguousarray(self.profile.T)
+        # one product with (z, 1) gives a class's logits, one of their exponentials with (profile, 1) what the gradient needs
+        self.across = np.ascontiguousarray(np.vstack((self.profile.T, self.log_count)))
+        self.beside = np.column_stack((self.profile, np.ones(k, np.float32)))
+        self.ones = np.ones(k, np.float32)
+        self.order = cls.astype(np.int16) if self.classes < 1 << 15 else cls  # sorted faster
         # rows of the input table: frequent words, then classes, then the start
         self.row = np.where(np.arange(k + 2) < min(k, INPUTS), np.arange(k + 2), min(k, INPUTS) + cls).astype(np.int32)
         self.start = min(k, INPUTS) + self.classes
@@ -261,64 +336,79 @@ def within(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, back: np.n
     """(numbers of the tokens of the head, natural log-probability of each in its class, gradient by its state's product with
     A). back: weights of the tokens; without them there is no gradient."""
     at = np.flatnonzero(target < v.rare)
-    at = at[np.argsort(v.cls[target[at]], kind="stable")]
+    at = at[np.argsort(v.order[target[at]], kind="stable")]
     words = target[at]
+    n = v.profile.shape[1]
     cls, z = v.cls[words], h[at] @ p["A"] + p["a"]
+    z = np.column_stack((z, np.ones(len(z), z.dtype)))
     word = v.begin[cls] + v.place[words]
-    lp = (z * v.profile[word]).sum(axis=1) + v.log_count[word]
-    total, dz = np.empty(len(at), z.dtype), np.empty_like(z)
+    profile = v.profile[word]
+    lp = np.einsum("ij,ij->i", z[:, :n], profile) + v.log_count[word]
+    # the largest logit is taken off only where an exponential could leave the range of numbers
+    wild = len(z) > 0 and STEEPEST * np.abs(z[:, :n]).sum(axis=1).max() + v.log_count.max() > REACH
+    total, sums = np.empty(len(at), z.dtype), np.empty_like(z)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(cls)) + 1, [len(cls)])).tolist() if len(cls) else [0]
-    for a, b in zip(cuts, cuts[1:]):
-        first, last = v.begin[cls[a]], v.begin[cls[a] + 1]
+    ends = v.begin.tolist()
+    for a, b, k in zip(cuts, cuts[1:], cls[cuts[:-1]].tolist()):
+        first, last = ends[k], ends[k + 1]
         x = z[a:b] @ v.across[:, first:last]
-        x += v.log_count[first:last]
-        top = x.max(axis=1)
-        x -= top[:, None]
+        if wild:
+            top = x.max(axis=1)
+            x -= top[:, None]
+            lp[a:b] -= top
         np.exp(x, out=x)
-        total[a:b] = x.sum(axis=1)
-        lp[a:b] -= top
-        if back is not None:
-            np.matmul(x, v.profile[first:last], out=dz[a:b])
-    if back is not None:
-        dz *= (back[at] / total)[:, None]
-        dz -= v.profile[word] * back[at, None]
-    return at, lp - np.log(total), dz
+        if back is None:
+            np.matmul(x, v.ones[first:last], out=total[a:b])
+        else:
+            np.matmul(x, v.beside[first:last], out=sums[a:b])
+    if back is None:
+        return at, lp - np.log(total), None
+    total = sums[:, n]
+    return at, lp - np.log(total), (sums[:, :n] / total[:, None] - profile) * back[at, None]
 
 
 def softmax(h: np.ndarray, C: np.ndarray, c: np.ndarray, pick: np.ndarray, back: np.ndarray | None = None) -> tuple:
     """(natural log-probability of what each row picks, gradients of C, of c and by the state), a CHUNK of rows at a time,
-    which a processor's cache holds. back: weights of the rows; without them there is no gradient."""
-    lp = np.empty(len(pick), h.dtype)
-    dC, dc, dh = (np.zeros_like(C), np.zeros_like(c), np.empty_like(h)) if back is not None else (None, None, None)
+    which a processor's cache holds. h: states and a column of ones. back: weights of the rows; without them there is no
+    gradient."""
+    lp, n = np.empty(len(pick), h.dtype), len(C)
+    both = np.vstack((C, c - c.max()))
+    wild = len(h) > 0 and np.abs(h).max() * np.abs(C).sum(axis=0).max() > REACH / 2
+    beside = np.ascontiguousarray(np.vstack((C, np.ones_like(c))).T)
+    ones = np.ones(C.shape[1], h.dtype)
+    d, dh = (np.zeros_like(both), np.empty((len(h), n), h.dtype)) if back is not None else (None, None)
     for a in range(0, len(pick), CHUNK):
         part = slice(a, a + CHUNK)
         own = h[part]
-        x = own @ C
-        x += c
-        x -= x.max(axis=1, keepdims=True)
+        x = own @ both
+        if wild:
+            x -= x.max(axis=1, keepdims=True)
         mine = np.arange(len(x)), pick[part]
         picked = x[mine]
         np.exp(x, out=x)
-        total = x.sum(axis=1)
+        if back is None:
+            lp[part] = picked - np.log(x @ ones)
+            continue
+        sums = x @ beside
+        total = sums[:, n]
         lp[part] = picked - np.log(total)
-        if back is not None:
-            x *= (back[part] / total)[:, None]
-            x[mine] -= back[part]
-            dC += own.T @ x
-            dc += x.sum(axis=0)
-            dh[part] = x @ C.T
-    return lp, dC, dc, dh
+        share = (back[part] / total)[:, None]
+        dh[part] = sums[:, :n] * share - beside[pick[part], :n] * back[part, None]
+        x[mine] -= total
+        d += (own * share).T @ x
+    return lp, *((d[:n], d[n]) if back is not None else (None, None)), dh
 
 
 def of_classes(p: dict, v: Vocabulary, h: np.ndarray, cls: np.ndarray, back: np.ndarray | None = None) -> tuple[np.ndarray, dict, np.ndarray | None]:
     """(natural log-probability of each class given its state, gradients, gradient by the state): that of the class's group,
     and in it that of the class."""
     top = v.top[cls]
+    h = np.column_stack((h, np.ones(len(h), h.dtype)))
     lp, dT, dt, dh = softmax(h, p["T"], p["t"], top, back)
     g = {"T": dT, "t": dt, "C": np.zeros_like(p["C"]), "c": np.zeros_like(p["c"])} if back is not None else {}
     for k, (a, b) in enumerate(v.spans):
         if b - a > 1 and len(at := np.flatnonzero(top == k)):
-            more, dC, dc, d = softmax(h[at], np.ascontiguousarray(p["C"][:, a:b]), p["c"][a:b], cls[at] - a, None if back is None else back[at])
+            more, dC, dc, d = softmax(h[at], p["C"][:, a:b], p["c"][a:b], cls[at] - a, None if back is None else back[at])
             lp[at] += more
             if back is not None:
                 g["C"][:, a:b], g["c"][a:b] = dC, dc
@@ -393,18 +483,19 @@ class Slots:
 
     def __init__(self, v: Vocabulary, n: int):
         self.v, self.n = v, n
-        self.target, self.input, self.owner, self.keep = ([[] for _ in range(n)] for _ in range(4))
+        #: of each slot, what waits: input row (of a text's start: its complement), target, owner of each token
+        self.parts: list[deque] = [deque() for _ in range(n)]
         self.waiting = np.zeros(n, np.int64)
 
     def add(self, owner: int, ids: np.ndarray, before: int | None = None) -> None:
         """before: the token in front of the first one, if it is not the start of the text."""
         s = int(self.waiting.argmin())
-        keep = np.ones(len(ids), np.float32)
-        keep[0] = 0
-        self.target[s].append(ids)
-        self.input[s].append(np.concatenate(([self.v.start if before is None else self.v.row[before]], self.v.row[ids[:-1]])).astype(np.int32))
-        self.keep[s].append(keep)
-        self.owner[s].append(np.full(len(ids), owner, np.int64))
+        x = np.empty((len(ids), 3), np.int32)
+        x[0, 0] = ~(self.v.start if before is None else self.v.row[before])
+        x[1:, 0] = self.v.row[ids[:-1]]
+        x[:, 1] = ids
+        x[:, 2] = owner
+        self.parts[s].append(x)
         self.waiting[s] += len(ids)
 
     def full(self) -> bool:
@@ -413,22 +504,23 @@ class Slots:
     def window(self) -> tuple[np.ndarray, ...]:
         """(slots that have tokens; input rows, keep, target, owner [WINDOW, those slots]); owner -1 where there is no token."""
         used = np.flatnonzero(self.waiting)
-        shape = (WINDOW, len(used))
-        out = np.full(shape, self.v.start, np.int32), np.zeros(shape, np.float32), np.full(shape, self.v.end, np.int32), np.full(shape, -1, np.int64)
+        out = np.empty((len(used), WINDOW, 3), np.int32)
         for k, s in enumerate(used.tolist()):
-            for store, place in zip((self.input, self.keep, self.target, self.owner), out):
-                at, parts = 0, store[s]
-                while parts and at < WINDOW:
-                    x = parts[0]
-                    n = min(len(x), WINDOW - at)
-                    place[at : at + n, k] = x[:n]
-                    at += n
-                    if n == len(x):
-                        parts.pop(0)
-                    else:
-                        parts[0] = x[n:]
-            self.waiting[s] -= min(self.waiting[s], WINDOW)
-        return used, *out
+            at, parts = 0, self.parts[s]
+            while parts and at < WINDOW:
+                x = parts[0]
+                n = min(len(x), WINDOW - at)
+                out[k, at : at + n] = x[:n]
+                at += n
+                if n == len(x):
+                    parts.popleft()
+                else:
+                    parts[0] = x[n:]
+            if at < WINDOW:
+                out[k, at:] = ~self.v.start, self.v.end, -1
+        self.waiting[used] = np.maximum(self.waiting[used] - WINDOW, 0)
+        rows, target, owner = np.ascontiguousarray(out.transpose(2, 1, 0))
+        return used, np.where(rows < 0, ~rows, rows), (rows >= 0).astype(np.float32), target, owner
 
 
 def numbers(v: Vocabulary, ids: Ids, text: str) -> tuple[np.ndarray, list[bytes]]:
@@ -510,8 +602,7 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
     rows = texts(docs, id_col, text_col, usable.alias("_usable")).withColumn("doc_id", F.col("doc_id").cast("long"))
     training = rows.where("_usable").select("doc_id", "text")
     n_docs = training.count()
-    groups = groups_of(training, n_docs, ws)
-    counts = ws.settle(count_words(training, groups))
+    counts = ws.settle(count_words(training))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # the least count that HEAD words at most reach, from the number of words by steps of the count: a few hundred rows
     least, above = 1, 0
@@ -521,8 +612,10 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
             least = r.most + 1
             break
     head = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True], kind="stable", ignore_index=True)
-    by_group = head[[f"g{g}" for g in range(len(groups.centres))]].to_numpy(np.float32)
-    v = Vocabulary([bytes(w) for w in head["word"]], head["c"].to_numpy(np.int64), head["grp"].to_numpy(np.int32), by_group, total[0] + n_docs, total[1] + (n_docs > 0), n_docs)
+    words = [bytes(w) for w in head["word"]]
+    common = {w: i for i, w in enumerate(words[:GROUP_WORDS])}
+    by_group = group_counts(training, words, find_groups(ws.settle(vectors_of(training, common)), common))
+    v = Vocabulary(words, head["c"].to_numpy(np.int64), by_group.argmax(axis=1).astype(np.int32), by_group.astype(np.float32), total[0] + n_docs, total[1] + (n_docs > 0), n_docs)
     p = initial(v)
     for turn in range(ROUNDS):
         p = learn(training.where(F.pmod(F.xxhash64(F.lit("learn"), "doc_id", "text"), F.lit(ROUNDS)) == turn), v, p, turn, n_docs // ROUNDS)

@@ -146,3 +146,17 @@ def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(M, "learn", lambda part, v, p, *more: seen.extend(r.doc_id for r in part.select("doc_id").collect()) or p)
     assert M.score(docs, F.col("doc_id") % 10 != 0).count() == n
     assert sorted(seen) == [i for i in range(n) if i % 10]
+
+
+def test_groups_come_from_all_training_texts(spark, monkeypatch):
+    # 4000 different texts and one long one of other words: its words are the commonest, and each text moves a centre
+    rows = [(i, f"alpha beta t{i}") for i in range(4000)] + [(9000, "zeta eta " * 6000), (9001, ""), (9002, None)]
+    seen, plain = [], M.group_counts
+    monkeypatch.setattr(M, "group_counts", lambda training, words, groups: seen.append((words, groups, plain(training, words, groups))) or seen[-1][2])
+    assert M.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).count() == len(rows)
+    words, groups, counts = seen[0]
+    assert list(groups.common)[:2] == [b"eta", b"zeta"]
+    by_word = dict(zip(words, counts.sum(axis=1).tolist()))
+    assert by_word[b"eta"] == 6000 and by_word[b"alpha"] == 4000 and by_word[b"t17"] == 1
+    apart = dict(zip(words, counts.argmax(axis=1).tolist()))
+    assert apart[b"eta"] == apart[b"zeta"] != apart[b"alpha"]
