@@ -66,13 +66,8 @@ TEXTS_EACH, LEAST, MOST, SUMS = 6000, 6, 512, 4
 LN10 = float(np.log(10))
 
 
-def group_vector(words: list[bytes], common: dict[bytes, int]) -> np.ndarray:
-    """Square roots of the counts of the common words, at length one."""
-    at = np.fromiter(map(common.get, words, repeat(len(common))), np.int64, len(words))
-    return unit(np.bincount(at, minlength=len(common) + 1)[: len(common)])
-
-
 def unit(counts: np.ndarray) -> np.ndarray:
+    """Square roots of the counts of the common words, at length one."""
     v = np.sqrt(counts).astype(np.float32)
     n = np.linalg.norm(v)
     return v / n if n else v
@@ -80,24 +75,30 @@ def unit(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Groups:
-    common: dict[bytes, int]
+    """Of texts, by the counts of the common words: the first `common` of the head."""
+
+    common: int
     centres: np.ndarray
 
     def nearest(self, counts: np.ndarray) -> int:
-        """The group of a text with these counts of the common words."""
         return int((self.centres @ unit(counts)).argmax())
 
 
-def vectors_of(training: DataFrame, common: dict[bytes, int]) -> DataFrame:
-    """v: the vectors (group_vector) of all texts that hold a common word, those of a batch in one row."""
+def common_of(x: np.ndarray, common: int) -> np.ndarray:
+    """Counts of the common words in a text's numbers."""
+    return np.bincount(x[x < common], minlength=common)
+
+
+def vectors_of(training: DataFrame, common: int) -> DataFrame:
+    """v: the vectors of all texts (ids) that hold a common word, those of a batch in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [v for t in column(b, "text") if (v := group_vector(words_of(t), common)).any()]
+            found = [v for x in column(b, "ids") if (v := unit(common_of(unpacked(x), common))).any()]
             if found:
                 yield pa.RecordBatch.from_pydict({"v": pa.array([np.stack(found).tobytes()], pa.binary())})
 
-    return training.select("text").mapInArrow(run, "v binary")
+    return training.select("ids").mapInArrow(run, "v binary")
 
 
 def added_up(parts: DataFrame) -> np.ndarray | None:
@@ -118,9 +119,9 @@ def added_up(parts: DataFrame) -> np.ndarray | None:
     return sum(np.frombuffer(r.x, r.kind) for r in sorted(got, key=lambda r: bytes(r.x))) if got else None
 
 
-def find_groups(vectors: DataFrame, common: dict[bytes, int], seed: int = 3) -> Groups:
+def find_groups(vectors: DataFrame, common: int, seed: int = 3) -> Groups:
     """k-means over all vectors: each pass reads their table, and a task gives one row."""
-    width = len(common)
+    width = common
 
     def matrix(b: pa.RecordBatch) -> np.ndarray:
         return np.concatenate([np.frombuffer(v, np.float32) for v in column(b, "v")]).reshape(-1, width)
@@ -197,28 +198,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def group_counts(training: DataFrame, words: list[bytes], groups: Groups) -> np.ndarray:
-    """[words, groups]: how often each of the words stands in all training texts of each group. The common words are the
-    first of them."""
-    n_groups, k, few = len(groups.centres), len(words), len(groups.common)
-    shared = training.sparkSession.sparkContext.broadcast((words, groups))
+def group_counts(training: DataFrame, k: int, groups: Groups) -> np.ndarray:
+    """[k, groups]: how often each of the k words of the head stands in all training texts (ids) of each group."""
+    n_groups = len(groups.centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, groups = shared.value
-        ids = dict(zip(words, range(k)))
         total, waiting, n = np.zeros((n_groups, k), np.int64), [[] for _ in range(n_groups)], 0
 
         def count() -> None:
             for g, some in enumerate(waiting):
                 if some:
-                    total[g] += np.bincount(np.concatenate(some), minlength=k + 1)[:k]
+                    total[g] += np.bincount(np.concatenate(some), minlength=k + 2)[:k]
                     some.clear()
 
         for b in batches:
-            for t in column(b, "text"):
-                found = words_of(t)
-                x = np.fromiter(map(ids.get, found, repeat(k)), np.int32, len(found))
-                waiting[groups.nearest(np.bincount(x[x < few], minlength=few))].append(x)
+            for packed in column(b, "ids"):
+                x = unpacked(packed)
+                waiting[groups.nearest(common_of(x, groups.common))].append(x)
                 n += len(x)
             if n > 1 << 20:
                 count()
@@ -227,7 +223,7 @@ def group_counts(training: DataFrame, words: list[bytes], groups: Groups) -> np.
         kind = "<i4" if total.max(initial=0) < 1 << 31 else "<i8"
         yield pa.RecordBatch.from_pydict({"kind": pa.array([kind]), "x": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
-    got = added_up(training.select("text").mapInArrow(run, "kind string, x binary")) if k else None
+    got = added_up(training.select("ids").mapInArrow(run, "kind string, x binary")) if k else None
     return np.zeros((k, n_groups), np.int64) if got is None else np.ascontiguousarray(got.reshape(n_groups, k).T)
 
 
@@ -523,25 +519,61 @@ class Slots:
         return used, np.where(rows < 0, ~rows, rows), (rows >= 0).astype(np.float32), target, owner
 
 
-def numbers(v: Vocabulary, ids: Ids, text: str) -> tuple[np.ndarray, list[bytes]]:
-    """(numbers of the tokens, the words that are rare)."""
+def numbers(v: Vocabulary | int, ids: dict[bytes, int], text: str) -> tuple[np.ndarray, list[bytes]]:
+    """(numbers of the tokens, the words that are rare). v: the vocabulary, or the number of words of its head."""
+    rare = v if isinstance(v, int) else v.rare
     words = words_of(text)
-    x = np.fromiter(map(ids.get, words, repeat(v.rare)), np.int32, len(words))
-    return np.append(x, np.int32(v.end)), [words[i] for i in np.flatnonzero(x == v.rare).tolist()]
+    x = np.fromiter(map(ids.get, words, repeat(rare)), np.int32, len(words))
+    return np.append(x, np.int32(rare + 1)), [words[i] for i in np.flatnonzero(x == rare).tolist()]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Three bytes a number, first all low ones: most of the others are 0, so that they take little room compressed."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+
+
+def unpacked(packed: bytes) -> np.ndarray:
+    low, middle, high = np.frombuffer(packed, np.uint8).reshape(3, -1).astype(np.int32)
+    return low | middle << 8 | high << 16
+
+
+def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
+    """The columns of rows but text, ids (packed numbers of the head's words, rare ones and the end as in Vocabulary) and rare
+    (the rare words). Each text is taken apart once."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    others = [f for f in rows.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(shared.value)
+        ids = dict(zip(shared.value, range(k)))
+        for b in batches:
+            got = [numbers(k, ids, t) for t in column(b, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(b.schema.get_field_index(f.name)) for f in others] + [pa.array([packed(x) for x, _ in got], pa.binary()), pa.array([r for _, r in got], pa.list_(pa.binary()))],
+                names=[f.name for f in others] + ["ids", "rare"],
+            )
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
+    return rows.mapInArrow(run, f"{schema}, ids binary, rare array<binary>")
 
 
 def learn_from(some: Iterator[str], v: Vocabulary, start: dict, width: int, rate: float) -> tuple[int, dict]:
     """(tokens, weights) after one pass over the texts, width of them side by side."""
+    ids = Ids(v)
+    return learn_numbers((numbers(v.rare, ids, t)[0] for t in some), v, start, width, rate)
+
+
+def learn_numbers(some: Iterator[np.ndarray], v: Vocabulary, start: dict, width: int, rate: float) -> tuple[int, dict]:
+    """learn_from(), of texts as numbers."""
     p = {k: x.copy() for k, x in start.items()}
-    ids, adam, slots, h, n = Ids(v), Adam(p, rate), Slots(v, width), np.zeros((width, HIDDEN), np.float32), 0
+    adam, slots, h, n = Adam(p, rate), Slots(v, width), np.zeros((width, HIDDEN), np.float32), 0
 
     def step() -> None:
         used, rows, keep, target, owner = slots.window()
         g, h[used], _ = gradients(p, v, h[used], rows, keep, target, owner >= 0, WINDOW * width)
         adam.step(g)
 
-    for t in some:
-        x, _ = numbers(v, ids, t)
+    for x in some:
         n += len(x)
         for a in range(0, len(x), PIECE):
             slots.add(0, x[a : a + PIECE], x[a - 1] if a else None)
@@ -553,7 +585,7 @@ def learn_from(some: Iterator[str], v: Vocabulary, start: dict, width: int, rate
 
 
 def learn(part: DataFrame, v: Vocabulary, p: dict, turn: int, n_texts: int) -> dict:
-    """The mean of what the tasks learn from their texts (doc_id, text), weighted by tokens."""
+    """The mean of what the tasks learn from their texts (ids: as encoded() gives them), weighted by tokens."""
     spark = part.sparkSession
     shared = spark.sparkContext.broadcast((v, p))
     rate = RATE / (1 + turn)
@@ -561,7 +593,7 @@ def learn(part: DataFrame, v: Vocabulary, p: dict, turn: int, n_texts: int) -> d
     width = max(TRAIN_SLOTS, min(WIDE, n_texts // tasks // DEEP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, p = learn_from((t for b in batches for t in column(b, "text")), *shared.value, width, rate)
+        n, p = learn_numbers((unpacked(x) for b in batches for x in column(b, "ids")), *shared.value, width, rate)
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "weights": pa.array([np.concatenate([p[k].ravel() for k in sorted(p)]).astype("<f4").tobytes()], pa.binary())})
 
@@ -573,7 +605,7 @@ def learn(part: DataFrame, v: Vocabulary, p: dict, turn: int, n_texts: int) -> d
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
-    learned = part.repartition(tasks).sortWithinPartitions(F.xxhash64("text")).select("text").mapInArrow(run, "n long, weights binary")
+    learned = part.select("ids").repartition(tasks).sortWithinPartitions(F.xxhash64("ids")).mapInArrow(run, "n long, weights binary")
     # a few sums come to the driver, however many tasks there are
     got = learned.repartition(SUMS).sortWithinPartitions("n", "weights").mapInArrow(add_up, "n long, weights binary").collect()
     if not got:
@@ -613,19 +645,21 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
             break
     head = counts.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True], kind="stable", ignore_index=True)
     words = [bytes(w) for w in head["word"]]
-    common = {w: i for i, w in enumerate(words[:GROUP_WORDS])}
-    by_group = group_counts(training, words, find_groups(ws.settle(vectors_of(training, common)), common))
+    turn = F.pmod(F.xxhash64(F.lit("learn"), "doc_id", "text"), F.lit(ROUNDS)).alias("turn")
+    rows = ws.settle(encoded(rows.select("doc_id", "text", "_usable", turn), words).withColumn("row", F.monotonically_increasing_id()))
+    training, common = rows.where("_usable").select("doc_id", "ids", "turn"), min(GROUP_WORDS, len(words))
+    by_group = group_counts(training, len(words), find_groups(ws.settle(vectors_of(training, common)), common))
     v = Vocabulary(words, head["c"].to_numpy(np.int64), by_group.argmax(axis=1).astype(np.int32), by_group.astype(np.float32), total[0] + n_docs, total[1] + (n_docs > 0), n_docs)
     p = initial(v)
     for turn in range(ROUNDS):
-        p = learn(training.where(F.pmod(F.xxhash64(F.lit("learn"), "doc_id", "text"), F.lit(ROUNDS)) == turn), v, p, turn, n_docs // ROUNDS)
+        p = learn(training.where(F.col("turn") == turn), v, p, turn, n_docs // ROUNDS)
     shared = spark.sparkContext.broadcast((v, p))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_all", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = shared.value
-        ids, base, slots, h = Ids(v), v.base(), Slots(v, SLOTS), np.zeros((SLOTS, HIDDEN), np.float32)
-        open_: dict[int, list] = {}  # row -> [doc_id, n, n_head, base, model, rare, tokens to come]
+        base, slots, h = v.base(), Slots(v, SLOTS), np.zeros((SLOTS, HIDDEN), np.float32)
+        open_: dict[int, list] = {}  # number -> [row, doc_id, n, rare ones, base, model, tokens to come]
         number = 0
 
         met: list[tuple[np.ndarray, ...]] = []  # owners, states and targets of windows
@@ -646,7 +680,7 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
             each, inverse = np.unique(who, return_inverse=True)
             for d, x, n in zip(each.tolist(), np.bincount(inverse, weights=log_prob(p, v, states, target)).tolist(), np.bincount(inverse).tolist()):
                 r = open_[d]
-                r[4] += x
+                r[5] += x
                 r[6] -= n
             return [open_.pop(d)[:6] for d in each.tolist() if not open_[d][6]]
 
@@ -654,10 +688,9 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
             return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*done), schema)], schema=schema)
 
         for b in batches:
-            for i, t in zip(column(b, "doc_id"), column(b, "text")):
-                x, rare = numbers(v, ids, t)
-                known = len(x) - len(rare) - (v.n_docs == 0)
-                open_[number] = [i, len(x), known, float(base[x].sum()), 0.0, rare, len(x)]
+            for i, doc_id, packed in zip(column(b, "row"), column(b, "doc_id"), column(b, "ids")):
+                x = unpacked(packed)
+                open_[number] = [i, doc_id, len(x), int((x == v.rare).sum()), float(base[x].sum()), 0.0, len(x)]
                 slots.add(number, x)
                 number += 1
                 while slots.full():
@@ -677,16 +710,16 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
             yield batch(done)
 
     # the longest texts first, so that slots end together
-    scored = ws.settle(rows.select("doc_id", "text").sortWithinPartitions(F.desc(F.length("text"))).mapInArrow(run, "doc_id long, n_tokens long, n_head long, base double, model double, rare array<binary>").withColumn("row", F.monotonically_increasing_id()))
-    words = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    scored = ws.settle(rows.select("row", "doc_id", "ids").sortWithinPartitions(F.desc(F.length("ids"))).mapInArrow(run, "row long, doc_id long, n_tokens long, n_all long, base double, model double"))
+    words = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     rare = words.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    joined = scored.select("row", "doc_id", "n_tokens", "n_head", "base", "model", F.size("rare").alias("n_all")).join(rare, "row", "left")
+    joined = scored.join(rare, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return settle(
         joined.select(
             "doc_id",
             "n_tokens",
-            (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+            (F.col("n_tokens") - F.col("n_all") - int(v.n_docs == 0) + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
             F.lit(v.n_tokens).cast("long").alias("train_tokens"),
             (F.col("base") + logs).alias("base_score"),
             (F.col("model") / LN10 + logs - F.col("n_all") * float(np.log10(v.rare_tokens + v.rare_types + 1.0))).alias("score"),

@@ -151,12 +151,19 @@ def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
 def test_groups_come_from_all_training_texts(spark, monkeypatch):
     # 4000 different texts and one long one of other words: its words are the commonest, and each text moves a centre
     rows = [(i, f"alpha beta t{i}") for i in range(4000)] + [(9000, "zeta eta " * 6000), (9001, ""), (9002, None)]
-    seen, plain = [], M.group_counts
-    monkeypatch.setattr(M, "group_counts", lambda training, words, groups: seen.append((words, groups, plain(training, words, groups))) or seen[-1][2])
+    seen, encoded, counted = [], M.encoded, M.group_counts
+    monkeypatch.setattr(M, "encoded", lambda rows, words: seen.append(words) or encoded(rows, words))
+    monkeypatch.setattr(M, "group_counts", lambda *args: seen.append(counted(*args)) or seen[-1])
     assert M.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).count() == len(rows)
-    words, groups, counts = seen[0]
-    assert list(groups.common)[:2] == [b"eta", b"zeta"]
+    words, counts = seen
+    assert words[:2] == [b"eta", b"zeta"]
     by_word = dict(zip(words, counts.sum(axis=1).tolist()))
     assert by_word[b"eta"] == 6000 and by_word[b"alpha"] == 4000 and by_word[b"t17"] == 1
     apart = dict(zip(words, counts.argmax(axis=1).tolist()))
     assert apart[b"eta"] == apart[b"zeta"] != apart[b"alpha"]
+
+
+def test_packed_numbers_come_back():
+    x = np.array([0, 1, 255, 256, 65535, 65536, M.HEAD, M.HEAD + 1], np.int32)
+    assert M.unpacked(M.packed(x)).tolist() == x.tolist() and M.unpacked(M.packed(x)).dtype == np.int32
+    assert len(M.packed(x[:0])) == 0 == len(M.unpacked(b""))
