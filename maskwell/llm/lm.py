@@ -307,7 +307,10 @@ def initial(v: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    x = np.negative(x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def forward(p: dict, v: Vocabulary, h: np.ndarray, rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -328,21 +331,18 @@ def forward(p: dict, v: Vocabulary, h: np.ndarray, rows: np.ndarray, keep: np.nd
     return out, (before, zr[..., :H], zr[..., H:], n, an)
 
 
-def within(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, back: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the tokens of the head, natural log-probability of each in its class, gradient by its state's product with
-    A). back: weights of the tokens; without them there is no gradient."""
-    at = np.flatnonzero(target < v.rare)
-    at = at[np.argsort(v.order[target[at]], kind="stable")]
-    words = target[at]
+def within(p: dict, v: Vocabulary, h: np.ndarray, words: np.ndarray, back: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """(natural log-probability of each of the words, all of the head and sorted by class, in its class, gradient by its state's
+    product with A). back: weights of the tokens; without them there is no gradient."""
     n = v.profile.shape[1]
-    cls, z = v.cls[words], h[at] @ p["A"] + p["a"]
+    cls, z = v.cls[words], h @ p["A"] + p["a"]
     z = np.column_stack((z, np.ones(len(z), z.dtype)))
     word = v.begin[cls] + v.place[words]
-    profile = v.profile[word]
+    profile = v.profile.take(word, axis=0)
     lp = np.einsum("ij,ij->i", z[:, :n], profile) + v.log_count[word]
     # the largest logit is taken off only where an exponential could leave the range of numbers
     wild = len(z) > 0 and STEEPEST * np.abs(z[:, :n]).sum(axis=1).max() + v.log_count.max() > REACH
-    total, sums = np.empty(len(at), z.dtype), np.empty_like(z)
+    total, sums = np.empty(len(z), z.dtype), np.empty_like(z)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(cls)) + 1, [len(cls)])).tolist() if len(cls) else [0]
     ends = v.begin.tolist()
     for a, b, k in zip(cuts, cuts[1:], cls[cuts[:-1]].tolist()):
@@ -358,9 +358,9 @@ def within(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray, back: np.n
         else:
             np.matmul(x, v.beside[first:last], out=sums[a:b])
     if back is None:
-        return at, lp - np.log(total), None
+        return lp - np.log(total), None
     total = sums[:, n]
-    return at, lp - np.log(total), (sums[:, :n] / total[:, None] - profile) * back[at, None]
+    return lp - np.log(total), (sums[:, :n] / total[:, None] - profile) * back[:, None]
 
 
 def softmax(h: np.ndarray, C: np.ndarray, c: np.ndarray, pick: np.ndarray, back: np.ndarray | None = None) -> tuple:
@@ -395,15 +395,22 @@ def softmax(h: np.ndarray, C: np.ndarray, c: np.ndarray, pick: np.ndarray, back:
     return lp, *((d[:n], d[n]) if back is not None else (None, None)), dh
 
 
+def by_class(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places of the targets by class, the targets so sorted, how many of them are words of the head: those come first)."""
+    order = np.argsort(v.order[target], kind="stable")
+    y = target[order]
+    return order, y, int(np.searchsorted(v.cls[y], v.cls[v.rare]))
+
+
 def of_classes(p: dict, v: Vocabulary, h: np.ndarray, cls: np.ndarray, back: np.ndarray | None = None) -> tuple[np.ndarray, dict, np.ndarray | None]:
-    """(natural log-probability of each class given its state, gradients, gradient by the state): that of the class's group,
-    and in it that of the class."""
-    top = v.top[cls]
+    """(natural log-probability of each class given its state, gradients, gradient by the state): that of the class's block,
+    and in it that of the class. The classes are sorted."""
     h = np.column_stack((h, np.ones(len(h), h.dtype)))
-    lp, dT, dt, dh = softmax(h, p["T"], p["t"], top, back)
+    lp, dT, dt, dh = softmax(h, p["T"], p["t"], v.top[cls], back)
     g = {"T": dT, "t": dt, "C": np.zeros_like(p["C"]), "c": np.zeros_like(p["c"])} if back is not None else {}
-    for k, (a, b) in enumerate(v.spans):
-        if b - a > 1 and len(at := np.flatnonzero(top == k)):
+    for (a, b), first, last in zip(v.spans, *np.searchsorted(cls, np.array(v.spans).T).tolist()):
+        if b - a > 1 and first < last:
+            at = slice(first, last)
             more, dC, dc, d = softmax(h[at], p["C"][:, a:b], p["c"][a:b], cls[at] - a, None if back is None else back[at])
             lp[at] += more
             if back is not None:
@@ -414,9 +421,12 @@ def of_classes(p: dict, v: Vocabulary, h: np.ndarray, cls: np.ndarray, back: np.
 
 def log_prob(p: dict, v: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target given its state (rare ones: of their class)."""
-    out = of_classes(p, v, h, v.cls[target])[0].astype(np.float64)
-    at, lp, _ = within(p, v, h, target)
-    out[at] += lp
+    order, y, n = by_class(v, target)
+    h = h.take(order, axis=0)
+    lp = of_classes(p, v, h, v.cls[y])[0].astype(np.float64)
+    lp[:n] += within(p, v, h[:n], y[:n])[0]
+    out = np.empty_like(lp)
+    out[order] = lp
     return out
 
 
@@ -425,17 +435,18 @@ def gradients(p: dict, v: Vocabulary, h0: np.ndarray, rows: np.ndarray, keep: np
     a window of `full` tokens, so a window of few texts moves the weights less."""
     T, B, H = *rows.shape, HIDDEN
     states, trace = forward(p, v, h0, rows, keep)
-    flat, y, on = states.reshape(-1, H), target.ravel(), live.ravel().astype(np.float32)
-    weight = on / full
-    cls = v.cls[y]
-    lp, g, dh_all = of_classes(p, v, flat, cls, weight)
+    order, y, n_head = by_class(v, target.ravel())
+    flat, weight = states.reshape(-1, H).take(order, axis=0), live.ravel()[order].astype(np.float32) / full
+    lp, g, back = of_classes(p, v, flat, v.cls[y], weight)
     loss = -(lp * weight).sum()
-    at, lp, dz = within(p, v, flat, np.where(on > 0, y, v.rare), weight)
-    loss -= (lp * weight[at]).sum()
-    g["A"], g["a"] = flat[at].T @ dz, dz.sum(axis=0)
-    dh_all[at] += dz @ p["A"].T
+    lp, dz = within(p, v, flat[:n_head], y[:n_head], weight[:n_head])
+    loss -= (lp * weight[:n_head]).sum()
+    g["A"], g["a"] = flat[:n_head].T @ dz, dz.sum(axis=0)
+    back[:n_head] += dz @ p["A"].T
+    dh_all = np.empty_like(back)
+    dh_all[order] = back
     dh_all = dh_all.reshape(T, B, H)
-    before, z, r, n, an = trace
+    before, z, r, n, an = map(np.ascontiguousarray, trace)
     # all that does not depend on what comes back from later steps
     to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), an * r * (1 - r)
     dX, da, dh = np.empty((T, B, 3 * H), np.float32), np.empty((T, B, 3 * H), z.dtype), np.zeros((B, H), np.float32)
@@ -450,10 +461,12 @@ def gradients(p: dict, v: Vocabulary, h0: np.ndarray, rows: np.ndarray, keep: np
         dh = (dh * z[t] + d @ back) * keep[t][:, None]
     dX[:, :, : 2 * H] = da[:, :, : 2 * H]
     g["U"] = before.reshape(-1, H).T @ da.reshape(-1, 3 * H)
-    flat_rows = rows.ravel()
+    flat_rows = rows.ravel().astype(np.int16 if v.rows < 1 << 15 else np.int32)  # small numbers are sorted faster
     order = np.argsort(flat_rows, kind="stable")
-    touched, first = np.unique(flat_rows[order], return_index=True)
-    dense = np.add.reduceat(dX.reshape(-1, 3 * H)[order], first, axis=0)
+    sorted_rows = flat_rows[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(sorted_rows)) + 1))
+    touched = sorted_rows[first].astype(np.int64)
+    dense = np.add.reduceat(dX.reshape(-1, 3 * H).take(order, axis=0), first, axis=0)
     g["X"] = (touched, dense)
     return g, states[-1], float(loss)
 
@@ -538,8 +551,8 @@ def unpacked(packed: bytes) -> np.ndarray:
 
 
 def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
-    """The columns of rows but text, ids (packed numbers of the head's words, rare ones and the end as in Vocabulary) and rare
-    (the rare words). Each text is taken apart once."""
+    """The columns of rows but text, ids (packed numbers of the head's words, rare ones and the end as in Vocabulary) rare
+    (the different rare words) and times (how often each of them stands in the text). Each text is taken apart once."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
     others = [f for f in rows.schema.fields if f.name != "text"]
 
@@ -548,13 +561,13 @@ def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
         ids = dict(zip(shared.value, range(k)))
         for b in batches:
             got = [numbers(k, ids, t) for t in column(b, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(f.name)) for f in others] + [pa.array([packed(x) for x, _ in got], pa.binary()), pa.array([r for _, r in got], pa.list_(pa.binary()))],
-                names=[f.name for f in others] + ["ids", "rare"],
-            )
+            rare = [Counter(r) for _, r in got]
+            columns = [b.column(b.schema.get_field_index(f.name)) for f in others]
+            columns += [pa.array([packed(x) for x, _ in got], pa.binary()), pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in others] + ["ids", "rare", "times"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
-    return rows.mapInArrow(run, f"{schema}, ids binary, rare array<binary>")
+    return rows.mapInArrow(run, f"{schema}, ids binary, rare array<binary>, times array<bigint>")
 
 
 def learn_from(some: Iterator[str], v: Vocabulary, start: dict, width: int, rate: float) -> tuple[int, dict]:
@@ -711,7 +724,7 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
 
     # the longest texts first, so that slots end together
     scored = ws.settle(rows.select("row", "doc_id", "ids").sortWithinPartitions(F.desc(F.length("ids"))).mapInArrow(run, "row long, doc_id long, n_tokens long, n_all long, base double, model double"))
-    words = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    words = rows.select("row", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))))
     rare = words.join(counts.select("word", "c"), "word").groupBy("row").agg(F.sum("n").alias("n_rare"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
     joined = scored.join(rare, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
