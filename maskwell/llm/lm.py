@@ -28,17 +28,18 @@ training texts all counts are 0 and the score is that of an untrained model over
 from __future__ import annotations
 
 import zlib
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, column, settle, small_batches, texts, words_of
+from .common import Workspace, column, keep_memory, settle, small_batches, texts, tidied, words_of
 
 HEAD = 1 << 17
 GROUPS, GROUP_WORDS, MOVES = 6, 64, 8
@@ -52,6 +53,8 @@ HIDDEN = 16
 #: Words with an input row of their own; others share that of their class.
 INPUTS = 4096
 WINDOW, SLOTS, PIECE = 32, 192, 1024
+#: Bytes of the batches in which texts are taken apart, and words that a task counts at once.
+JOIN, COUNTED = 1 << 22, 1 << 22
 #: Tokens whose probabilities are taken at once in scoring.
 MEET = 1 << 16
 #: Rows whose softmax over classes is taken at once.
@@ -177,23 +180,53 @@ def find_groups(vectors: DataFrame, common: int, seed: int = 3) -> Groups:
     return Groups(common, centres)
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(how many words each text has, the words of all of them): those of words_of(), by Arrow's kernels. No text is null."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    real = np.asarray(pc.binary_length(words)) > 0  # the kernel gives empty ones where a text begins or ends with space
+    at = np.concatenate(([0], np.cumsum(real)))[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+    return np.diff(at), words.filter(pa.array(real))
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of JOIN bytes, if there are so many: what a step does once a batch costs little then."""
+    some, size = [], 0
+
+    def together() -> pa.RecordBatch:
+        out = pa.Table.from_batches(some).combine_chunks().to_batches()
+        some.clear()
+        return out[0]
+
+    for b in batches:
+        if len(b):
+            some.append(b)
+            size += b.nbytes
+        if size > JOIN:
+            yield together()
+            size = 0
+    if some:
+        yield together()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c over all texts of docs (text)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        waiting: list[pa.Array] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.binary()), "n": pa.array(list(total.values()), pa.int64())})
-            total.clear()
-            return out
+            total = pc.value_counts(pa.chunked_array(waiting))
+            waiting.clear()
+            return pa.RecordBatch.from_pydict({"word": total.field("values").cast(pa.binary()), "n": total.field("counts")})
 
-        for b in batches:
-            for t in column(b, "text"):
-                total.update(words_of(t))
-            if len(total) > 400_000:
+        for b in joined(batches):
+            waiting.append(words_in(b.column("text"))[1])
+            if sum(map(len, waiting)) > COUNTED:
                 yield flush()
-        yield flush()
+        if waiting:
+            yield flush()
 
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -273,7 +306,8 @@ class Vocabulary:
         profile = np.log(own / own.sum(axis=1, keepdims=True) / share)
         self.profile = np.clip(profile, -STEEPEST, STEEPEST).astype(np.float32)
         # one product with (z, 1) gives a class's logits, one of their exponentials with (profile, 1) what the gradient needs
-        self.across = np.ascontiguousarray(np.vstack((self.profile.T, self.log_count)))
+        across = np.column_stack((self.profile, self.log_count))
+        self.across = [np.ascontiguousarray(across[a:b].T) for a, b in zip(self.begin[:-1], self.begin[1:])]  # by class
         self.beside = np.column_stack((self.profile, np.ones(k, np.float32)))
         self.ones = np.ones(k, np.float32)
         self.order = cls.astype(np.int16) if self.classes < 1 << 15 else cls  # sorted faster
@@ -306,8 +340,8 @@ def initial(v: Vocabulary, seed: int = 1) -> dict[str, np.ndarray]:
     return p
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.negative(x)
+def sigmoid(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    x = np.negative(x, out=out)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
@@ -316,19 +350,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def forward(p: dict, v: Vocabulary, h: np.ndarray, rows: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, tuple]:
     """States after each step [T, B, HIDDEN], and what the backward pass needs. rows [T, B]: input rows; keep [T, B]: 0
     where a text starts."""
-    out = np.empty((*rows.shape, HIDDEN), np.float32)
+    out = np.empty((*rows.shape, HIDDEN), p["U"].dtype)
     U, H = p["U"], HIDDEN
-    before, zr, n, an = (np.empty((*rows.shape, k * H), U.dtype) for k in (1, 2, 1, 1))
-    inputs, keep = p["X"][rows], keep[:, :, None]
+    before, z, r, n, an = (np.empty((*rows.shape, H), U.dtype) for _ in range(5))
+    keep = keep[:, :, None]
+    # three arrays without gaps are faster than parts of one
+    parts = [slice(k * H, (k + 1) * H) for k in range(3)]
+    gz, gr, gn = (np.ascontiguousarray(p["X"][:, k]).take(rows, axis=0) for k in parts)
+    uz, ur, un = (np.ascontiguousarray(U[:, k]) for k in parts)
     for t in range(len(rows)):
-        h = before[t] = h * keep[t]
-        g, a = inputs[t], h @ U
-        gates = zr[t] = sigmoid(g[:, : 2 * H] + a[:, : 2 * H])
-        an[t] = a[:, 2 * H :]
-        new = n[t] = np.tanh(g[:, 2 * H :] + gates[:, H:] * an[t])
-        h = new + gates[:, :H] * (h - new)
-        out[t] = h
-    return out, (before, zr[..., :H], zr[..., H:], n, an)
+        h = np.multiply(h, keep[t], out=before[t])
+        gz[t] += h @ uz
+        gr[t] += h @ ur
+        update, reset, a = sigmoid(gz[t], z[t]), sigmoid(gr[t], r[t]), np.matmul(h, un, out=an[t])
+        new = np.multiply(reset, a, out=n[t])
+        new += gn[t]
+        np.tanh(new, out=new)
+        h = np.subtract(h, new, out=out[t])
+        h *= update
+        h += new
+    return out, (before, z, r, n, an)
 
 
 def within(p: dict, v: Vocabulary, h: np.ndarray, words: np.ndarray, back: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -347,7 +388,7 @@ def within(p: dict, v: Vocabulary, h: np.ndarray, words: np.ndarray, back: np.nd
     ends = v.begin.tolist()
     for a, b, k in zip(cuts, cuts[1:], cls[cuts[:-1]].tolist()):
         first, last = ends[k], ends[k + 1]
-        x = z[a:b] @ v.across[:, first:last]
+        x = z[a:b] @ v.across[k]
         if wild:
             top = x.max(axis=1)
             x -= top[:, None]
@@ -370,7 +411,8 @@ def softmax(h: np.ndarray, C: np.ndarray, c: np.ndarray, pick: np.ndarray, back:
     lp, n = np.empty(len(pick), h.dtype), len(C)
     both = np.vstack((C, c - c.max()))
     wild = len(h) > 0 and np.abs(h).max() * np.abs(C).sum(axis=0).max() > REACH / 2
-    beside = np.ascontiguousarray(np.vstack((C, np.ones_like(c))).T)
+    mine_of = np.ascontiguousarray(C.T)
+    beside = np.column_stack((mine_of, np.ones_like(c)))
     ones = np.ones(C.shape[1], h.dtype)
     d, dh = (np.zeros_like(both), np.empty((len(h), n), h.dtype)) if back is not None else (None, None)
     for a in range(0, len(pick), CHUNK):
@@ -389,7 +431,7 @@ def softmax(h: np.ndarray, C: np.ndarray, c: np.ndarray, pick: np.ndarray, back:
         total = sums[:, n]
         lp[part] = picked - np.log(total)
         share = (back[part] / total)[:, None]
-        dh[part] = sums[:, :n] * share - beside[pick[part], :n] * back[part, None]
+        dh[part] = sums[:, :n] * share - mine_of.take(pick[part], axis=0) * back[part, None]
         x[mine] -= total
         d += (own * share).T @ x
     return lp, *((d[:n], d[n]) if back is not None else (None, None)), dh
@@ -446,7 +488,7 @@ def gradients(p: dict, v: Vocabulary, h0: np.ndarray, rows: np.ndarray, keep: np
     dh_all = np.empty_like(back)
     dh_all[order] = back
     dh_all = dh_all.reshape(T, B, H)
-    before, z, r, n, an = map(np.ascontiguousarray, trace)
+    before, z, r, n, an = trace
     # all that does not depend on what comes back from later steps
     to_n, to_z, to_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), an * r * (1 - r)
     dX, da, dh = np.empty((T, B, 3 * H), np.float32), np.empty((T, B, 3 * H), z.dtype), np.zeros((B, H), np.float32)
@@ -550,20 +592,37 @@ def unpacked(packed: bytes) -> np.ndarray:
     return low | middle << 8 | high << 16
 
 
+def rare_words(text: np.ndarray, words: pa.Array, n: int) -> tuple[pa.Array, pa.Array]:
+    """Of each of n texts the different ones of its words, and how often each stands in it. text: of each word."""
+    known = words.dictionary_encode()
+    v = max(1, len(known.dictionary))
+    pairs, times = np.unique(text * v + np.asarray(known.indices), return_counts=True)
+    offsets = pa.array(np.searchsorted(pairs, np.arange(n + 1) * v), pa.int32())
+    found = known.dictionary.take(pa.array(pairs % v)).cast(pa.binary())
+    return pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64()))
+
+
 def encoded(rows: DataFrame, words: list[bytes]) -> DataFrame:
     """The columns of rows but text, ids (packed numbers of the head's words, rare ones and the end as in Vocabulary) rare
     (the different rare words) and times (how often each of them stands in the text). Each text is taken apart once."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
     others = [f for f in rows.schema.fields if f.name != "text"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(shared.value)
-        ids = dict(zip(shared.value, range(k)))
-        for b in batches:
-            got = [numbers(k, ids, t) for t in column(b, "text")]
-            rare = [Counter(r) for _, r in got]
+        head = pa.array(shared.value, pa.binary())
+        for b in joined(batches):
+            sizes, found = words_in(b.column("text"))
+            x = np.asarray(pc.index_in(found, head.cast(found.type)).fill_null(k))
+            ends = np.cumsum(sizes + 1)
+            ids = np.full(ends[-1], k + 1, np.int32)
+            inner = np.ones(len(ids), bool)
+            inner[ends - 1] = False
+            ids[inner] = x
+            rare, times = rare_words(np.repeat(np.arange(len(sizes)), sizes)[x == k], found.filter(pa.array(x == k)), len(sizes))
             columns = [b.column(b.schema.get_field_index(f.name)) for f in others]
-            columns += [pa.array([packed(x) for x, _ in got], pa.binary()), pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64()))]
+            columns += [pa.array([packed(ids[end - n - 1 : end]) for n, end in zip(sizes.tolist(), ends.tolist())], pa.binary()), rare, times]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in others] + ["ids", "rare", "times"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others)
@@ -605,7 +664,9 @@ def learn(part: DataFrame, v: Vocabulary, p: dict, turn: int, n_texts: int) -> d
     tasks = min(MOST, max(LEAST, n_texts // TEXTS_EACH))
     width = max(TRAIN_SLOTS, min(WIDE, n_texts // tasks // DEEP))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         n, p = learn_numbers((unpacked(x) for b in batches for x in column(b, "ids")), *shared.value, width, rate)
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64()), "weights": pa.array([np.concatenate([p[k].ravel() for k in sorted(p)]).astype("<f4").tobytes()], pa.binary())})
@@ -669,7 +730,9 @@ def _score(docs: DataFrame, usable: Column, id_col: str, text_col: str, ws: Work
     shared = spark.sparkContext.broadcast((v, p))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_all", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         v, p = shared.value
         base, slots, h = v.base(), Slots(v, SLOTS), np.zeros((SLOTS, HIDDEN), np.float32)
         open_: dict[int, list] = {}  # number -> [row, doc_id, n, rare ones, base, model, tokens to come]

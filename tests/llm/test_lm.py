@@ -1,8 +1,12 @@
 import math
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +171,41 @@ def test_packed_numbers_come_back():
     x = np.array([0, 1, 255, 256, 65535, 65536, M.HEAD, M.HEAD + 1], np.int32)
     assert M.unpacked(M.packed(x)).tolist() == x.tolist() and M.unpacked(M.packed(x)).dtype == np.int32
     assert len(M.packed(x[:0])) == 0 == len(M.unpacked(b""))
+
+
+def test_words_by_arrow_are_those_of_words_of():
+    odd = ["", " ", "  A\x1cB\x85c\xa0d \t\x0b\x0ce ", "ÀÉ Ab\r\nC", "z z q z", "x"]
+    for rows in (pa.array(odd), pa.array(["left out", *odd, "left out"]).slice(1, len(odd)), pa.array(odd, pa.large_string()), pa.array(odd[:1]), pa.array(odd[:0], pa.string())):
+        sizes, words = M.words_in(rows)
+        assert sizes.tolist() == [len(words_of(t)) for t in rows.to_pylist()]
+        assert [w.encode() for w in words.to_pylist()] == [w for t in rows.to_pylist() for w in words_of(t)]
+
+
+def test_encoded_texts_are_those_of_numbers(spark, monkeypatch):
+    monkeypatch.setattr(M, "JOIN", 1)  # a batch of its own for each that comes
+    rows, words = corpus(), [b"alpha", b"eins", b"uno", b"r7"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string").select(F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    ids = dict(zip(words, range(len(words))))
+    got = M.encoded(docs, words).collect()
+    expected = [(i, *M.numbers(len(words), ids, t or "")) for i, t, _ in rows]
+    assert sorted((r.doc_id, bytes(r.ids), sorted(zip(map(bytes, r.rare), r.times))) for r in got) == sorted((i, M.packed(x), sorted(Counter(rare).items())) for i, x, rare in expected)
+
+
+def test_learning_takes_few_new_pages_for_a_window():
+    code = """
+import resource, numpy as np
+from maskwell.llm import lm as M
+rng = np.random.default_rng(4)
+v = M.Vocabulary([b"w%d" % i for i in range(60)], np.arange(120, 60, -1), np.arange(60) % 2, rng.integers(0, 60, (60, 3)).astype(np.float32), 9000, 200, 50)
+texts = [M.packed(np.append(rng.integers(0, 61, 319), v.end).astype(np.int32)) for _ in range(M.WIDE)]
+faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+def learn():
+    M.keep_memory()
+    M.learn_numbers(map(M.unpacked, texts), v, M.initial(v), M.WIDE, 0.01)
+learn()
+before = faults()
+learn()
+print((faults() - before) / 10)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert float(run.stdout) < 600  # over 4,000 where each array takes its pages anew
