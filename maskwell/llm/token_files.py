@@ -20,6 +20,7 @@ an empty file set. Texts are encoded whole, cut only where the tokenizer cuts to
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -182,7 +183,8 @@ class Encoder:
     In a text whose white space is single spaces and line feeds between other characters, a byte-level
     pre-tokenizer always cuts before a space and around a line feed. There the ids of words (with the space before
     them) are remembered under a 64-bit hash and put together with vector operations; words that are new are
-    encoded in one call, a line feed between them. Other texts are encoded as they are."""
+    encoded in one call, a line feed between them. Other texts are encoded as they are, and so are those that hold an added
+    token of the file, as the library finds it before it cuts."""
 
     def __init__(self, path: str):
         import os
@@ -191,7 +193,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(added)) if added else None
         self.feed = self.whole("\n")
         self._forget()
 
@@ -212,11 +215,13 @@ class Encoder:
         each = [self.whole(w) for w in words]  # a tokenizer that cuts in another way
         return np.concatenate(each), np.array([len(x) for x in each])
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """hashes: ascending, none known"""
-        if len(self.hash) + len(hashes) > REMEMBERED:
-            kept = np.flatnonzero(self.hits >= min(2, np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2] + 1)) if len(self.hits) else []
-            kept = kept if len(kept) + len(hashes) <= REMEMBERED else kept[:0]
+    def _learn(self, hashes: np.ndarray, words: list[str], used: np.ndarray) -> None:
+        """hashes: ascending, none known; used: places of known words that are needed now and stay, at whatever number"""
+        if len(self.hits) and len(self.hash) + len(hashes) > REMEMBERED:
+            needed = np.zeros(len(self.hits), bool)
+            needed[used] = True
+            kept = np.flatnonzero(needed | (self.hits >= min(2, np.partition(self.hits, len(self.hits) // 2)[len(self.hits) // 2] + 1)))
+            kept = kept if len(kept) + len(hashes) <= REMEMBERED else np.flatnonzero(needed)
             ids, _ = _gather(self.ids, self.at[kept], self.n[kept])
             self.hash, self.n, self.ids, self.hits = self.hash[kept], self.n[kept], ids, np.zeros(len(kept), np.int64)
             self.at = np.cumsum(self.n) - self.n
@@ -253,6 +258,9 @@ class Encoder:
         after = np.concatenate((word[1:], [False]))
         # texts with other white space, or with white space that has no word on either side
         odd = np.concatenate((np.flatnonzero((kind == 3) | ((kind == 1) | (kind == 2)) & ~(before & after)), _odd_space(b)))
+        text = b.tobytes()
+        if self.added:
+            odd = np.append(odd, np.array([m.start() for m in self.added.finditer(text)], np.int64))
         slow = np.zeros(len(raw), bool)
         slow[np.searchsorted(ends, odd)] = True
         start = np.flatnonzero(word & ~before | (kind == 2))
@@ -274,10 +282,9 @@ class Encoder:
             new = self.hash[np.minimum(at, len(self.hash) - 1)] != unique
         if new.any():
             which = first[new]
-            text = b.tobytes()
             feeds = kind[start[which]] == 2
             words = [text[s - lead : e].decode("utf-8", "surrogatepass") for s, e, lead in zip(start[which].tolist(), stop[which].tolist(), (spaced[which] & ~feeds).tolist())]
-            self._learn_mixed(unique[new], words, feeds)
+            self._learn_mixed(unique[new], words, feeds, at[~new])
             at = np.searchsorted(self.hash, unique)
         ids, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(unique):
@@ -297,10 +304,10 @@ class Encoder:
         out[~hole] = ids
         return lengths + 1, out
 
-    def _learn_mixed(self, hashes: np.ndarray, words: list[str], feeds: np.ndarray) -> None:
+    def _learn_mixed(self, hashes: np.ndarray, words: list[str], feeds: np.ndarray, used: np.ndarray) -> None:
         plain = np.flatnonzero(~feeds)
         if len(plain):
-            self._learn(hashes[plain], [words[i] for i in plain.tolist()])
+            self._learn(hashes[plain], [words[i] for i in plain.tolist()], used)
         for i in np.flatnonzero(feeds).tolist():
             at = np.searchsorted(self.hash, hashes[i : i + 1])
             self.at, self.n = np.insert(self.at, at, len(self.ids)), np.insert(self.n, at, len(self.feed))

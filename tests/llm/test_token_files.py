@@ -42,6 +42,32 @@ def test_words_encode_as_the_whole(tokenizer, monkeypatch):
             assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths)] == want[a : a + 50]
 
 
+def encoded_otherwise(tokenizer, texts, group):
+    """Texts whose ids are not those that the plain library gives."""
+    from tokenizers import Tokenizer
+
+    enc, plain, bad = T.Encoder(tokenizer), Tokenizer.from_file(tokenizer), []
+    for a in range(0, len(texts), group):
+        lengths, ids = enc.batch(texts[a : a + group], 2)
+        ends = np.cumsum(lengths)
+        bad += [t for t, e, n in zip(texts[a : a + group], ends, lengths) if ids[e - n : e].tolist() != [*plain.encode(t, add_special_tokens=False).ids, 2]]
+    return bad
+
+
+def test_added_tokens_have_their_own_id(tokenizer):
+    texts = ["<|endoftext|>", "a b", "a <|endoftext|> b", "a<|endoftext|>b c\nd", "é<|endoftext|><|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> a"]
+    assert encoded_otherwise(tokenizer, texts, 3) == []
+
+
+def test_forgetting_keeps_the_words_of_the_group(tokenizer, monkeypatch):
+    # words of a group that were seen once before stay known while the group's new words are learned
+    rng = random.Random(4)
+    texts = [" ".join(str(int(rng.paretovariate(0.35)))[:9] for _ in range(rng.randrange(1, 30))) for _ in range(600)]
+    for remembered in (8, 300, 1000):
+        monkeypatch.setattr(T, "REMEMBERED", remembered)
+        assert encoded_otherwise(tokenizer, texts, 50) == [], remembered
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
