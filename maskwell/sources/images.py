@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -112,21 +113,39 @@ def clean(images: DataFrame, key: str = "doc_id") -> DataFrame:
     return normalised(rows).select(key, "content")
 
 
-def page_pixels(text: str) -> np.ndarray:
-    """A virtual page: each visible character is a grey cell of the grid on white."""
+@lru_cache(maxsize=1)
+def _spaces() -> np.ndarray:
+    """Whether each code point is white space."""
+    return np.array([chr(i).isspace() for i in range(0x110000)])
+
+
+def page_rows(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, times) of a virtual page: its scanlines as RGB bytes, and how often each stands below the other. Each visible
+    character is a grey cell of the grid on white; all scanlines of a line's cells are equal."""
     lines = max(1, -(-len(text) // COLUMNS))
     w = X0 + STRIDE * (COLUMNS - 1) + CELL_W + 40
-    page = np.full((Y0 + 40 + PITCH * lines, w, 3), 255, np.uint8)
-    at = np.array([i for i, c in enumerate(text) if not c.isspace()], np.int64)
-    if len(at):
-        grey = (40 + np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[at] % 100).astype(np.uint8)
-        one = np.full((lines, w), 255, np.uint8)  # a scanline of each line of text, as all of a line's are equal
-        x = X0 + STRIDE * (at % COLUMNS)
-        # cells are wider than their stride: the columns that they share belong to the next cell
-        for dx in [*range(STRIDE, CELL_W), *range(STRIDE)]:
-            one[at // COLUMNS, x + dx] = grey
-        page[Y0 : Y0 + PITCH * lines].reshape(lines, PITCH, w, 3)[:, :CELL_H] = np.repeat(one[:, :, None], 3, axis=2)[:, None]
-    return page
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cells = np.full(lines * COLUMNS, 255, np.uint8)
+    cells[: len(codes)] = np.where(_spaces()[codes], 255, 40 + codes % 100)
+    cells = cells.reshape(lines, COLUMNS)
+    rows = np.full((2 * lines + 1, 3 * w), 255, np.uint8)  # white stands before, between and after the lines
+    inked = rows[1::2]
+    inked[:, 3 * X0 : 3 * (X0 + STRIDE * COLUMNS)] = np.repeat(cells, 3 * STRIDE, axis=1)
+    # cells are wider than their stride: the columns that they share belong to the next cell, if it is visible
+    after = np.column_stack((cells[:, 1:], np.full(lines, 255, np.uint8)))
+    shared = np.where(after == 255, cells, after)
+    for dx in range(STRIDE, CELL_W):
+        for channel in range(3):
+            inked[:, 3 * (X0 + dx) + channel :: 3 * STRIDE][:, :COLUMNS] = shared
+    times = np.tile([PITCH - CELL_H, CELL_H], lines + 1)[: 2 * lines + 1]
+    times[0], times[-1] = Y0, PITCH - CELL_H + 40
+    return rows, times
+
+
+def page_pixels(text: str) -> np.ndarray:
+    """The pixels of a virtual page."""
+    rows, times = page_rows(text)
+    return np.repeat(rows, times, axis=0).reshape(int(times.sum()), -1, 3)
 
 
 def few_pages(spark: SparkSession) -> None:
