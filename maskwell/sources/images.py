@@ -148,9 +148,9 @@ def page_pixels(text: str) -> np.ndarray:
     return np.repeat(rows, times, axis=0).reshape(int(times.sum()), -1, 3)
 
 
-def few_pages(spark: SparkSession) -> None:
+def few_pages(spark: SparkSession, rows: int = 16) -> None:
     """Few rows to a batch, as a page has some MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def render_pages(docs: DataFrame) -> DataFrame:
